@@ -18,7 +18,7 @@ _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghi
 OP1_SQL = rf"""
 with recursive w as (select doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') as ws from documents),
 s as (select doc_id, list_distinct(case when len(ws) = 0 then [] when len(ws) < 5 then [array_to_string(ws, ' ')]
-             else list_transform(range(1, len(ws) - 3), i -> array_to_string(ws[i:i + 4], ' ')) end) as gs from w),
+             else list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) end) as gs from w),
 g as (select doc_id, len(gs) as n, unnest(gs) as gram from s),
 p as (select a.doc_id as a, b.doc_id as b, a.n as na, b.n as nb, count(*) as o from g a join g b on a.gram = b.gram and a.doc_id < b.doc_id group by all),
 l as (select a, b from p where 100 * o >= 80 * (na + nb - o)),

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .chat_format import chat_format
 from .mixing import mix_sources, quality_weights, word_count
 from .shared import table
+from .url_filter import ALLOW, BLOCK, Rule, judge
 
 
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,5 +34,27 @@ c as (select d.*, e.s, e.target, e.whole, e.target - e.whole * e.s as rest,
 select doc_id, size::bigint as size, s as source_size, target, (size * (whole + case when middle <= rest then 1 else 0 end))::bigint as taken from c
 """
 
-QUERIES = {"op10_mix_sources": op10_mix_sources}
-ORACLE_SQL = {"op10_mix_sources": OP10_SQL}
+
+def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format(table(spark, sf_dir, "conversations"))
+
+
+OP4_SQL = """
+with t as (select conv_id, turn, coalesce(lower(trim(role)), 'unknown') as role, coalesce(text, '') as text from conversations where conv_id is not null),
+c as (select conv_id, count(*) as n_turns, list(struct_pack(r := role, x := text) order by turn nulls first, role, text) as ts from t group by conv_id),
+p as (select distinct ts[1:k] as ts from (select ts, unnest(range(1, len(ts))) as k from c)),
+e as (select ts, min(conv_id) as conv_id, any_value(n_turns) as n_turns from c group by ts)
+select e.conv_id, e.n_turns, array_to_string(list_transform(e.ts, lambda t: '<|' || t.r || '|>' || chr(10) || t.x || chr(10) || '<|end|>' || chr(10)), '') as rendered
+from e anti join p on e.ts = p.ts
+"""
+
+#: Host and path rules of the query.
+RULES = [Rule(BLOCK, "com/en/"), Rule(ALLOW, "example.com/en/7"), Rule(ALLOW, "net/de/"), Rule(BLOCK, "example.net/de/8"), Rule(BLOCK, "org/es/")]
+
+
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge(table(spark, sf_dir, "pages").select("page_id", "url"), RULES).select("page_id", "host", "path", "rule", "verdict", "block_score")
+
+
+QUERIES = {"op4_chat_format": op4_chat_format, "op6_url_filter": op6_url_filter, "op10_mix_sources": op10_mix_sources}
+ORACLE_SQL = {"op4_chat_format": OP4_SQL, "op10_mix_sources": OP10_SQL}

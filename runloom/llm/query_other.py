@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .chat_format import chat_format
 from .mixing import mix_sources, quality_weights, word_count
+from .neighbours import nearest
 from .shared import table
 from .url_filter import ALLOW, BLOCK, Rule, judge
 
@@ -48,6 +49,10 @@ select e.conv_id, e.n_turns, array_to_string(list_transform(e.ts, lambda t: '<|'
 from e anti join p on e.ts = p.ts
 """
 
+def op5_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"), every=20, k=20, pivots=256, indexed=64, searched=32, rerank=0.25)
+
+
 #: Host and path rules of the query.
 RULES = [Rule(BLOCK, "com/en/"), Rule(ALLOW, "example.com/en/7"), Rule(ALLOW, "net/de/"), Rule(BLOCK, "example.net/de/8"), Rule(BLOCK, "org/es/")]
 
@@ -56,5 +61,5 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "pages").select("page_id", "url"), RULES).select("page_id", "host", "path", "rule", "verdict", "block_score")
 
 
-QUERIES = {"op4_chat_format": op4_chat_format, "op6_url_filter": op6_url_filter, "op10_mix_sources": op10_mix_sources}
+QUERIES = {"op4_chat_format": op4_chat_format, "op5_nearest_neighbours": op5_nearest_neighbours, "op6_url_filter": op6_url_filter, "op10_mix_sources": op10_mix_sources}
 ORACLE_SQL = {"op4_chat_format": OP4_SQL, "op10_mix_sources": OP10_SQL}

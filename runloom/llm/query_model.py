@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import language_id
+from .katz import katz_scores
 from .license_scan import license_scan
 from .shared import remainder_of_id, table
 
@@ -28,5 +29,9 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", *joined, F.col("license_score").alias("score"))
 
 
-QUERIES = {"op7_license_scan": op7_license_scan, "op9_language_id": op9_language_id}
+def op2_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz_scores(table(spark, sf_dir, "documents").select("doc_id", "text", held_out(7).alias("held_out")))
+
+
+QUERIES = {"op2_katz_scores": op2_katz_scores, "op7_license_scan": op7_license_scan, "op9_language_id": op9_language_id}
 ORACLE_SQL = {}

@@ -82,12 +82,16 @@ def lexical_features(url: str = "url", host: str = "host", path: str = "path") -
     return {name: F.coalesce(v.cast("double"), F.lit(0.0)) for name, v in zip(FEATURES, values, strict=True)}
 
 
+def _suffix(host: str = "host") -> Column:
+    """The last two labels of a host, empty for a host of one."""
+    return F.regexp_extract(host, r"([^.]+\.[^.]+)$", 1)
+
+
 def _assembled(df: DataFrame, suffixes: dict[str, float]) -> DataFrame:
     """Adds the vector of features; of the suffixes' shares of blocked URLs the table holds those of the training rows."""
-    last = F.element_at(F.split("host", r"\."), -2)
     statistic = F.lit(0.5)
     for name, share in sorted(suffixes.items()):
-        statistic = F.when(F.concat_ws(".", last, F.element_at(F.split("host", r"\."), -1)) == name, F.lit(share)).otherwise(statistic)
+        statistic = F.when(_suffix() == name, F.lit(share)).otherwise(statistic)
     df = df.select("*", *[c.alias(f"f_{n}") for n, c in lexical_features().items()], statistic.alias("f_suffix_blocked"))
     return VectorAssembler(inputCols=[f"f_{n}" for n in FEATURES] + ["f_suffix_blocked"], outputCol="features").transform(df)
 
@@ -118,9 +122,7 @@ def fit(labelled: DataFrame, sample: int = 20000, suffixes: int = 64, trees: int
         return UrlModel(None, {}, 1.0 if totals.n and totals.b else 0.0)
     spread = F.pmod(F.xxhash64("url", F.monotonically_increasing_id()), F.lit(1 << 20))
     drawn = stored(labelled.where(spread < min(1.0, sample / totals.n) * (1 << 20)).select("url", "host", "path", F.col("blocked").cast("double").alias("label")))
-    labels = F.split("host", r"\.")
-    suffix = F.concat_ws(".", F.element_at(labels, -2), F.element_at(labels, -1))
-    common = drawn.where(F.size(labels) > 1).groupBy(suffix.alias("s")).agg(F.count("*").alias("n"), F.sum("label").alias("b")).orderBy(F.desc("n"), "s").limit(suffixes)
+    common = drawn.where(_suffix() != "").groupBy(_suffix().alias("s")).agg(F.count("*").alias("n"), F.sum("label").alias("b")).orderBy(F.desc("n"), "s").limit(suffixes)
     known = {r.s: (r.b + 1) / (r.n + 2) for r in common.collect()}
     if drawn.agg(F.countDistinct("label")).first()[0] < 2:
         return UrlModel(None, {}, float(totals.b / totals.n))

@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
@@ -114,7 +114,8 @@ def fragment_keys(sets: np.ndarray, sizes: np.ndarray, percent: int) -> tuple[np
 
 #: A bucket's entries of one flush. Classes of documents (bucket < 0): docs, prints, sizes. Fragments: keys, their class (at).
 _DEALT = "bucket int, keys array<bigint>, at array<int>, docs array<bigint>, prints array<bigint>, sizes array<int>"
-_MET = "kind tinyint, a bigint, b bigint, na int, nb int"
+#: kind 0: doc_id, print, size. 1: a pair in a bucket's small groups, and how many. 2: a member of a large group: key, print, size.
+_MET = "kind tinyint, a bigint, b bigint, na int, nb int, shared int"
 
 
 def _deal(buckets: int, k: int, percent: int):
@@ -133,7 +134,7 @@ def _deal(buckets: int, k: int, percent: int):
                 out[name].append(v)
         key, row = np.concatenate(keys), np.concatenate(rows)
         bucket = ((key >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
-        order = np.argsort(key)
+        order = np.argsort(bucket, kind="stable")
         key, row = key[order], row[order]
         bounds = np.searchsorted(bucket[order], np.arange(buckets + 1, dtype=np.uint64))
         for b in np.flatnonzero(np.diff(bounds)):
@@ -179,10 +180,11 @@ def pairs_within(start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def _meet(percent: int):
-    schema = pa.schema([("kind", pa.int8()), ("a", pa.int64()), ("b", pa.int64()), ("na", pa.int32()), ("nb", pa.int32())])
+    schema = pa.schema([("kind", pa.int8()), ("a", pa.int64()), ("b", pa.int64()), ("na", pa.int32()), ("nb", pa.int32()), ("shared", pa.int32())])
 
-    def rows(kind: int, a, b, na, nb) -> pa.Table:
-        return pa.table([pa.array(np.full(len(na), kind, np.int8)), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(na, pa.int32()), pa.array(nb, pa.int32())], schema=schema)
+    def rows(kind: int, a, b, na, nb, shared=None) -> pa.Table:
+        shared = np.zeros(len(na), np.int32) if shared is None else shared
+        return pa.table([pa.array(x, f.type) for x, f in zip((np.full(len(na), kind, np.int8), a, b, na, nb, shared), schema, strict=True)], schema=schema)
 
     def group(table: pa.Table) -> pa.Table:
         prints, sizes = _numbers(table["prints"], np.int64), _numbers(table["sizes"], np.int64)
@@ -206,10 +208,9 @@ def _meet(percent: int):
         i, j = i[near], j[near]
         order = np.lexsort((fp[j], fp[i]))
         i, j = i[order], j[order]
-        if len(i):
-            new = np.concatenate([[True], (fp[i][1:] != fp[i][:-1]) | (fp[j][1:] != fp[j][:-1])])
-            i, j = i[new], j[new]
-        return pa.concat_tables([rows(1, fp[i], fp[j], n[i], n[j]), rows(2, key[member], fp[member], n[member], n[member])])
+        new = np.flatnonzero(np.concatenate([[True], (fp[i][1:] != fp[i][:-1]) | (fp[j][1:] != fp[j][:-1])])) if len(i) else i
+        i, j, shared = i[new], j[new], np.diff(np.append(new, len(i)))
+        return pa.concat_tables([rows(1, fp[i], fp[j], n[i], n[j], shared), rows(2, key[member], fp[member], n[member], n[member])])
 
     return group
 
@@ -267,13 +268,51 @@ def _near(percent: int) -> str:
     return f"100 * least(na, nb) >= {percent} * greatest(na, nb)"
 
 
+def _schemes(percent: int):
+    """Columns for sizes: the size class of one, the last size of a class, and how many members the sets of a scheme differ in at most."""
+    first = size_classes(1 << 40, percent)
+    differ = F.array(*[F.lit(int(2 * (x - 1) * (100 - percent) // (100 + percent))) for x in first[1:]])
+    last = F.array(*[F.lit(int(x - 1)) for x in first[1:]])
+    own = lambda n: F.size(F.filter(F.array(*[F.lit(int(x)) for x in first]), lambda x: x <= n))
+    return own, lambda t: F.element_at(last, t), lambda t: F.element_at(differ, t.cast("int"))
+
+
+def _differs(sizes: Column, percent: int) -> Column:
+    return F.floor(sizes * (100 - percent) / (100 + percent))
+
+
+def _needed(percent: int) -> Column:
+    """How many fragments a linked pair of sizes na and nb shares at least: those that its differences can't reach.
+
+    Of a scheme's ``differ + 1 + spare`` fragments at most ``spare`` are left out as empty and at most as many differ as
+    members do. Sets of one size class meet in two schemes, others in one.
+    """
+    own, _, differ = _schemes(percent)
+    low, high = own(F.least("na", "nb")), own(F.greatest("na", "nb"))
+    least = lambda t: differ(t) + 1 - _differs(F.col("na") + F.col("nb"), percent)
+    return least(high) + F.when(low == high, least(high + 1)).otherwise(0)
+
+
+def _least_needed(percent: int) -> Column:
+    """The smallest ``_needed`` of a set of size n, whatever the other's size."""
+    own, last, differ = _schemes(percent)
+    n, t = F.col("n"), own(F.col("n"))
+    same = _differs(n + last(t), percent)
+    smaller = differ(t) + 1 - _differs(n + F.coalesce(last(F.greatest(t - 1, F.lit(1))), n), percent)
+    larger = differ(t + 1) + 1 - _differs(n + F.floor(n * 100 / percent), percent)
+    return F.least(differ(t) + differ(t + 1) + 2 - 2 * same, smaller, larger)
+
+
+def _often(large: DataFrame) -> DataFrame:
+    return large.groupBy("print").agg(F.count("*").alias("often"))
+
+
 def _around_centres(large: DataFrame, percent: int) -> DataFrame:
     """Pairs of each large group's members with its centre, the member that is in most large groups.
 
     Of the copies of a text that were each changed a little, that is the text itself.
     """
-    often = large.groupBy("print").agg(F.count("*").alias("often"))
-    centre = large.join(often, "print").groupBy("key").agg(F.max(F.struct("often", "print", "n")).alias("c")).select("key", F.col("c.print").alias("p"), F.col("c.n").alias("m"))
+    centre = large.join(_often(large), "print").groupBy("key").agg(F.max(F.struct("often", "print", "n")).alias("c")).select("key", F.col("c.print").alias("p"), F.col("c.n").alias("m"))
     ordered = F.col("print") < F.col("p")
     pairs = large.join(centre, "key").where("print != p").select(
         F.least("print", "p").alias("a"), F.greatest("print", "p").alias("b"), F.when(ordered, F.col("n")).otherwise(F.col("m")).alias("na"), F.when(ordered, F.col("m")).otherwise(F.col("n")).alias("nb")
@@ -320,13 +359,21 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80) -> tuple[
     met = stored(dealt.groupBy("bucket").applyInArrow(_meet(percent), _MET), "kind")
     classes = met.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("print"), F.col("na").alias("n_shingles"))
     large = met.where("kind = 2").select(F.col("a").alias("key"), F.col("b").alias("print"), F.col("na").alias("n"))
-    pairs = met.where("kind = 1").select("a", "b", "na", "nb").union(_around_centres(large, percent)).distinct()
-    pairs = stored(pairs)
+    often = stored(_often(large))
+    # Pairs that share no small group share large ones only: too few of them, and a set is in no such linked pair.
+    large = stored(large.join(often, "print").where(F.col("often") >= _least_needed(percent)).drop("often"))
+    pairs = met.where("kind = 1").select("a", "b", "na", "nb", "shared").union(_around_centres(large, percent).withColumn("shared", F.lit(0)))
+    pairs = pairs.groupBy("a", "b", "na", "nb").agg(F.sum("shared").alias("shared"))
+    for end in ("a", "b"):
+        pairs = pairs.join(often.select(F.col("print").alias(end), F.col("often").alias(f"l{end}")), end, "left")
+    most = F.col("shared") + F.least(F.coalesce("la", F.lit(0)), F.coalesce("lb", F.lit(0)))
+    pairs = stored(pairs.where(most >= _needed(percent)).select("a", "b", "na", "nb"))
     links = stored(_verified(_sets(docs, classes, _ends(pairs), k), pairs, percent))
     labels = components(links.select("a", "b"))
     large = large.join(labels.withColumnRenamed("node", "print"), "print", "left").withColumn("label", F.coalesce("label", "print"))
     mixed = large.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l < h").select("key")
-    apart = stored(large.join(mixed, "key", "left_semi").select("print", "n", "label").distinct())
+    apart = large.join(mixed, "key", "left_semi").groupBy("print", "n", "label").agg(F.count("*").alias("often"))
+    apart = stored(apart.where(F.col("often") >= _least_needed(percent)).drop("often"))
     if not apart.isEmpty():
         sets = _sets(docs, classes, apart.select("print"), k)
         more = stored(_across(sets, apart, percent).join(pairs, ["a", "b"], "left_anti"))

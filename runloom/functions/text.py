@@ -134,3 +134,18 @@ def backoff_ms(attempt: str | Column) -> Column:
 def with_default(value: str | Column, built_in, default: str | Column) -> Column:
     """A default applies where the value is the built-in one, which an explicit value can't be told from."""
     return F.when(_c(value) == F.lit(built_in), F.coalesce(_c(default), _c(value))).otherwise(_c(value))
+
+
+def percent_encoded(text: str | Column) -> Column:
+    """All but letters, digits and ``-_.~`` as UTF-8 bytes in hexadecimal."""
+    encoded = F.url_encode(_c(text))
+    return F.replace(F.replace(F.replace(encoded, F.lit("+"), F.lit("%20")), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
+
+
+def valid_env_key(text: str | Column) -> Column:
+    return _c(text).rlike(r"^[A-Za-z_][A-Za-z0-9_]*$")
+
+
+def valid_container_id(text: str | Column) -> Column:
+    """Names and ids of containers: letters, digits and ``_.-``, the first a letter or digit."""
+    return _c(text).rlike(r"^[A-Za-z0-9][A-Za-z0-9_.-]*$")

@@ -674,6 +674,12 @@ def _(c):
     return c.dag_runs.select("dag_run_id", text.run_id("dag_id", F.lpad(F.col("run_rowid").cast("string"), 8, "0")).alias("made"), F.substring_index("dag_run_id", "_", 1).alias("prefix"))
 
 
+@query("o79_encoding", "select p_partkey, url_encode(p_name || ' *~/é') as encoded, regexp_matches(p_brand, '^[A-Za-z_][A-Za-z0-9_]*$') as env_key, regexp_matches(p_brand, '^[A-Za-z0-9][A-Za-z0-9_.-]*$') as container from {part}")
+def _(c):
+    encoded = text.percent_encoded(F.concat("p_name", F.lit(" *~/é")))
+    return c.part.select("p_partkey", encoded.alias("encoded"), text.valid_env_key("p_brand").alias("env_key"), text.valid_container_id("p_brand").alias("container"))
+
+
 @query("o80_urls", "select id, 'h' || attempt || '.example' as host, cast(8000 + attempt as int) as port, '/' || task_id as path from {task_logs}")
 def _(c):
     url = F.concat(F.lit("http://h"), F.col("attempt").cast("string"), F.lit(".example:"), (8000 + F.col("attempt")).cast("string"), F.lit("/"), F.col("task_id"))

@@ -55,3 +55,20 @@ def test_runner(spark):
     runner.kinds["sql"] = lambda s, c: s.sql(c["sql"])
     out = runner.run(spark, "d_1", [{"task_id": "a", "kind": "sql", "sql": "select 1"}, {"task_id": "b"}, {"task_id": "c", "kind": "docker"}, {"task_id": "d", "kind": "sql", "sql": "select no_such"}])
     assert {r.task_id: r.exit_code for r in out.collect()} == {"a": 0, "b": 0, "c": -1, "d": 1}
+
+
+def test_run_progress(spark, tmp_path):
+    ended, out = str(tmp_path / "ended"), []
+    schema = "dag_run_id string, task_id string, state int, n_tasks int"
+    for rows in ([("r1", "a", 2, 2), ("r2", "a", 2, 2)], [("r1", "b", 3, 2)]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(ended)
+    stream = feeds.run_progress(feeds.feed(spark, ended, schema, files_at_once=1))
+    query = stream.writeStream.outputMode("update").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).foreachBatch(lambda df, _: out.extend(df.collect())).start()
+    query.awaitTermination(180)
+    latest = {r.dag_run_id: (r.n_done, r.n_failed, r.run_state) for r in out}
+    assert latest == {"r1": (2, 1, "failed"), "r2": (1, 0, "running")}
+
+
+def test_messages_of_one_run(spark):
+    logs = spark.createDataFrame([(1, "r1", "t", dt.datetime(2024, 1, 1), "INFO", "stdout", 'say "x"'), (2, "r2", "t", None, "INFO", "stdout", "")], "id long, dag_run_id string, task_id string, ts timestamp, level string, stream string, message string")
+    assert [tuple(r) for r in feeds.messages(logs, "r1").collect()] == [(1, r'{"type":"log","dag_run_id":"r1","task_id":"t","timestamp":"2024-01-01T00:00:00Z","level":"INFO","stream":"stdout","message":"say \"x\""}')]

@@ -7,7 +7,11 @@ from pyspark.sql import functions as F
 
 from ..plans.storage import stored
 
+# Codes of task states, exit codes that skip a task or fail it without retry, and what recovery notes.
 PENDING, RUNNING, SUCCESS, FAILED, UPSTREAM_FAILED, RETRYING, SKIPPED = range(7)
+EXIT_SKIP, EXIT_FAIL = 100, 101
+RECOVERED = "Recovered after crash"
+CRASHED = "Scheduler crashed during execution"
 
 
 def dependency_counts(edges: DataFrame, states: DataFrame) -> DataFrame:
@@ -95,7 +99,7 @@ def exit_outcome(exit_code: str = "exit_code", error: str | None = None) -> Colu
     """success, skipped (100), failed (101: no retry) or retry from an exit code and an error text."""
     code = F.col(exit_code)
     fine = (code == 0) & (F.lit(True) if error is None else F.coalesce(F.col(error), F.lit("")) == "")
-    return F.when(fine, "success").when(code == 100, "skipped").when(code == 101, "failed").otherwise("retry")
+    return F.when(fine, "success").when(code == EXIT_SKIP, "skipped").when(code == EXIT_FAIL, "failed").otherwise("retry")
 
 
 def after_failure(attempt: str | Column, max_retries: str | Column) -> Column:
@@ -126,7 +130,7 @@ def recover(runs: DataFrame, instances: DataFrame) -> DataFrame:
     """Tasks of incomplete runs as recovery leaves them: running ones are pending again, with the reason."""
     open_runs = runs.where("state = 0").select("run_rowid")
     state = F.when(F.col("state") == RUNNING, PENDING).otherwise(F.col("state"))
-    note = F.when(F.col("state") == RUNNING, "Recovered after crash")
+    note = F.when(F.col("state") == RUNNING, RECOVERED)
     return instances.join(open_runs, "run_rowid", "left_semi").select("run_rowid", "task_idx", state.cast("int").alias("state"), note.alias("note"))
 
 
@@ -142,7 +146,7 @@ def crash(runs: DataFrame, instances: DataFrame) -> DataFrame:
     open_runs = runs.where("state = 0").select("run_rowid")
     hit = F.col("state") == RUNNING
     return instances.join(open_runs, "run_rowid", "left_semi").select(
-        "run_rowid", "task_idx", F.when(hit, FAILED).otherwise(F.col("state")).cast("int").alias("state"), F.when(hit, "Scheduler crashed during execution").alias("error_message")
+        "run_rowid", "task_idx", F.when(hit, FAILED).otherwise(F.col("state")).cast("int").alias("state"), F.when(hit, CRASHED).alias("error_message")
     )
 
 

@@ -44,7 +44,7 @@ LEFT = [f"m{r}" for r in range(1, K + 1)] + ["large", "seen"]
 
 def discounts(of_count: dict[int, int], total: int, k: int = K) -> np.ndarray:
     """d_0 (unused), d_1 ... d_k, and d for larger counts."""
-    d = np.full(k + 2, total / (total + 1))
+    d = np.full(k + 2, max(total, 1) / (max(total, 1) + 1))
     n = [of_count.get(r, 0) for r in range(k + 2)]
     common = (k + 1) * n[k + 1] / n[1] if n[1] else 1.0
     if 0 < common < 1:
@@ -136,12 +136,19 @@ def _count_dense(shared):
     return task
 
 
-_DEALT = "bucket int, words array<bigint>, v array<int>, w array<int>, doc array<int>, n array<int>, docs array<bigint>, ids array<bigint>, held array<boolean>, own array<double>"
+#: A bucket's entries of one flush, at most ENTRIES in a row, as unsigned 16-bit numbers: places of v and w in the broadcast list or
+#: in the row's own list of other words, place in its list of documents, and 4 * count + 2 * (v is listed) + (w is listed).
+ENTRIES, MOST = 1 << 15, 16000
+_DEALT = "bucket int, words array<bigint>, v array<smallint>, w array<smallint>, doc array<smallint>, n array<smallint>, docs array<bigint>, ids array<bigint>, held array<boolean>, own array<double>"
 _LISTS = pa.schema(
-    [("bucket", pa.int32()), ("words", pa.list_(pa.int64()))] + [(c, pa.list_(pa.int32())) for c in ("v", "w", "doc", "n")] + [("docs", pa.list_(pa.int64())), ("ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("own", pa.list_(pa.float64()))]
+    [("bucket", pa.int32()), ("words", pa.list_(pa.int64()))] + [(c, pa.list_(pa.int16())) for c in ("v", "w", "doc", "n")] + [("docs", pa.list_(pa.int64())), ("ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("own", pa.list_(pa.float64()))]
 )
 
 
+def short(x: np.ndarray) -> np.ndarray:
+    return x.astype(np.uint16).view(np.int16)
+
+
 def by_count(r: np.ndarray, row: np.ndarray, n: np.ndarray, rows: int) -> np.ndarray:
     """The first K + 2 of SUMS for seen pairs of count r, by row."""
     out = np.zeros((rows, K + 2))
@@ -171,6 +178,9 @@ def _deal(shared, buckets: int):
         context, token, row, spread_out = (x[~dense] for x in (context, token, row, some | (context == BEGIN)))
         pair = mix(context + mix(token))
         _, first, n = np.unique(mix(pair + row.astype(np.uint64)), return_index=True, return_counts=True)
+        if len(n) and n.max() > MOST:  # counts are sent as 16-bit numbers
+            times = -(-n // MOST)
+            first, n = np.repeat(first, times), np.concatenate([np.append(np.full(t - 1, MOST), x - MOST * (t - 1)) for t, x in zip(times, n, strict=True)])
         key = np.where(spread_out, pair, mix(context))[first]
         bucket = ((key >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
         return own, tokens, (context[first], token[first], row[first], n, bucket.astype(np.int64))
@@ -180,14 +190,18 @@ def _deal(shared, buckets: int):
 
     def flush(keys: np.ndarray, held: np.ndarray, entries: list) -> Iterator[pa.RecordBatch]:
         v, w, doc, n, bucket = (np.concatenate(x) for x in zip(*entries, strict=True))
-        order = np.argsort(bucket, kind="stable")
+        known = shared.value.words
+        in_list = [lookup(known, np.arange(len(known)), x) for x in (v, w)]
+        n = n * 4 + (in_list[0] >= 0) * 2 + (in_list[1] >= 0)
+        order = np.lexsort((doc, bucket))
         cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
         rows: dict[str, list] = {f.name: [] for f in _LISTS}
-        for b in np.flatnonzero(np.diff(cut)):
-            at = order[cut[b] : cut[b + 1]]
-            words, index = np.unique(np.concatenate([v[at], w[at]]), return_inverse=True)
+        for b, at in ((b, order[a : min(a + ENTRIES, cut[b + 1])]) for b in np.flatnonzero(np.diff(cut)) for a in range(cut[b], cut[b + 1], ENTRIES)):
+            vi, wi = in_list[0][at], in_list[1][at]
+            words, index = np.unique(np.concatenate([v[at][vi < 0], w[at][wi < 0]]), return_inverse=True)
+            vi[vi < 0], wi[wi < 0] = np.split(index, [(vi < 0).sum()])
             docs, doc_index = np.unique(doc[at], return_inverse=True)
-            for name, x in (("bucket", b), ("words", words.view(np.int64)), ("v", index[: len(at)]), ("w", index[len(at) :]), ("doc", doc_index), ("n", n[at]), ("docs", keys[docs]), ("held", held[docs]), ("ids", []), ("own", [])):
+            for name, x in (("bucket", b), ("words", words.view(np.int64)), ("v", short(vi)), ("w", short(wi)), ("doc", short(doc_index)), ("n", short(n[at])), ("docs", keys[docs]), ("held", held[docs]), ("ids", []), ("own", [])):
                 rows[name].append(x)
             if len(rows["bucket"]) >= 64:
                 yield lists(rows)
@@ -203,7 +217,7 @@ def _deal(shared, buckets: int):
                 own, tokens, (v, w, row, n, bucket) = own_part(shared.value, part)
                 key, held = at + np.arange(part.num_rows), part.column("held").to_numpy(zero_copy_only=False).astype(bool)
                 at += part.num_rows
-                yield lists({"bucket": [-1 - int(key[0] % buckets)], "words": [[]], "v": [[]], "w": [[]], "doc": [[]], "n": [tokens], "docs": [key], "ids": [part.column("doc_id").to_pylist()], "held": [held], "own": [own.ravel()]})
+                yield lists({"bucket": [-1 - int(key[0] % buckets)], "words": [[]], "v": [[]], "w": [[]], "doc": [[]], "n": [[]], "docs": [key], "ids": [part.column("doc_id").to_pylist()], "held": [held], "own": [np.column_stack([tokens, own]).ravel()]})
                 entries.append((v, w, row + rows, n, bucket))
                 keys.append(key)
                 helds.append(held)
@@ -219,7 +233,12 @@ def _deal(shared, buckets: int):
 
 #: kind 0: a document's sums in a bucket. 1: unseen pairs (key: document, v, w unless listed, n). 2: a context's sums (v). 3: an unlisted word seen
 #: after a context (v, w). 4: kinds of pairs (n) with count v. 5: a document (key), its id, n tokens.
-_SCORED = "kind tinyint, key bigint, v bigint, w bigint, n bigint, held boolean, " + ", ".join(f"{c} double" for c in SUMS + LEFT)
+#: x: SUMS of kinds 0 and 5, LEFT of kind 2.
+_SCORED = "kind tinyint, key bigint, v bigint, w bigint, n bigint, held boolean, x array<double>"
+
+
+def named(names: list[str]) -> list[Column]:
+    return [F.col("x")[i].alias(c) for i, c in enumerate(names)]
 
 
 def _flat(table: pa.Table, name: str) -> np.ndarray:
@@ -232,23 +251,34 @@ def _score(shared):
         for name in ("key", "v", "w", "n"):
             columns[name] = cells[name] if isinstance(cells.get(name), pa.Array) else pa.array(cells[name], pa.int64()) if name in cells else pa.nulls(size, pa.int64())
         columns["held"] = pa.array(cells["held"], pa.bool_()) if "held" in cells else pa.nulls(size, pa.bool_())
-        for names, part in ((SUMS, cells.get("sums")), (LEFT, cells.get("left"))):
-            columns |= {c: pa.array(part[:, i]) if part is not None else pa.nulls(size, pa.float64()) for i, c in enumerate(names)}
+        x = cells.get("x")
+        sizes = pa.array(np.arange(size + 1) * (x.shape[1] if x is not None else 0), pa.int32())
+        columns["x"] = pa.nulls(size, pa.list_(pa.float64())) if x is None else pa.ListArray.from_arrays(sizes, pa.array(x.ravel()))
         return pa.table(columns)
 
     def bucket(table: pa.Table) -> pa.Table:
         model: Vocabulary = shared.value
         if table["bucket"][0].as_py() < 0:
             keys = _flat(table, "docs")
-            return rows(5, len(keys), key=keys, v=table["ids"].combine_chunks().flatten(), n=_flat(table, "n"), held=_flat(table, "held"), sums=_flat(table, "own").reshape(-1, len(SUMS)))
+            own = _flat(table, "own").reshape(-1, len(SUMS) + 1)
+            return rows(5, len(keys), key=keys, v=table["ids"].combine_chunks().flatten(), n=own[:, 0].astype(np.int64), held=_flat(table, "held"), x=own[:, 1:])
         sizes = {c: np.array([len(x) for x in table[c]]) for c in ("words", "docs", "v")}
         base = {c: np.repeat(np.cumsum(sizes[c]) - sizes[c], sizes["v"]) for c in ("words", "docs")}
-        word = _flat(table, "words").view(np.uint64)
-        v, w = word[_flat(table, "v") + base["words"]], word[_flat(table, "w") + base["words"]]
+        word = _flat(table, "words").astype(np.int64).view(np.uint64)
+
+        def words_at(column: str, listed: np.ndarray) -> np.ndarray:
+            at = _flat(table, column).view(np.uint16).astype(np.int64)
+            out = np.empty(len(at), np.uint64)
+            out[listed] = model.words[at[listed]]
+            out[~listed] = word[(at + base["words"])[~listed]]
+            return out
+
+        n = _flat(table, "n").view(np.uint16).astype(np.int64)
+        v, w = (words_at(c, n & flag > 0) for c, flag in (("v", 2), ("w", 1)))
         docs, doc_of = np.unique(_flat(table, "docs"), return_inverse=True)
         held = np.zeros(len(docs), bool)
         held[doc_of] = _flat(table, "held").astype(bool)
-        doc, n = doc_of[_flat(table, "doc") + base["docs"]], _flat(table, "n").astype(np.int64)
+        doc, n = doc_of[_flat(table, "doc").view(np.uint16) + base["docs"]], n >> 2
         _, first, pair = np.unique(mix(v + mix(w)), return_index=True, return_inverse=True)
         taught = np.where(held[doc], 0, n)
         r = np.bincount(pair, taught, minlength=len(first)).astype(np.int64)
@@ -268,7 +298,8 @@ def _score(shared):
         unseen = ~seen
         count = model.count(w[unseen])
         sums[:, 8] = np.bincount(doc[unseen][count > 0], (n[unseen] * np.log10(model.probability(np.maximum(count, 0))))[count > 0], minlength=len(docs))
-        out = [rows(0, len(docs), key=docs, sums=sums)]
+        some = (sums != 0).any(1)
+        out = [rows(0, int(some.sum()), key=docs[some], x=sums[some])]
         backed = pa.array(w[unseen].view(np.int64), mask=count > 0)
         out.append(rows(1, int(unseen.sum()), key=docs[doc[unseen]], v=v[unseen].view(np.int64), w=backed, n=n[unseen]))
         # Of contexts: all that may be spread over buckets, and those from which something here backs off.
@@ -283,7 +314,7 @@ def _score(shared):
         count = model.count(kw)
         left[:, K + 1] = np.bincount(kv[count > 0], model.probability(np.maximum(count, 0))[count > 0], minlength=len(contexts))
         some = np.unique(kv)
-        out.append(rows(2, len(some), v=contexts[some].view(np.int64), left=left[some]))
+        out.append(rows(2, len(some), v=contexts[some].view(np.int64), x=left[some]))
         cold = count <= 0
         out.append(rows(3, int(cold.sum()), v=contexts[kv[cold]].view(np.int64), w=kw[cold].view(np.int64)))
         # Dense pairs that no training text has are held out only, so r is 0 and they are not counted here.
@@ -298,6 +329,22 @@ def _log(x: Column) -> Column:
     return F.log10(F.greatest(x, F.lit(1e-300)))
 
 
+def _level() -> Column:
+    """Counts in steps of an eighth of a doubling: some hundred levels whatever the counts."""
+    return F.floor(F.log2(F.col("n").cast("double")) * 8)
+
+
+def _listed_from(words: DataFrame) -> int:
+    """The lowest level from which on there are less than LISTED words; no task sorts the words for that."""
+    least, total = 1 << 30, 0
+    for level, n in sorted(map(tuple, words.groupBy(_level().alias("l")).count().collect()), reverse=True):
+        total += n
+        if total >= LISTED:
+            break
+        least = level
+    return least
+
+
 def katz_scores(docs: DataFrame) -> DataFrame:
     """Scores all texts by a model of those that are not held out.
 
@@ -313,12 +360,12 @@ def katz_scores(docs: DataFrame) -> DataFrame:
     totals = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("tokens"), F.count("*").alias("distinct")).first()
     of_count = {r.n: r.c for r in words.where(f"n <= {K + 1}").groupBy("n").agg(F.count("*").alias("c")).collect()}
     end = int(END.view(np.int64))
-    listed = words.orderBy(F.desc(F.col("word") == end), F.desc("n"), "word").limit(LISTED).toArrow()
+    listed = words.where((F.col("word") == end) | (_level() >= _listed_from(words))).toArrow()
     model = Vocabulary(listed["word"].to_numpy().view(np.uint64), listed["n"].to_numpy(), of_count, totals.tokens, totals.distinct)
     cells = training.mapInArrow(_count_dense(spark.sparkContext.broadcast(model)), "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     model.pairs.ravel()[cells["cell"].to_numpy()] = cells["n"].to_numpy()
     shared = spark.sparkContext.broadcast(model)
-    buckets = spread(docs, 1)
+    buckets = spread(docs, 2)
     scored = stored(docs.mapInArrow(_deal(shared, buckets), _DEALT).groupBy("bucket").applyInArrow(_score(shared), _SCORED), "kind")
 
     dense_v, dense_w = np.nonzero(model.pairs)
@@ -342,7 +389,7 @@ def katz_scores(docs: DataFrame) -> DataFrame:
         return rows.join(known, "w", "left").withColumn("p", F.coalesce("p", F.lit(float(model.unknown))))
 
     unlisted = unigram(scored.where("kind = 3").select("v", "w")).groupBy("v").agg(F.sum("p").alias("p"))
-    contexts = scored.where("kind = 2").select("v", *LEFT).unionByName(dense).groupBy("v").agg(*[F.sum(c).alias(c) for c in LEFT])
+    contexts = scored.where("kind = 2").select("v", *named(LEFT)).unionByName(dense).groupBy("v").agg(*[F.sum(c).alias(c) for c in LEFT])
     remains = sum((F.col(f"m{x}") * float(x * (1 - d[x])) for x in range(1, K + 1)), F.col("large") * float(1 - d[K + 1]))
     free = 1 - F.col("seen") - F.coalesce("p", F.lit(0.0))
     alpha = contexts.join(unlisted, "v", "left").select("v", (_log(remains) - _log(free)).alias("alpha"))
@@ -350,7 +397,7 @@ def katz_scores(docs: DataFrame) -> DataFrame:
     backed = unigram(unseen).join(alpha, "v", "left")
     low = F.when(F.col("w").isNull(), 0.0).otherwise(_log(F.col("p")))
     backed = backed.groupBy("key").agg(F.sum(F.col("n") * (low + F.coalesce("alpha", F.lit(0.0)))).alias("low_log"))
-    parts = scored.where("kind in (0, 5)").select("key", *SUMS).unionByName(backed, allowMissingColumns=True)
+    parts = scored.where("kind in (0, 5)").select("key", *named(SUMS)).unionByName(backed, allowMissingColumns=True)
     total = parts.groupBy("key").agg(*[F.coalesce(F.sum(c), F.lit(0.0)).alias(c) for c in SUMS])
     score = sum((F.col(f"n{x}") * float(np.log10(x * d[x])) for x in range(1, K + 1)), F.col("more") * float(np.log10(d[K + 1])))
     score = score + F.col("more_log") + F.col("context_log") + F.col("low_log")

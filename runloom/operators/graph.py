@@ -26,6 +26,7 @@ def layers(nodes: DataFrame, edges: DataFrame, key: str = "run_rowid", node: str
 
     Peels the graph level by level; a node's layer is the round in which its last dependency was peeled.
     """
+    edges = stored(edges.select(key, "src", "dst"))  # read in every round
     degree = stored(edges.groupBy(key, F.col("dst").alias(node)).agg(F.count("*").alias("n_edges")))
     fresh = stored(roots(nodes, edges, key, node).distinct().withColumn("layer", F.lit(0)))
     done, met, depth = fresh, None, 0

@@ -62,6 +62,7 @@ def propagate(nodes: DataFrame, edges: DataFrame, intrinsic: DataFrame) -> DataF
     and is stored; the number of rounds is that of the longest path. Tasks on or behind a cycle are left out.
     """
     open_ = nodes.select("run_rowid", "task_idx", "trigger_rule").join(intrinsic.select("run_rowid", "task_idx", F.col("state").cast("int").alias("own")), ["run_rowid", "task_idx"])
+    edges = stored(edges.select("run_rowid", "src", "dst"))  # read in every round
     degree = edges.groupBy("run_rowid", F.col("dst").alias("task_idx")).agg(F.count("*").alias("n_edges"))
     open_ = stored(open_.join(degree, ["run_rowid", "task_idx"], "left"))
     done = stored(open_.where("n_edges is null").select("run_rowid", "task_idx", F.col("own").alias("state")))

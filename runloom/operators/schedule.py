@@ -31,6 +31,12 @@ def ticks_between(schedules: DataFrame, start: str = "start_date", end: str = "e
     return rows.withColumn("_n", place).where(F.col("_n") <= limit).drop("_n")
 
 
+def days_from(ticks: DataFrame, days: int) -> DataFrame:
+    """(dag_id, execution_date): each tick and those at its time on the ``days`` days after it, each once."""
+    following = F.sequence("execution_date", F.col("execution_date") + F.expr(f"interval {int(days)} days"), F.expr("interval 1 day"))
+    return ticks.select("dag_id", F.explode(following).alias("execution_date")).distinct()
+
+
 def next_after(schedules: DataFrame, at: str, years: int = 5) -> DataFrame:
     """Adds next_time, the first tick after a time column, null if there is none within ``years``.
 

@@ -270,6 +270,14 @@ def _(c):
     return reads.without_existing_runs(chosen.join(days), c.dag_runs)
 
 
+@query("o39e_cron_dedup_all", """
+    with t as (select distinct dag_id, unnest(generate_series(execution_date, execution_date + interval '7' day, interval '1' day)) as execution_date from {dag_runs})
+    select t.dag_id, t.execution_date from t where not exists (select 1 from {dag_runs} r where r.dag_id = t.dag_id and r.execution_date = t.execution_date)""")
+def _(c):
+    # Ticks of every DAG: the day of each of its runs and the seven days after it.
+    return reads.without_existing_runs(schedule.days_from(c.dag_runs.select("dag_id", "execution_date"), 7), c.dag_runs)
+
+
 @query("o39c_unknown_dependencies", "select e.run_rowid, e.src + 2 as src, e.dst from {edges} e left join {nodes} n on n.run_rowid = e.run_rowid and n.task_idx = e.src + 2 where n.task_idx is null")
 def _(c):
     return reads.unknown_dependencies(c.edges.withColumn("src", F.col("src") + 2), c.nodes).select("run_rowid", "src", "dst")

@@ -7,6 +7,7 @@ import duckdb
 import pytest
 
 from runloom import queries
+from runloom.plans.control_plane import ControlPlane
 
 TABLES = "region nation customer supplier part orders lineitem events".split()
 
@@ -45,3 +46,14 @@ def test_no_cross_product(spark, data):
     for name, f in queries.queries().items():
         plan = f(spark, data)._jdf.queryExecution().simpleString()
         assert "CartesianProduct" not in plan, name
+
+
+def test_cron_dedup_of_all_dags(spark, data):
+    """Ticks of every DAG that has runs are checked, by an equality join."""
+    df = queries.queries()["o39e_cron_dedup_all"](spark, data)
+    assert "NestedLoop" not in df._jdf.queryExecution().simpleString()
+    runs = {(r.dag_id, r.execution_date) for r in ControlPlane(spark, data).dag_runs.select("dag_id", "execution_date").collect()}
+    ticks = {(d, t + datetime.timedelta(days=k)) for d, t in runs for k in range(8)}
+    got = [tuple(r) for r in df.collect()]
+    assert len(got) == len(set(got)) and set(got) == ticks - runs
+    assert {d for d, _ in got} == {d for d, _ in runs}

@@ -60,15 +60,20 @@ def cyclic_nodes(edges: DataFrame, key: str = "run_rowid") -> DataFrame:
 
 
 def reachable(edges: DataFrame, max_depth: int, key: str = "run_rowid") -> DataFrame:
-    """(key, src, dst) of all nodes that lead to each other over at most ``max_depth`` edges."""
-    spark = edges.sparkSession
-    return spark.sql(
-        f"""with recursive r(k, src, dst, depth) as (
-              select {key}, src, dst, 1 from {{e}} union all
-              select r.k, r.src, e.dst, r.depth + 1 from r join {{e}} e on e.{key} = r.k and e.src = r.dst where r.depth < {int(max_depth)})
-            select distinct k as {key}, src, dst from r""",
-        e=edges,
-    )
+    """(key, src, dst) of all nodes that lead to each other over at most ``max_depth`` edges.
+
+    Each round takes the pairs that the last one was first to find one edge further.
+    """
+    edges = stored(edges.select(key, "src", "dst").distinct())  # read in every round
+    following = edges.select(key, F.col("src").alias("dst"), F.col("dst").alias("next"))
+    found = fresh = edges
+    for _ in range(max_depth - 1):
+        reached = fresh.join(following, [key, "dst"]).select(key, "src", F.col("next").alias("dst")).distinct()
+        fresh = stored(reached.join(found, [key, "src", "dst"], "left_anti"))
+        if fresh.isEmpty():
+            break
+        found = found.unionByName(fresh)
+    return found
 
 
 def refused_edges(nodes: DataFrame, edges: DataFrame, key: str = "run_rowid", node: str = "task_idx") -> DataFrame:

@@ -523,6 +523,25 @@ def _(c):
     return state.crash(c.dag_runs, c.sql(_LIVE))
 
 
+#: The changed states of _LIVE, of all runs.
+_STATES = "select run_rowid, task_idx, case when mod(run_rowid + task_idx, 7) = 0 then 1 else state end as state from {task_instances}"
+
+
+@query("o57e_run_states_all", f"with i as ({_STATES}) select run_rowid, count(*) as n, count(*) filter (where state = 3) as failed, case when count(*) filter (where state in (0, 1, 5)) > 0 then 'running' when count(*) filter (where state = 3) > 0 then 'failed' else 'success' end as run_state from i group by run_rowid")
+def _(c):
+    return state.run_states(c.sql(_STATES))
+
+
+@query("o57f_recover_all", f"with i as ({_STATES}) select i.run_rowid, task_idx, cast(case when i.state = 1 then 0 else i.state end as int) as state, case when i.state = 1 then 'Recovered after crash' end as note from i join {{dag_runs}} r on r.run_rowid = i.run_rowid and r.state = 0")
+def _(c):
+    return state.recover(c.dag_runs, c.sql(_STATES))
+
+
+@query("o57g_crash_all", f"with i as ({_STATES}) select i.run_rowid, task_idx, cast(case when i.state = 1 then 3 else i.state end as int) as state, case when i.state = 1 then 'Scheduler crashed during execution' end as error_message from i join {{dag_runs}} r on r.run_rowid = i.run_rowid and r.state = 0")
+def _(c):
+    return state.crash(c.dag_runs, c.sql(_STATES))
+
+
 # Graphs
 
 #: A graph with cycles: every part leads to one other.
@@ -583,6 +602,14 @@ def _(c):
     return graph.reachable(c.edges.where("mod(run_rowid, 3) = 0"), 3)
 
 
+@query("o62f_reachable_all", """
+    with recursive w as (select run_rowid, src, dst from {edges}),
+    r as (select run_rowid, src, dst, 1 as d from w union select r.run_rowid, r.src, w.dst, r.d + 1 from r join w on w.run_rowid = r.run_rowid and w.src = r.dst where r.d < 3)
+    select distinct run_rowid, src, dst from r""")
+def _(c):
+    return graph.reachable(c.edges, 3)
+
+
 # Schedules: '@daily' fires at 0:00, '0 2 * * *' at 2:00
 
 _TICKS = "select s.dag_id, cast(d.d + case when s.cron = '@daily' then interval '0' hour else interval '2' hour end as timestamp) as execution_date from {schedules} s, (select unnest(generate_series(timestamp '2024-01-01', timestamp '2024-01-31', interval '1' day)) as d) d"

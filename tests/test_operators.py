@@ -120,3 +120,11 @@ def test_branching_edge_cases(spark):
     edges = spark.createDataFrame([(i, 0, x) for i in range(4) for x in (1, 2)], "run_rowid long, src int, dst int")
     chosen = spark.createDataFrame([(0, 0, 2, '["t1", 3, "zz"]'), (1, 0, 2, "[]"), (2, 0, 2, "oops"), (3, 0, 3, '["t1"]')], "run_rowid long, task_idx int, state int, value string")
     assert [tuple(r) for r in state.branch_skips(edges, nodes, chosen).collect()] == [(0, 2)]
+
+
+def test_reachable_of_many_pairs(spark):
+    """More pairs than a recursive query of Spark may return."""
+    edges = spark.range(600_000).selectExpr("id div 4 as run_rowid", "cast(id % 4 as int) as src", "cast(id % 4 as int) + 1 as dst")
+    out = graph.reachable(edges, 3)
+    assert out.count() == 150_000 * (4 + 3 + 2)
+    assert sorted((r.src, r.dst) for r in out.where("run_rowid = 7").collect()) == [(a, b) for a in range(5) for b in range(a + 1, 5) if b - a <= 3]

@@ -57,3 +57,22 @@ def test_cron_dedup_of_all_dags(spark, data):
     got = [tuple(r) for r in df.collect()]
     assert len(got) == len(set(got)) and set(got) == ticks - runs
     assert {d for d, _ in got} == {d for d, _ in runs}
+
+
+def test_all_runs_take_part(spark, data):
+    """Run states, recovery, crashes and reachability are those of all runs."""
+    c = ControlPlane(spark, data)
+    found = {n: queries.queries()[n](spark, data) for n in ("o57e_run_states_all", "o57f_recover_all", "o57g_crash_all", "o62f_reachable_all")}
+    runs = lambda df: {r[0] for r in df.select("run_rowid").distinct().collect()}
+    unfinished = c.task_instances.join(c.dag_runs.where("state = 0"), "run_rowid", "left_semi")
+    assert runs(found["o57e_run_states_all"]) == runs(c.task_instances)
+    assert runs(found["o57f_recover_all"]) == runs(found["o57g_crash_all"]) == runs(unfinished)
+    steps, want = {}, set()
+    for k, a, b in c.edges.select("run_rowid", "src", "dst").collect():
+        steps.setdefault((k, a), set()).add(b)
+    for (k, a), ends in steps.items():
+        for _ in range(3):
+            want |= {(k, a, b) for b in ends}
+            ends = {d for b in ends for d in steps.get((k, b), ())}
+    got = [tuple(r) for r in found["o62f_reachable_all"].select("run_rowid", "src", "dst").collect()]
+    assert len(got) == len(set(got)) and set(got) == want

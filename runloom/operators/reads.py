@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.enums import run_state_name, task_state_name
+from ..plans.storage import stored
 
 
 def dag_id_of(run_id: str | Column) -> Column:
@@ -66,6 +67,19 @@ def without_existing_runs(ticks: DataFrame, runs: DataFrame) -> DataFrame:
     return ticks.join(runs.select("dag_id", "execution_date"), ["dag_id", "execution_date"], "left_anti")
 
 
+def numbered(rows: DataFrame, *order: str) -> DataFrame:
+    """Adds place: 1, 2, ... over all rows in the order of the columns.
+
+    Rows are dealt out by range and stored; each range is numbered by itself, after the counts of the ranges before it.
+    """
+    dealt = stored(rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one row for each range
+    ranges = dealt.groupBy("_range").agg(F.count("*").alias("_n")).select("_range", before.alias("_before"))
+    own = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    placed = dealt.withColumn("_own", own).join(F.broadcast(ranges), "_range")
+    return placed.withColumn("place", F.col("_before") + F.col("_own")).drop("_range", "_before", "_own")
+
+
 def run_tasks(instances: DataFrame, nodes: DataFrame) -> DataFrame:
     """Instances with their task ids by position; ``task_<idx>`` where the definition has none."""
     named = instances.join(nodes.select("run_rowid", "task_idx", "task_id"), ["run_rowid", "task_idx"], "left")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import cron, enums, text, values
@@ -471,8 +471,12 @@ def _(c):
 
 @query("o56b_logs_by_time", "select id, ts, row_number() over (order by ts, id) as place from {task_logs} where stream = 'stderr'")
 def _(c):
-    # The place is asked for, so the rows have to be in one order; the errors are the small part of the logs.
-    return c.task_logs.where("stream = 'stderr'").select("id", "ts", F.row_number().over(Window.orderBy("ts", "id")).cast("bigint").alias("place"))
+    return reads.numbered(c.task_logs.where("stream = 'stderr'").select("id", "ts"), "ts", "id")
+
+
+@query("o56g_all_logs_by_time", "select id, ts, row_number() over (order by ts, id) as place from {task_logs}")
+def _(c):
+    return reads.numbered(c.task_logs.select("id", "ts"), "ts", "id")
 
 
 @query("o56c_last_log_lines", "select id, ts, message from {task_logs} order by ts desc, id desc limit 1000")

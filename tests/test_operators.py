@@ -5,6 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+from runloom import queries
 from runloom.functions import cron, enums, text, values
 from runloom.operators import changelog, graph, reads, schedule, state
 
@@ -128,3 +129,20 @@ def test_reachable_of_many_pairs(spark):
     out = graph.reachable(edges, 3)
     assert out.count() == 150_000 * (4 + 3 + 2)
     assert sorted((r.src, r.dst) for r in out.where("run_rowid = 7").collect()) == [(a, b) for a in range(5) for b in range(a + 1, 5) if b - a <= 3]
+
+
+def test_numbered_in_ranges(spark):
+    """Places go on from range to range, and no window holds all rows."""
+    rows = spark.range(5000).select(F.col("id"), (F.col("id") * 7919 % 50).alias("ts"))
+    out = reads.numbered(rows.repartition(7), "ts", "id")
+    want = sorted((i * 7919 % 50, i) for i in range(5000))
+    assert sorted((r.place, r.ts, r.id) for r in out.collect()) == [(n, *x) for n, x in enumerate(want, 1)]
+    assert reads.numbered(rows.limit(0), "ts", "id").count() == 0
+
+
+def test_all_log_lines_are_numbered(spark, data):
+    found = queries.queries()
+    n = spark.read.parquet(f"{data}/events.parquet").count()
+    assert found["o56g_all_logs_by_time"](spark, data).agg(F.max("place")).first()[0] == n
+    plan = found["o56b_logs_by_time"](spark, data)._jdf.queryExecution().optimizedPlan().toString()
+    assert "windowspecdefinition(ts" not in plan  # no order over all rows without a partition

@@ -87,47 +87,73 @@ def _suffix(host: str = "host") -> Column:
     return F.regexp_extract(host, r"([^.]+\.[^.]+)$", 1)
 
 
-def _assembled(df: DataFrame, suffixes: dict[str, float]) -> DataFrame:
-    """Adds the vector of features; of the suffixes' shares of blocked URLs the table holds those of the training rows."""
-    statistic = F.lit(0.5)
-    for name, share in sorted(suffixes.items()):
-        statistic = F.when(_suffix() == name, F.lit(share)).otherwise(statistic)
-    df = df.select("*", *[c.alias(f"f_{n}") for n, c in lexical_features().items()], statistic.alias("f_suffix_blocked"))
+#: Folds of the labelled URLs: a training row's suffix is judged by the rows of the other folds only, never by itself.
+FOLDS = 4
+#: How many rows of the whole table's share of blocked URLs each suffix counts besides its own.
+PRIOR_ROWS = 2
+
+
+def _fold() -> Column:
+    return F.pmod(F.xxhash64("url"), F.lit(FOLDS)).cast("int")
+
+
+def suffix_counts(labelled: DataFrame) -> DataFrame:
+    """(suffix, n, b, ns, bs): labelled and blocked URLs of each suffix, of all and by fold. A host of one label has none."""
+    blocked = F.col("blocked").cast("int")
+    own = lambda value: F.array(*[F.sum(F.when(_fold() == i, value).otherwise(0)) for i in range(FOLDS)])
+    rows = labelled.withColumn("suffix", _suffix()).where("suffix != ''")
+    return rows.groupBy("suffix").agg(F.count("*").alias("n"), F.sum(blocked).alias("b"), own(F.lit(1)).alias("ns"), own(blocked).alias("bs"))
+
+
+def _assembled(df: DataFrame, suffixes: DataFrame, prior: float, training: bool = False) -> DataFrame:
+    """Adds the vector of features; the share of blocked URLs of a row's suffix is that of all labelled rows, smoothed.
+
+    In ``training`` it is that of the other folds' rows.
+    """
+    known = suffixes.select(F.col("suffix").alias("_suffix"), F.struct("n", "b", "ns", "bs").alias("_known"))
+    joined = df.join(known, _suffix() == F.col("_suffix"), "left")
+    n, b = F.col("_known.n"), F.col("_known.b")
+    if training:
+        n, b = n - F.get("_known.ns", _fold()), b - F.get("_known.bs", _fold())
+    statistic = F.coalesce((b + PRIOR_ROWS * prior) / (n + PRIOR_ROWS), F.lit(prior))
+    df = joined.select(*df.columns, *[c.alias(f"f_{n}") for n, c in lexical_features().items()], statistic.alias("f_suffix_blocked"))
     return VectorAssembler(inputCols=[f"f_{n}" for n in FEATURES] + ["f_suffix_blocked"], outputCol="features").transform(df)
 
 
 @dataclass
 class UrlModel:
+    """``suffixes`` is the table of suffix_counts, ``prior`` the share of blocked URLs among all labelled ones."""
+
     trees: GBTClassificationModel | None
-    suffixes: dict[str, float]
-    otherwise: float
+    suffixes: DataFrame | None
+    prior: float
 
     def blocked(self, df: DataFrame) -> DataFrame:
         """Adds block_score (0 to 1) to (url, host, path)."""
         if self.trees is None:
-            return df.withColumn("block_score", F.lit(self.otherwise))
-        scored = self.trees.transform(_assembled(df, self.suffixes))
+            return df.withColumn("block_score", F.lit(self.prior))
+        scored = self.trees.transform(_assembled(df, self.suffixes, self.prior))
         return scored.withColumn("block_score", vector_to_array("probability")[1]).select(*df.columns, "block_score")
 
 
-def fit(labelled: DataFrame, sample: int = 20000, suffixes: int = 64, trees: int = 8, depth: int = 3) -> UrlModel:
+def fit(labelled: DataFrame, sample: int = 20000, trees: int = 8, depth: int = 3) -> UrlModel:
     """Boosted trees from (url, host, path, blocked).
 
-    ``sample`` bounds the rows that are learned from (about; by a hash of the URL and its row), ``suffixes`` the host suffixes
-    of which the share of blocked URLs is a feature (the most frequent). Without labelled rows, or with one label only,
-    there are no trees and every URL gets that label (none: allow).
+    ``sample`` bounds the rows that the trees are fitted on (about; by a hash of the URL and its row). The share of blocked
+    URLs of a host's suffix is a feature; it is counted over all labelled rows, for all suffixes. Without labelled rows, or
+    with one label only, there are no trees and every URL gets that label (none: allow).
     """
     totals = labelled.agg(F.count("*").alias("n"), F.sum(F.col("blocked").cast("int")).alias("b")).first()
     if not totals.n or totals.b in (0, totals.n):
-        return UrlModel(None, {}, 1.0 if totals.n and totals.b else 0.0)
+        return UrlModel(None, None, 1.0 if totals.n and totals.b else 0.0)
+    prior = float(totals.b / totals.n)
     spread = F.pmod(F.xxhash64("url", F.monotonically_increasing_id()), F.lit(1 << 20))
     drawn = stored(labelled.where(spread < min(1.0, sample / totals.n) * (1 << 20)).select("url", "host", "path", F.col("blocked").cast("double").alias("label")))
-    common = drawn.where(_suffix() != "").groupBy(_suffix().alias("s")).agg(F.count("*").alias("n"), F.sum("label").alias("b")).orderBy(F.desc("n"), "s").limit(suffixes)
-    known = {r.s: (r.b + 1) / (r.n + 2) for r in common.collect()}
     if drawn.agg(F.countDistinct("label")).first()[0] < 2:
-        return UrlModel(None, {}, float(totals.b / totals.n))
-    training = _assembled(drawn, known).select("features", "label")
-    return UrlModel(GBTClassifier(maxIter=trees, maxDepth=depth, seed=7, maxBins=32).fit(training), known, 0.0)
+        return UrlModel(None, None, prior)
+    suffixes = stored(suffix_counts(labelled))
+    training = _assembled(drawn, suffixes, prior, training=True).select("features", "label")
+    return UrlModel(GBTClassifier(maxIter=trees, maxDepth=depth, seed=7, maxBins=32).fit(training), suffixes, prior)
 
 
 def judge(pages: DataFrame, rules: list[Rule], model: UrlModel | None = None) -> DataFrame:

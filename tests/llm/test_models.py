@@ -132,6 +132,20 @@ def test_trees_learn(spark):
     assert scored.where("(block_score > 0.5) = blocked").count() / scored.count() > 0.95
 
 
+def test_all_suffixes_count(spark):
+    """Suffixes beyond the 64 most frequent, and rows outside the sample, count towards the share of blocked URLs."""
+    rows = [(f"http://h{j}.s{i:03d}.net/{j}/x", i % 2 == 1) for i in range(120) for j in range(6 if i < 80 else 3)]
+    rows += [("http://host/x", True)]
+    df = spark.createDataFrame(rows, "url string, blocked boolean").withColumn("host", url_filter.host_of()).withColumn("path", url_filter.path_of())
+    model = url_filter.fit(df, sample=200)
+    counts = {r.suffix: r for r in model.suffixes.collect()}
+    assert {s: (r.n, r.b) for s, r in counts.items()} == {f"s{i:03d}.net": (n, n * (i % 2)) for i in range(120) for n in [6 if i < 80 else 3]}
+    assert all(sum(r.ns) == r.n and sum(r.bs) == r.b for r in counts.values())
+    asked = spark.createDataFrame([(f"http://new.s{i:03d}.net/0/x",) for i in range(120)], "url string").withColumn("host", url_filter.host_of()).withColumn("path", url_filter.path_of())
+    scores = {int(r.host[5:8]): r.block_score for r in model.blocked(asked).collect()}
+    assert sum((scores[i] > 0.5) == (i % 2 == 1) for i in range(80, 120)) >= 36
+
+
 def test_pipeline(spark, data):
     """Each stage against a plain version on its own input."""
     import corpus_pipeline as cp

@@ -3,10 +3,12 @@
 Every vector is represented by its nearest pivots in order. The rows of a partition form shards; a shard holds, for each
 pivot, the file of the vectors that have it among their ``indexed`` nearest, with the place it has there. A query walks the
 files of its own ``searched`` nearest pivots and adds up, for each vector, by how much the places differ (footrule distance;
-a pivot that a vector doesn't have counts as the farthest). The vectors with the smallest distance are compared with the
-query exactly, and the best of all shards are merged.
+a pivot that a vector doesn't have counts as the farthest). Pivots tell of directions only, so the distance gives an
+estimate of the cosine, and times the vector's length one of the inner product. The vectors with the largest estimate are
+compared with the query exactly, and the best of all shards are merged.
 
-Queries go to the shards in blocks of bounded size. The pivots are a bounded sample of the rows.
+Queries go to the shards in blocks of bounded size; a block's result is stored before the next block is fetched. The pivots
+are a bounded sample of the rows.
 """
 
 from __future__ import annotations
@@ -18,9 +20,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import stored
 
 #: Vectors of a shard, and queries of a block.
 SHARD_ROWS, BLOCK_ROWS = 4096, 16384
+#: Queries of a block from which a shard learns what cosine a distance stands for, and by how many standard deviations the
+#: estimate is raised: a long vector may be among the best although its direction is a middling one.
+LEARNED, RAISED = 32, 2.0
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -54,16 +60,37 @@ class Shard:
         self.file = np.searchsorted(near.ravel()[posted], np.arange(len(pivots) + 1))
         self.indexed = near.shape[1]
 
+    def _saved(self, near: np.ndarray) -> np.ndarray:
+        """What each vector's distance from a query is less than the largest."""
+        saved = np.zeros(len(self.ids), np.int32)
+        for place, pivot in enumerate(near):
+            own = slice(self.file[pivot], self.file[pivot + 1])
+            saved[self.row[own]] += self.indexed - np.abs(self.place[own] - place)
+        return saved
+
+    def _cosines(self, query_ids: np.ndarray, queries: np.ndarray, near: np.ndarray, lengths: np.ndarray) -> tuple[float, float]:
+        """Cosine that nothing saved stands for (raised), and what each unit saved adds: the line fitted to some queries."""
+        x, y = [], []
+        for q in range(0, len(query_ids), max(1, len(query_ids) // LEARNED)):
+            others = self.ids != query_ids[q]
+            x.append(self._saved(near[q])[others].astype(np.float64))
+            y.append((exact(self.vectors, queries[q]) / (lengths * np.linalg.norm(queries[q])))[others])
+        x, y = np.concatenate(x or [np.zeros(0)]), np.concatenate(y or [np.zeros(0)])
+        spread = x.var() if len(x) else 0.0
+        slope = max(((x - x.mean()) * (y - y.mean())).mean() / spread, 0.0) if spread > 0 else 0.0
+        rest = y - slope * x
+        return (float(rest.mean() + RAISED * rest.std()), float(slope)) if len(x) else (1.0, 0.0)
+
     def search(self, query_ids: np.ndarray, queries: np.ndarray, near: np.ndarray, rerank: float, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """(query, ids, scores): the k best of the candidates of each query, itself left out."""
         some = min(len(self.ids), max(int(rerank * len(self.ids)), 4 * k))
+        if some < len(self.ids):
+            lengths = np.linalg.norm(self.vectors, axis=1)
+            least, slope = self._cosines(query_ids, queries, near, lengths)
         for q in range(len(query_ids)):
-            saved = np.zeros(len(self.ids), np.int32)  # what a vector's distance is less than the largest
-            for place, pivot in enumerate(near[q]):
-                own = slice(self.file[pivot], self.file[pivot + 1])
-                saved[self.row[own]] += self.indexed - np.abs(self.place[own] - place)
             if some < len(self.ids):
-                candidates = np.sort(np.argpartition(-(saved.astype(np.int64) * len(saved) - np.arange(len(saved))), some - 1)[:some])
+                estimate = lengths * (least + slope * self._saved(near[q]))
+                candidates = np.sort(np.argpartition(-estimate, some - 1)[:some])
             else:
                 candidates = np.arange(len(self.ids))
             candidates = candidates[self.ids[candidates] != query_ids[q]]
@@ -114,7 +141,7 @@ def nearest(
     """(query_id, rank, vec_id, score): the k nearest of all other rows for each row whose vec_id is divisible by ``every``.
 
     Takes vec_id and embedding; other columns are ignored. Nearness is the inner product in double precision, ties go to
-    the smaller vec_id. Vectors that are null, zero or hold null or non-finite components, rows without vec_id, and vectors
+    the smaller vec_id; vectors may have any lengths. Vectors that are null, zero or hold null or non-finite components, rows without vec_id, and vectors
     of another length than the most frequent take no part. Rows that repeat a vec_id are candidates of their own, and
     none is found for a query of that id. ``pivots`` bounds the sample that the index is fitted on, ``rerank`` is the
     share of a shard that is compared exactly. An empty table gives no rows.
@@ -133,12 +160,14 @@ def nearest(
     shared = spark.sparkContext.broadcast(points)
     wanted = rows.where(F.col("vec_id") % every == 0)
     blocks = max(1, -(-wanted.count() // BLOCK_ROWS))
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     found = None
     for b in range(blocks):
         block = wanted.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).toArrow()
         ids, queries = block["vec_id"].to_numpy(), matrix(block["vector"], dims)
         sent = spark.sparkContext.broadcast((ids, queries, nearest_pivots(queries, points, searched)))
         part = rows.mapInArrow(_search(sent, shared, dims, indexed, rerank, k), schema)
+        part = stored(part.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"))
+        sent.unpersist()
         found = part if found is None else found.unionByName(part)
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return found

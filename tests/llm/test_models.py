@@ -76,6 +76,23 @@ def test_neighbours_recall(spark, data):
     assert hit / total >= 0.9
 
 
+@pytest.mark.parametrize("kind", ["few long", "mixed"])
+def test_neighbours_of_mixed_lengths(spark, data, monkeypatch, kind):
+    """Long vectors of middling directions are found; queries in several blocks."""
+    monkeypatch.setattr(neighbours, "BLOCK_ROWS", 10)
+    rng = np.random.default_rng(4)
+    rows = spark.read.parquet(f"{data}/embeddings.parquet").select("vec_id", "embedding").collect()
+    lengths = np.where(rng.random(len(rows)) < 0.05, 5.0, 1.0) if kind == "few long" else rng.lognormal(0, 0.8, len(rows))
+    vectors = {r.vec_id: np.array(r.embedding, float) * x for r, x in zip(rows, lengths, strict=True)}
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in vectors.items()], "vec_id long, embedding array<double>").coalesce(1)
+    hit = total = 0
+    for r in neighbours.nearest(table).groupBy("query_id").agg(F.collect_set("vec_id").alias("x")).collect():
+        best = sorted((-float(v @ vectors[r.query_id]), i) for i, v in vectors.items() if i != r.query_id)[:20]
+        hit, total = hit + len(set(r.x) & {i for _, i in best}), total + 20
+    assert total == 20 * sum(i % 20 == 0 for i in vectors)
+    assert hit / total >= 0.9
+
+
 def test_neighbours_of_odd_vectors(spark):
     schema = "vec_id long, embedding array<float>"
     assert neighbours.nearest(spark.createDataFrame([], schema)).count() == 0

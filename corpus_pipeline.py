@@ -39,7 +39,7 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
     Of rows that repeat that doc_id with equal sets of shingles one stays. Documents without words or id stay.
     """
-    _, members = ngram_jaccard_join(docs, k=5, percent=80)
+    _, members = ngram_jaccard_join(docs, k=5, percent=80, every_link=False)
     gone = members.where("n_shingles > 0 and doc_id != component_id").select("doc_id").distinct()
     kept = docs.select(COLUMNS).join(gone, "doc_id", "left_anti").select(COLUMNS)
     twice = members.where("n_shingles > 0 and doc_id = component_id").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_id"))

@@ -11,8 +11,8 @@ fragments twice:
   fragment by fragment, and the partial overlaps are summed per pair. A pair links when ``100*overlap >= 80*union``.
 
 Texts with equal sets form one class and count once. Within a large group of sets that agree on a fragment no pairs are
-listed: all are compared with one member, and later members of different components only, where a prefix filter lets them
-meet. So components are exact although a group of near copies does not give all its pairs.
+listed at once: all are compared with one member, and later those that a prefix filter lets meet. For all links these are
+all members of large groups; where only components are wanted, members of different components.
 """
 
 from __future__ import annotations
@@ -339,13 +339,13 @@ def _across(sets: DataFrame, labelled: DataFrame, percent: int) -> DataFrame:
     return x.join(y, "gram").where(f"la != lb and a < b and {_near(percent)} and {most}").select("a", "b", "na", "nb").distinct()
 
 
-def ngram_jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:
+def ngram_jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80, every_link: bool = True) -> tuple[DataFrame, DataFrame]:
     """Links between different texts and the class and component of each document.
 
     Takes doc_id and text; other columns are ignored. Returns (links, members):
 
-    * links: ``a``, ``b`` (classes, as 64-bit prints of their sets), ``na``, ``nb``, ``overlap``: linked pairs enough to
-      connect every component;
+    * links: ``a``, ``b`` (classes, as 64-bit prints of their sets), ``na``, ``nb``, ``overlap``: all linked pairs, or
+      without ``every_link`` (their number can grow with the square of a group of near copies) enough to connect every component;
     * members: one row for each row of docs: ``doc_id``, ``print``, ``n_shingles``, ``component`` (a class of its component),
       ``component_id`` (smallest doc_id there).
 
@@ -369,17 +369,31 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80) -> tuple[
     most = F.col("shared") + F.least(F.coalesce("la", F.lit(0)), F.coalesce("lb", F.lit(0)))
     pairs = stored(pairs.where(most >= _needed(percent)).select("a", "b", "na", "nb"))
     links = stored(_verified(_sets(docs, classes, _ends(pairs), k), pairs, percent))
-    labels = components(links.select("a", "b"))
-    large = large.join(labels.withColumnRenamed("node", "print"), "print", "left").withColumn("label", F.coalesce("label", "print"))
-    mixed = large.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l < h").select("key")
-    apart = large.join(mixed, "key", "left_semi").groupBy("print", "n", "label").agg(F.count("*").alias("often"))
+    if every_link:
+        apart = large.groupBy("print", "n").agg(F.count("*").alias("often")).withColumn("label", F.col("print"))
+    else:
+        labels = components(links.select("a", "b"))
+        large = large.join(labels.withColumnRenamed("node", "print"), "print", "left").withColumn("label", F.coalesce("label", "print"))
+        mixed = large.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l < h").select("key")
+        apart = large.join(mixed, "key", "left_semi").groupBy("print", "n", "label").agg(F.count("*").alias("often"))
     apart = stored(apart.where(F.col("often") >= _least_needed(percent)).drop("often"))
-    if not apart.isEmpty():
+    more = not apart.isEmpty()
+    if more:
         sets = _sets(docs, classes, apart.select("print"), k)
-        more = stored(_across(sets, apart, percent).join(pairs, ["a", "b"], "left_anti"))
-        links = stored(links.unionByName(_verified(sets, more, percent)))
+        met = stored(_across(sets, apart, percent).join(pairs, ["a", "b"], "left_anti"))
+        links = stored(links.unionByName(_verified(sets, met, percent)))
+    if every_link or more:
         labels = components(links.select("a", "b"))
     named = classes.join(labels.withColumnRenamed("node", "print"), "print", "left").withColumn("component", F.coalesce("label", "print")).drop("label")
     smallest = named.where("n_shingles > 0").groupBy("component").agg(F.min("doc_id").alias("component_id"))
     members = named.join(smallest, "component", "left").withColumn("component_id", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
     return links, members.select("doc_id", "print", F.col("n_shingles").cast("bigint").alias("n_shingles"), "component", "component_id")
+
+
+def link_counts(links: DataFrame, members: DataFrame) -> DataFrame:
+    """Adds n_links to each member, from all links: how many other documents it links with, those of its own class included."""
+    copies = members.where("n_shingles > 0").groupBy("print").agg(F.count("*").alias("copies"))
+    ends = links.select("a", "b").union(links.select("b", "a")).toDF("print", "other")
+    others = ends.join(copies.toDF("other", "more"), "other").groupBy("print").agg(F.sum("more").alias("others"))
+    counted = copies.join(others, "print", "left").select("print", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
+    return members.join(counted, "print", "left").withColumn("n_links", F.coalesce("n_links", F.lit(0)))

@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 from .decontamination import decontaminate, items_digest
 from .line_dedup import line_dedup
-from .ngram_jaccard import ngram_jaccard_join
+from .ngram_jaccard import link_counts, ngram_jaccard_join
 from .shared import table
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, members = ngram_jaccard_join(table(spark, sf_dir, "documents"), k=5, percent=80)
+    _, members = ngram_jaccard_join(table(spark, sf_dir, "documents"), k=5, percent=80, every_link=False)
     return members.select("doc_id", "n_shingles", "component_id")
 
 
@@ -32,6 +32,17 @@ select s.doc_id, len(s.gs) as n_shingles, least(s.doc_id, coalesce(c.m, s.doc_id
 """
 
 
+def op1_ngram_jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    links, members = ngram_jaccard_join(table(spark, sf_dir, "documents"), k=5, percent=80)
+    return link_counts(links, members).select("doc_id", "n_shingles", "n_links")
+
+
+OP1_LINKS_SQL = OP1_SQL[: OP1_SQL.index("e as (")] + """e as (select a, b from l union all select b, a from l),
+c as (select a, count(*) as n from e group by a)
+select s.doc_id, len(s.gs) as n_shingles, coalesce(c.n, 0) as n_links from s left join c on c.a = s.doc_id
+"""
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), window=3)
     return docs.select("doc_id", "n_lines", "n_removed", F.md5(F.col("text").cast("binary")).alias("text_md5"))
@@ -74,5 +85,5 @@ select d.doc_id, len(ws)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit
 from d left join c using (doc_id) left join i using (doc_id)
 """
 
-QUERIES = {"op8_benchmark_decontamination": op8_benchmark_decontamination, "op3_line_dedup": op3_line_dedup, "op1_ngram_jaccard_join": op1_ngram_jaccard_join}
-ORACLE_SQL = {"op8_benchmark_decontamination": OP8_SQL, "op3_line_dedup": OP3_SQL, "op1_ngram_jaccard_join": OP1_SQL}
+QUERIES = {"op8_benchmark_decontamination": op8_benchmark_decontamination, "op3_line_dedup": op3_line_dedup, "op1_ngram_jaccard_join": op1_ngram_jaccard_join, "op1_ngram_jaccard_links": op1_ngram_jaccard_links}
+ORACLE_SQL = {"op8_benchmark_decontamination": OP8_SQL, "op3_line_dedup": OP3_SQL, "op1_ngram_jaccard_join": OP1_SQL, "op1_ngram_jaccard_links": OP1_LINKS_SQL}

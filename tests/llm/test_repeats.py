@@ -60,6 +60,25 @@ def test_components_are_exact(spark, monkeypatch, small, share):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in members.collect()} == components(rows)
 
 
+@pytest.mark.parametrize(("small", "share"), [(12, 0.03), (2, 0.05), (1, 0.08)])
+def test_links_are_whole(spark, monkeypatch, small, share):
+    """All linked pairs, also within large groups; components are the same without them."""
+    monkeypatch.setattr(ngram_jaccard, "SMALL_GROUP", small)
+    rows = near_copies(small, 40, 150, share)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    links, members = ngram_jaccard.ngram_jaccard_join(docs)
+    members = members.cache()
+    sets = {i: sets_of(t) for i, t in rows}
+    want = {i: sum(1 for j in sets if i != j and sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])) for i in sets}
+    assert {r.doc_id: r.n_links for r in ngram_jaccard.link_counts(links, members).collect()} == want
+    prints = {r.doc_id: r.print for r in members.collect()}
+    pairs = {tuple(sorted((prints[i], prints[j]))) for i in sets for j in sets if prints[i] != prints[j] and sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])}
+    got = [(r.a, r.b) for r in links.collect()]
+    assert len(got) == len(set(got)) and set(got) == pairs
+    _, quick = ngram_jaccard.ngram_jaccard_join(docs, every_link=False)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in quick.collect()} == components(rows)
+
+
 def test_similarity_join_of_odd_tables(spark):
     schema = "doc_id long, text string, print string, component string"
     empty = spark.createDataFrame([], schema)

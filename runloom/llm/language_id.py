@@ -126,10 +126,38 @@ def _sparse(dims: int):
     return task
 
 
+def _frequencies(dims: int):
+    """One array for each task: in how many texts each place occurs; and how many texts there were."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts_met, total = 0, np.zeros(dims, np.int64)
+        for batch in batches:
+            for part in chunks(batch, "text"):
+                for a in range(0, part.num_rows, BLOCK_ROWS):
+                    total += np.count_nonzero(gram_counts(part.slice(a, BLOCK_ROWS).column("text"), dims), axis=0)
+                texts_met += part.num_rows
+        if texts_met:
+            place = np.append(np.flatnonzero(total), -1)  # -1: all texts
+            yield pa.record_batch([pa.array(place.astype(np.int32)), pa.array(np.append(total[place[:-1]], texts_met))], names=["place", "n"])
+
+    return task
+
+
+def document_frequencies(docs: DataFrame, dims: int) -> tuple[int, np.ndarray]:
+    """Number of all texts (text), and in how many of them each place occurs."""
+    sums = docs.select("text").mapInArrow(_frequencies(dims), "place int, n bigint").groupBy("place").agg(F.sum("n").alias("n"))
+    found = {r.place: r.n for r in sums.collect()}  # at most dims rows and one
+    total = found.pop(-1, 0)
+    frequency = np.zeros(dims, np.int64)
+    frequency[list(found)] = list(found.values())
+    return total, frequency
+
+
 def fit(labelled: DataFrame, clusters: int = 3, dims: int = 4096, sample: int = 1500, slack: float = 0.5) -> Model:
     """Learns from doc_id, text and lang; rows with a null in any of them, and texts without a letter, teach nothing.
 
-    ``sample`` bounds the texts that a language is learned from (about; chosen by a hash of doc_id). What reaches the driver
+    ``sample`` bounds the texts that the centroids of a language are fitted on (about; chosen by a hash of doc_id). Document
+    frequencies are those of all texts that teach. What reaches the driver
     is the frequencies of ``dims`` places and ``clusters`` centroids for each language.
     """
     labelled = labelled.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where("doc_id is not null and lang is not null")
@@ -138,12 +166,11 @@ def fit(labelled: DataFrame, clusters: int = 3, dims: int = 4096, sample: int =
     if not counts:
         return Model(np.zeros(0, object), np.zeros((0, dims), np.float32), np.ones(dims, np.float32), np.zeros(0))
     share = F.coalesce(*[F.when(F.col("lang") == k, F.lit(min(1.0, sample / n))) for k, n in sorted(counts.items())])
-    drawn = labelled.where(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 20)) < share * (1 << 20)).where(r"text rlike '\\p{L}'")
+    lettered = labelled.where(r"text rlike '\\p{L}'")
+    total, frequency = document_frequencies(lettered, dims)
+    idf = np.where(frequency > 0, np.log((1 + total) / (1 + frequency)) + 1e-3, np.log1p(total)).astype(np.float32)
+    drawn = lettered.where(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 20)) < share * (1 << 20))
     drawn = stored(drawn.select("lang", "text").mapInArrow(_sparse(dims), schema))
-    total = drawn.count()
-    idf = np.full(dims, np.log1p(total), np.float32)
-    for r in drawn.select(F.explode("place").alias("p")).groupBy("p").count().collect():  # at most dims rows
-        idf[r.p] = np.log((1 + total) / (1 + r["count"])) + 1e-3
 
     def centroids(table: pa.Table) -> pa.Table:
         rows = np.repeat(np.arange(table.num_rows), [len(x) for x in table["place"]])

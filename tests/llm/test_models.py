@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from brute import katz, plain, spaced
 from pyspark.sql import functions as F
@@ -39,6 +40,18 @@ def test_language_accuracy(spark, data):
     assert held.agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int"))).first()[0] > 0.95
 
 
+def test_document_frequencies_of_all_texts(spark):
+    """The weights count every text that teaches, not the sample."""
+    rows = [(i, "the same words" if i % 10 else f"rare w{'abcdefghij'[i // 10 % 10]}", "en" if i < 390 else "de") for i in range(400)] + [(900, None, "en"), (901, "12 34", "en"), (902, "not labelled", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    model = language_id.fit(docs, sample=20)
+    present = np.zeros(4096, int)
+    for _, text, _ in rows[:400]:
+        present += language_id.gram_counts(pa.array([text]), 4096)[0] > 0
+    want = np.where(present > 0, np.log(401 / (1 + present)) + 1e-3, np.log1p(400))
+    assert np.allclose(model.idf, want, atol=1e-5)
+
+
 def test_language_of_odd_texts(spark, data):
     model = language_id.fit(spark.read.parquet(f"{data}/documents.parquet"))
     rows = [(1, None), (2, ""), (3, "123 ..."), (4, "a"), (5, "漢字漢字漢字" * 50), (None, "the and of that " * 20)]

@@ -125,7 +125,9 @@ def _deal(buckets: int, k: int, percent: int):
         doc = pa.concat_arrays(docs)
         fp, n = np.concatenate(prints), np.concatenate(sizes)
         out = {name: [] for name in schema.names}
-        place = (fp % np.uint64(buckets)).astype(np.int64)
+        # By document as well, so that the copies of a text are not one bucket's.
+        ids = doc.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+        place = (mix(ids + fp * _SALT[0]) % np.uint64(buckets)).astype(np.int64)
         order = np.argsort(place, kind="stable")
         bounds = np.searchsorted(place[order], np.arange(buckets + 1))
         for b in np.flatnonzero(np.diff(bounds)):
@@ -133,6 +135,9 @@ def _deal(buckets: int, k: int, percent: int):
             for name, v in (("bucket", -1 - b), ("keys", []), ("at", []), ("docs", doc.take(pa.array(own))), ("prints", fp[own].view(np.int64)), ("sizes", n[own])):
                 out[name].append(v)
         key, row = np.concatenate(keys), np.concatenate(rows)
+        first = np.zeros(len(fp), bool)  # of the copies of a set one hands on its keys
+        first[np.unique(fp, return_index=True)[1]] = True
+        key, row = key[first[row]], row[first[row]]
         bucket = ((key >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
         order = np.argsort(bucket, kind="stable")
         key, row = key[order], row[order]

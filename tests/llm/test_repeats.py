@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 from brute import plain, spaced
 
@@ -79,6 +80,21 @@ def test_links_are_whole(spark, monkeypatch, small, share):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in quick.collect()} == components(rows)
 
 
+def test_copies_are_dealt_once():
+    """Copies of a text hand on their keys once in a flush, and no bucket holds all of them."""
+    text = " ".join(f"w{i}" for i in range(60))
+
+    def dealt(texts):
+        batch = pa.record_batch([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], names=["doc_id", "text"])
+        return [r for b in ngram_jaccard._deal(8, 5, 80)(iter([batch])) for r in b.to_pylist()]
+
+    keys = lambda rows: sorted(k for r in rows for k in r["keys"])
+    many = dealt([text] * 1000 + [""] * 1000)
+    assert keys(many) == keys(dealt([text]))
+    held = [len(r["docs"]) for r in many if r["bucket"] < 0]
+    assert sum(held) == 2000 and len(held) == 8 and max(held) < 400
+
+
 def test_similarity_join_of_odd_tables(spark):
     schema = "doc_id long, text string, print string, component string"
     empty = spark.createDataFrame([], schema)

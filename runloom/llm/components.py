@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import stored
+from .shared import removed, stored
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -26,7 +26,9 @@ def components(links: DataFrame) -> DataFrame:
         small = stored(small.where("u != v").distinct())
         # Done when every larger end has one smaller end that is itself nobody's larger end.
         again = small.groupBy("u").count().where("count > 1").select("u").union(small.join(small.selectExpr("u w"), F.col("v") == F.col("w"), "left_semi").select("u"))
+        ended = again.isEmpty()
+        removed(edges)
         edges = small
-        if again.isEmpty():
+        if ended:
             break
     return edges.select(F.col("u").alias("node"), F.col("v").alias("label")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())

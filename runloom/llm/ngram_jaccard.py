@@ -21,17 +21,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import spread, stored
+from .shared import Sent, removed, spread, stored, tidied
 from .words import SPACED, Words, chunks, constants, mix, runs
 
 #: Up to this many sets that agree on a fragment are compared pairwise at once; in larger groups a centre comes first.
 SMALL_GROUP = 12
-#: Fragments of the verification.
-FRAGMENTS = 8
 #: Entries that a task gathers before it hands them on.
 FLUSH = 1 << 20
 
@@ -112,64 +111,97 @@ def fragment_keys(sets: np.ndarray, sizes: np.ndarray, percent: int) -> tuple[np
     return np.concatenate(keys), np.concatenate(rows)
 
 
-#: A bucket's entries of one flush. Classes of documents (bucket < 0): docs, prints, sizes. Fragments: keys, their class (at).
-_DEALT = "bucket int, keys array<bigint>, at array<int>, docs array<bigint>, prints array<bigint>, sizes array<int>"
-#: kind 0: doc_id, print, size. 1: a pair in a bucket's small groups, and how many. 2: a member of a large group: key, print, size.
-_MET = "kind tinyint, a bigint, b bigint, na int, nb int, shared int"
+#: What a task hands on in one flush. The distinct sets of a flush are numbered from 0 (``at``; at most 65535 of them); with the
+#: flush's number that is a set's id. bucket >= 0: fragments as the low halves of their keys, set after set (counts: how many of
+#: each; at = NO_SET: keys of which the flush had a large group). bucket < 0, dealt by row: documents with their prints and
+#: sizes (at = NO_SET but for a set's first document), and the members of large groups (hot: places of keys).
+_DEALT = "bucket int, flush bigint, keys array<int>, counts array<tinyint>, at array<smallint>, docs array<bigint>, prints array<bigint>, sizes array<int>, hot array<bigint>"
+_LISTS = {"keys": pa.int32(), "counts": pa.int8(), "at": pa.int16(), "docs": pa.int64(), "prints": pa.int64(), "sizes": pa.int32(), "hot": pa.int64()}
+NO_SET, MOST_KEYS = 65535, 127
+#: kind 0: doc_id, print, n shingles. 1: ids of two sets in a bucket's small groups, and in how many. 2: place of a large group, id of
+#: a member. 3: id of a set, its print and n shingles.
+_MET = "kind tinyint, a bigint, b bigint, n int"
 
 
 def _deal(buckets: int, k: int, percent: int):
-    schema = pa.schema([("bucket", pa.int32()), ("keys", pa.list_(pa.int64())), ("at", pa.list_(pa.int32())), ("docs", pa.list_(pa.int64())), ("prints", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32()))])
-
-    def flush(docs: list, prints: list, sizes: list, keys: list, rows: list) -> Iterator[pa.RecordBatch]:
-        doc = pa.concat_arrays(docs)
-        fp, n = np.concatenate(prints), np.concatenate(sizes)
-        out = {name: [] for name in schema.names}
-        # By document as well, so that the copies of a text are not one bucket's.
+    schema = pa.schema([("bucket", pa.int32()), ("flush", pa.int64())] + [(c, pa.list_(t)) for c, t in _LISTS.items()])
+
+    def rows(bucket: np.ndarray, flush: int, **lists: tuple[np.ndarray | pa.Array, np.ndarray]) -> pa.RecordBatch:
+        """lists: values of all rows and where each row's begin and end."""
+        cells = [pa.array(bucket, pa.int32()), pa.array(np.full(len(bucket), flush))]
+        for name, kind in _LISTS.items():
+            values, ends = lists.get(name, (np.zeros(0, np.int64), np.zeros(len(bucket) + 1)))
+            values = values if isinstance(values, pa.Array) else pa.array(values, kind)
+            cells.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values))
+        return pa.record_batch(cells, schema=schema)
+
+    def short(x: np.ndarray) -> np.ndarray:
+        return x.astype(np.uint16).view(np.int16)
+
+    def flushed(flush: int, docs: list, prints: list, sizes: list, keys: list, at: list) -> Iterator[pa.RecordBatch]:
+        doc, fp, n = pa.concat_arrays(docs), np.concatenate(prints), np.concatenate(sizes)
+        _, first, number = np.unique(fp, return_index=True, return_inverse=True)
+        is_first = np.zeros(len(fp), bool)
+        is_first[first] = True
+        # Documents go by id and print, so that the copies of a text are not one bucket's.
         ids = doc.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-        place = (mix(ids + fp * _SALT[0]) % np.uint64(buckets)).astype(np.int64)
-        order = np.argsort(place, kind="stable")
-        bounds = np.searchsorted(place[order], np.arange(buckets + 1))
-        for b in np.flatnonzero(np.diff(bounds)):
-            own = order[bounds[b] : bounds[b + 1]]
-            for name, v in (("bucket", -1 - b), ("keys", []), ("at", []), ("docs", doc.take(pa.array(own))), ("prints", fp[own].view(np.int64)), ("sizes", n[own])):
-                out[name].append(v)
-        key, row = np.concatenate(keys), np.concatenate(rows)
-        first = np.zeros(len(fp), bool)  # of the copies of a set one hands on its keys
-        first[np.unique(fp, return_index=True)[1]] = True
-        key, row = key[first[row]], row[first[row]]
+        order, ends = _dealt((mix(ids + fp * _SALT[0]) % np.uint64(buckets)).astype(np.int64), buckets)
+        yield rows(
+            -1 - np.arange(buckets), flush, docs=(doc.take(pa.array(order)), ends), prints=(fp[order].view(np.int64), ends), sizes=(n[order], ends), at=(short(np.where(is_first, number, NO_SET)[order]), ends)
+        )
+        key, row = np.concatenate(keys), np.concatenate(at)
+        key, of = key[is_first[row]], number[row[is_first[row]]]  # of the copies of a set one hands on its keys
         bucket = ((key >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
-        order = np.argsort(bucket, kind="stable")
-        key, row = key[order], row[order]
-        bounds = np.searchsorted(bucket[order], np.arange(buckets + 1, dtype=np.uint64))
-        for b in np.flatnonzero(np.diff(bounds)):
-            own, at = np.unique(row[bounds[b] : bounds[b + 1]], return_inverse=True)
-            for name, v in (("bucket", b), ("keys", key[bounds[b] : bounds[b + 1]].view(np.int64)), ("at", at), ("docs", []), ("prints", fp[own].view(np.int64)), ("sizes", n[own])):
-                out[name].append(v)
-        for a in range(0, len(out["bucket"]), 256):  # Arrow batches of some MB
-            yield pa.record_batch([pa.array(out[f.name][a : a + 256], f.type) for f in schema], schema=schema)
+        place = (bucket << np.uint64(32)) | (key & np.uint64(0xFFFFFFFF))
+        order = np.argsort(place, kind="stable")
+        place, of = place[order], of[order]
+        begin = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]])) if len(place) else order
+        size = np.diff(np.append(begin, len(place)))
+        large = np.repeat(size > SMALL_GROUP, size)
+        if large.any():
+            order, ends = _dealt((mix(place[large] + of[large].astype(np.uint64) * _SALT[2]) % np.uint64(buckets)).astype(np.int64), buckets)
+            yield rows(-1 - np.arange(buckets), flush, hot=(place[large][order].view(np.int64), ends), at=(short(of[large][order]), ends))
+        told = place[begin[size > SMALL_GROUP]]
+        place, of = np.concatenate([place[~large], told]), np.concatenate([of[~large], np.full(len(told), NO_SET)])
+        bucket = (place >> np.uint64(32)).astype(np.int64)
+        order = np.argsort((bucket << 16) | of, kind="stable")
+        place, of, bucket = place[order], of[order], bucket[order]
+        new = np.concatenate([[True], (of[1:] != of[:-1]) | (bucket[1:] != bucket[:-1])]) if len(of) else np.zeros(0, bool)
+        began = np.flatnonzero(new)
+        run = np.flatnonzero(new | ((np.arange(len(of)) - np.repeat(began, np.diff(np.append(began, len(of))))) % MOST_KEYS == 0))
+        of_bucket = np.arange(buckets + 1)
+        ends, run_ends = np.searchsorted(bucket, of_bucket), np.searchsorted(bucket[run], of_bucket)
+        counts = np.diff(np.append(run, len(of)))
+        yield rows(np.arange(buckets), flush, keys=(place.astype(np.uint32).view(np.int32), ends), counts=(counts, run_ends), at=(short(of[run]), run_ends))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, count, documents = ([], [], [], [], []), 0, 0
+        held, count, documents, flush = ([], [], [], [], []), 0, 0, TaskContext.get().partitionId() << 22
         for batch in batches:
-            for part in chunks(batch, "text"):
+            for part in (x.slice(i, NO_SET) for x in chunks(batch, "text") for i in range(0, x.num_rows, NO_SET)):
+                if count >= FLUSH or documents + part.num_rows > NO_SET:
+                    yield from flushed(flush, *held)
+                    held, count, documents, flush = ([], [], [], [], []), 0, 0, flush + 1
                 sets, sizes = shingle_sets(Words(part.column("text"), SPACED), k)
                 keys, rows = fragment_keys(sets, sizes, percent)
                 for x, v in zip(held, (part.column("doc_id"), fingerprints(sets, sizes), sizes, keys, rows + documents), strict=True):
                     x.append(v)
                 count, documents = count + len(keys) + part.num_rows, documents + part.num_rows
-                if count >= FLUSH:
-                    yield from flush(*held)
-                    held, count, documents = ([], [], [], [], []), 0, 0
-        if held[0]:
-            yield from flush(*held)
+        if documents:
+            yield from flushed(flush, *held)
 
     return task
 
 
-def _numbers(column, kind) -> np.ndarray:
-    flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    return flat.flatten().to_numpy(zero_copy_only=False).astype(kind)
+def _dealt(bucket: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """The rows in order of their buckets, and where each bucket's begin and end."""
+    order = np.argsort(bucket, kind="stable")
+    return order, np.searchsorted(bucket[order], np.arange(buckets + 1))
+
+
+def _numbers(table: pa.Table, name: str) -> tuple[np.ndarray, np.ndarray]:
+    """All values of a column of lists, and how many each row has."""
+    lists = table[name].combine_chunks()
+    return lists.flatten().to_numpy(zero_copy_only=False), np.diff(lists.offsets.to_numpy())
 
 
 def pairs_within(start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -184,43 +216,45 @@ def pairs_within(start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.nd
     return (np.concatenate(left), np.concatenate(right)) if left else (none, none)
 
 
-def _meet(percent: int):
-    schema = pa.schema([("kind", pa.int8()), ("a", pa.int64()), ("b", pa.int64()), ("na", pa.int32()), ("nb", pa.int32()), ("shared", pa.int32())])
+def _meet():
+    schema = pa.schema([("kind", pa.int8()), ("a", pa.int64()), ("b", pa.int64()), ("n", pa.int32())])
 
-    def rows(kind: int, a, b, na, nb, shared=None) -> pa.Table:
-        shared = np.zeros(len(na), np.int32) if shared is None else shared
-        return pa.table([pa.array(x, f.type) for x, f in zip((np.full(len(na), kind, np.int8), a, b, na, nb, shared), schema, strict=True)], schema=schema)
+    def rows(kind: int, a, b, n) -> pa.Table:
+        return pa.table([pa.array(x, f.type) for x, f in zip((np.full(len(n), kind, np.int8), a, b, n), schema, strict=True)], schema=schema)
 
     def group(table: pa.Table) -> pa.Table:
-        prints, sizes = _numbers(table["prints"], np.int64), _numbers(table["sizes"], np.int64)
+        at, each = _numbers(table, "at")
+        at = at.view(np.uint16).astype(np.int64)
+        ids = np.repeat(table["flush"].to_numpy() << 16, each) | at
         if table["bucket"][0].as_py() < 0:
-            return rows(0, table["docs"].combine_chunks().flatten(), prints, sizes, sizes)
-        lengths = np.array([len(x) for x in table["prints"]])
-        base = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-        each = np.array([len(x) for x in table["keys"]])
-        at = _numbers(table["at"], np.int64) + np.repeat(base, each)
-        key, fp, n = _numbers(table["keys"], np.int64), prints[at], sizes[at]
-        order = np.lexsort((fp, key))
-        key, fp, n = key[order], fp[order], n[order]
-        new = np.concatenate([[True], (key[1:] != key[:-1]) | (fp[1:] != fp[:-1])])
-        key, fp, n = key[new], fp[new], n[new]
-        begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            prints, sizes, hot = (_numbers(table, c)[0] for c in ("prints", "sizes", "hot"))
+            documents = np.repeat(_numbers(table, "docs")[1] > 0, each)
+            own, first = ids[documents], at[documents] != NO_SET
+            return pa.concat_tables([
+                rows(0, table["docs"].combine_chunks().flatten(), prints, sizes), rows(3, own[first], prints[first], sizes[first]), rows(2, hot, ids[~documents], np.zeros(len(hot), np.int32))
+            ])
+        key, count = _numbers(table, "keys")[0].view(np.uint32), _numbers(table, "counts")[0]
+        member = np.repeat(np.where(at == NO_SET, -1, ids), count)
+        order = np.argsort(key, kind="stable")
+        key, member = key[order], member[order]
+        begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else order
         size = np.diff(np.append(begin, len(key)))
-        few = (size > 1) & (size <= SMALL_GROUP)
-        i, j = pairs_within(begin[few], size[few])
-        member = np.flatnonzero(np.repeat(size > SMALL_GROUP, size))
-        near = 100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])
-        i, j = i[near], j[near]
-        order = np.lexsort((fp[j], fp[i]))
-        i, j = i[order], j[order]
-        new = np.flatnonzero(np.concatenate([[True], (fp[i][1:] != fp[i][:-1]) | (fp[j][1:] != fp[j][:-1])])) if len(i) else i
-        i, j, shared = i[new], j[new], np.diff(np.append(new, len(i)))
-        return pa.concat_tables([rows(1, fp[i], fp[j], n[i], n[j], shared), rows(2, key[member], fp[member], n[member], n[member])])
+        large = size > SMALL_GROUP
+        if len(begin):
+            large |= np.minimum.reduceat(member, begin) < 0  # some flush had a large group
+        i, j = pairs_within(begin[(size > 1) & ~large], size[(size > 1) & ~large])
+        a, b = np.minimum(member[i], member[j]), np.maximum(member[i], member[j])
+        order = np.lexsort((b, a))
+        a, b = a[order], b[order]
+        new = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])) if len(a) else order
+        many = np.flatnonzero(np.repeat(large, size) & (member >= 0))
+        place = (table["bucket"][0].as_py() << 32) | key[many].astype(np.int64)
+        return pa.concat_tables([rows(1, a[new], b[new], np.diff(np.append(new, len(a)))), rows(2, place, member[many], np.zeros(len(many), np.int32))])
 
     return group
 
 
-def _segments(k: int, bits: np.ndarray | None):
+def _segments(k: int, bits: Sent):
     """(print, fragment, members) of the sets of documents that a filter lets through."""
     schema = pa.schema([("print", pa.int64()), ("fragment", pa.int32()), ("members", pa.list_(pa.int64()))])
 
@@ -252,7 +286,7 @@ def _sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame, k: int) -> Dat
     for batch in taken.toArrow().to_batches():  # at most SLOTS integers
         bits[batch.column(0).to_numpy()] = 1
     sets = docs.select("text", F.when(F.col("doc_id").isNotNull(), slot).alias("slot"))
-    sets = sets.mapInArrow(_segments(k, docs.sparkSession.sparkContext.broadcast(bits)), "print bigint, fragment int, members array<bigint>")
+    sets = sets.mapInArrow(_segments(k, Sent(docs.sparkSession, bits)), "print bigint, fragment int, members array<bigint>")
     return stored(sets.join(wanted, "print", "left_semi").groupBy("print", "fragment").agg(F.first("members").alias("members")))
 
 
@@ -312,19 +346,45 @@ def _often(large: DataFrame) -> DataFrame:
     return large.groupBy("print").agg(F.count("*").alias("often"))
 
 
-def _around_centres(large: DataFrame, percent: int) -> DataFrame:
+def _around_centres(large: DataFrame, often: DataFrame, percent: int) -> DataFrame:
     """Pairs of each large group's members with its centre, the member that is in most large groups.
 
-    Of the copies of a text that were each changed a little, that is the text itself.
+    Of the copies of a text that were each changed a little, that is the text itself. The centres are stored, so that the
+    join with a very large group can be split.
     """
-    centre = large.join(_often(large), "print").groupBy("key").agg(F.max(F.struct("often", "print", "n")).alias("c")).select("key", F.col("c.print").alias("p"), F.col("c.n").alias("m"))
+    centre = large.join(often, "print").groupBy("key").agg(F.max(F.struct("often", "print", "n")).alias("c")).select("key", F.col("c.print").alias("p"), F.col("c.n").alias("m"))
     ordered = F.col("print") < F.col("p")
-    pairs = large.join(centre, "key").where("print != p").select(
+    pairs = large.join(stored(centre), "key").where("print != p").select(
         F.least("print", "p").alias("a"), F.greatest("print", "p").alias("b"), F.when(ordered, F.col("n")).otherwise(F.col("m")).alias("na"), F.when(ordered, F.col("m")).otherwise(F.col("n")).alias("nb")
     )
     return pairs.where(_near(percent))
 
 
+def _met_pairs(met: DataFrame, named: DataFrame, percent: int) -> DataFrame:
+    """(a, b, na, nb, shared): pairs of different sets that met in small groups, and in how many; copies of a set count once."""
+    pairs = met.where("kind = 1").groupBy("a", "b").agg(F.sum("n").alias("shared"))
+    for end in ("a", "b"):
+        pairs = pairs.join(named.select(F.col("id").alias(end), F.col("print").alias(f"p{end}"), F.col("n").alias(f"n{end}")), end)
+    ordered = F.col("pa") < F.col("pb")
+    sizes = [F.when(ordered, F.col(x)).otherwise(F.col(y)).alias(x) for x, y in (("na", "nb"), ("nb", "na"))]
+    return pairs.where(f"pa != pb and {_near(percent)}").select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b"), *sizes, "shared").distinct()
+
+
+def _enough(pairs: DataFrame, large: DataFrame, often: DataFrame, percent: int) -> DataFrame:
+    """The pairs that meet in as many groups as a linked pair has to.
+
+    First by what the large groups of either set allow; then, where that decides, by the large groups that both are in.
+    """
+    for end in ("a", "b"):
+        pairs = pairs.join(often.select(F.col("print").alias(end), F.col("often").alias(f"l{end}")), end, "left")
+    lacking = F.greatest(_needed(percent) - F.col("shared"), F.lit(0))
+    pairs = pairs.withColumn("lacking", lacking).where(F.least(F.coalesce("la", F.lit(0)), F.coalesce("lb", F.lit(0))) >= F.col("lacking"))
+    pairs = stored(pairs.select("a", "b", "na", "nb", "lacking"))
+    left, right = (large.select(F.col("print").alias(c), "key") for c in ("a", "b"))
+    both = pairs.where("lacking > 0").join(left, "a").join(right, ["b", "key"]).groupBy("a", "b", "na", "nb", "lacking").count().where("count >= lacking")
+    return pairs.where("lacking = 0").unionByName(both.drop("count")).drop("lacking")
+
+
 def _across(sets: DataFrame, labelled: DataFrame, percent: int) -> DataFrame:
     """Pairs of sets with different labels that share one of their rarest shingles (prefix filter).
 
@@ -334,10 +394,12 @@ def _across(sets: DataFrame, labelled: DataFrame, percent: int) -> DataFrame:
     apart does not meet.
     """
     grams = sets.select("print", F.explode("members").alias("gram"))
-    ranked = grams.join(grams.groupBy("gram").agg(F.count("*").alias("often")), "gram").join(labelled, "print")
+    often = stored(grams.groupBy("gram").agg(F.count("*").alias("often")))  # stored: the join with a frequent one can be split
+    ranked = grams.join(often, "gram").join(labelled, "print")
     place = F.row_number().over(Window.partitionBy("print").orderBy("often", "gram"))
     prefix = ranked.withColumn("place", place).where(f"place <= n - ceil({percent} * n / 100) + 1 and often > 1")
-    mixed = prefix.groupBy("gram").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l < h").select("gram")
+    prefix = stored(prefix.select("gram", "print", "n", "label", "place"))
+    mixed = stored(prefix.groupBy("gram").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l < h").select("gram"))
     prefix = prefix.join(mixed, "gram", "left_semi")
     x, y = prefix.selectExpr("gram", "print a", "n na", "label la", "place pa"), prefix.selectExpr("gram", "print b", "n nb", "label lb", "place pb")
     most = f"{100 + percent} * (1 + least(na - pa, nb - pb)) >= {percent} * (na + nb)"
@@ -356,41 +418,48 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80, every_lin
 
     Null text is empty; an empty text links with nothing and its component is its own doc_id. Rows that repeat a doc_id
     are documents of their own with that id. A null doc_id is kept, and does not count for the smallest. Equal sets are
-    told by a 64-bit print and their size.
+    told by a 64-bit print. docs is read up to three times and, like a stored table, has to give a task that runs again the
+    same rows in the same order.
     """
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     buckets = spread(docs)
     dealt = docs.mapInArrow(_deal(buckets, k, percent), _DEALT)
-    met = stored(dealt.groupBy("bucket").applyInArrow(_meet(percent), _MET), "kind")
-    classes = met.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("print"), F.col("na").alias("n_shingles"))
-    large = met.where("kind = 2").select(F.col("a").alias("key"), F.col("b").alias("print"), F.col("na").alias("n"))
+    met = stored(dealt.groupBy("bucket").applyInArrow(_meet(), _MET), "kind")
+    classes = met.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("print"), F.col("n").alias("n_shingles"))
+    named = met.where("kind = 3").select(F.col("a").alias("id"), F.col("b").alias("print"), "n")
+    large = stored(met.where("kind = 2").select(F.col("a").alias("key"), F.col("b").alias("id")).join(named, "id").select("key", "print", "n").distinct())
     often = stored(_often(large))
     # Pairs that share no small group share large ones only: too few of them, and a set is in no such linked pair.
-    large = stored(large.join(often, "print").where(F.col("often") >= _least_needed(percent)).drop("often"))
-    pairs = met.where("kind = 1").select("a", "b", "na", "nb", "shared").union(_around_centres(large, percent).withColumn("shared", F.lit(0)))
-    pairs = pairs.groupBy("a", "b", "na", "nb").agg(F.sum("shared").alias("shared"))
-    for end in ("a", "b"):
-        pairs = pairs.join(often.select(F.col("print").alias(end), F.col("often").alias(f"l{end}")), end, "left")
-    most = F.col("shared") + F.least(F.coalesce("la", F.lit(0)), F.coalesce("lb", F.lit(0)))
-    pairs = stored(pairs.where(most >= _needed(percent)).select("a", "b", "na", "nb"))
-    links = stored(_verified(_sets(docs, classes, _ends(pairs), k), pairs, percent))
+    most = stored(large.join(often, "print").where(F.col("often") >= _least_needed(percent)).drop("often"))
+    around = tidied(lambda: _around_centres(most, often, percent).distinct())
+    pairs_met = _met_pairs(met, named, percent).unionByName(around.withColumn("shared", F.lit(0)))
+    pairs_met = pairs_met.groupBy("a", "b", "na", "nb").agg(F.sum("shared").alias("shared"))
+    pairs = tidied(lambda: _enough(pairs_met, large, often, percent))
+    removed(large, often, around)
+    sets = _sets(docs, classes, _ends(pairs), k)
+    links = stored(_verified(sets, pairs, percent))
+    removed(sets)
     if every_link:
-        apart = large.groupBy("print", "n").agg(F.count("*").alias("often")).withColumn("label", F.col("print"))
+        apart = most.groupBy("print", "n").agg(F.count("*").alias("often")).withColumn("label", F.col("print"))
     else:
         labels = components(links.select("a", "b"))
-        large = large.join(labels.withColumnRenamed("node", "print"), "print", "left").withColumn("label", F.coalesce("label", "print"))
-        mixed = large.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l < h").select("key")
-        apart = large.join(mixed, "key", "left_semi").groupBy("print", "n", "label").agg(F.count("*").alias("often"))
+        labelled = most.join(labels.withColumnRenamed("node", "print"), "print", "left").withColumn("label", F.coalesce("label", "print"))
+        mixed = stored(labelled.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l < h").select("key"))
+        apart = labelled.join(mixed, "key", "left_semi").groupBy("print", "n", "label").agg(F.count("*").alias("often"))
     apart = stored(apart.where(F.col("often") >= _least_needed(percent)).drop("often"))
+    removed(most)
     more = not apart.isEmpty()
     if more:
         sets = _sets(docs, classes, apart.select("print"), k)
-        met = stored(_across(sets, apart, percent).join(pairs, ["a", "b"], "left_anti"))
-        links = stored(links.unionByName(_verified(sets, met, percent)))
+        across = tidied(lambda: _across(sets, apart, percent).join(pairs, ["a", "b"], "left_anti"))
+        links = stored(links.unionByName(_verified(sets, across, percent)))
+        removed(sets, across)
+    removed(pairs, apart)
     if every_link or more:
         labels = components(links.select("a", "b"))
     named = classes.join(labels.withColumnRenamed("node", "print"), "print", "left").withColumn("component", F.coalesce("label", "print")).drop("label")
-    smallest = named.where("n_shingles > 0").groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    # Stored, so that the join with a very large component can be split.
+    smallest = stored(named.where("n_shingles > 0").groupBy("component").agg(F.min("doc_id").alias("component_id")))
     members = named.join(smallest, "component", "left").withColumn("component_id", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
     return links, members.select("doc_id", "print", F.col("n_shingles").cast("bigint").alias("n_shingles"), "component", "component_id")
 

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+import threading
 import uuid
+from collections.abc import Callable
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,10 +16,13 @@ from pyspark.sql import functions as F
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 
-    Where it is unset (tests on one machine) a temporary folder is made and the setting is made for the session.
+    Where it is unset a temporary folder is made and the setting is made for the session, but only in local mode: on a
+    cluster each executor would write to a disk of its own.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -38,7 +45,54 @@ def stored(df: DataFrame, *by: str) -> DataFrame:
         df.write.partitionBy(*by).parquet(path)
     finally:
         spark.conf.set(CLEAN_UP, before)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    _tables.paths[id(table)] = (table, path)
+    return table
+
+
+class _Tables(threading.local):
+    """Where the tables that this thread has stored are, until they are removed."""
+
+    def __init__(self) -> None:
+        self.paths: dict[int, tuple[DataFrame, str]] = {}
+
+
+_tables = _Tables()
+
+
+def tidied(make: Callable[[], DataFrame]) -> DataFrame:
+    """Stores the table that ``make`` returns and removes those that ``make`` stored on the way."""
+    before = set(_tables.paths)
+    table = stored(make())
+    removed(*[t for k, (t, _) in _tables.paths.items() if k not in before and t is not table])
+    return table
+
+
+def removed(*tables: DataFrame) -> None:
+    """Deletes tables of ``stored`` that nothing reads any more: what was made of them has been stored itself."""
+    for table in tables:
+        _, path = _tables.paths.pop(id(table))
+        place = table.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(place, True)
+
+
+class Sent:
+    """A value broadcast as bytes that carry their classes along, so executors need no copy of this package."""
+
+    def __init__(self, spark: SparkSession, value) -> None:
+        self.sent = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+        self.kept = None
+
+    def once(self):
+        """The value; nothing is kept."""
+        return cloudpickle.loads(self.sent.value)
+
+    @property
+    def value(self):
+        """The value, kept for the rest of the task."""
+        if self.kept is None:
+            self.kept = self.once()
+        return self.kept
 
 
 def spread(df: DataFrame, per_partition: int = 2) -> int:

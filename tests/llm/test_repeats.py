@@ -1,6 +1,7 @@
 """Similarity join, line deduplication and decontamination."""
 
 import random
+from types import SimpleNamespace
 
 import pyarrow as pa
 import pytest
@@ -80,9 +81,10 @@ def test_links_are_whole(spark, monkeypatch, small, share):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in quick.collect()} == components(rows)
 
 
-def test_copies_are_dealt_once():
+def test_copies_are_dealt_once(monkeypatch):
     """Copies of a text hand on their keys once in a flush, and no bucket holds all of them."""
     text = " ".join(f"w{i}" for i in range(60))
+    monkeypatch.setattr(ngram_jaccard.TaskContext, "get", lambda: SimpleNamespace(partitionId=lambda: 3))
 
     def dealt(texts):
         batch = pa.record_batch([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], names=["doc_id", "text"])
@@ -95,6 +97,32 @@ def test_copies_are_dealt_once():
     assert sum(held) == 2000 and len(held) == 8 and max(held) < 400
 
 
+def test_large_groups_of_a_flush_go_by_row(monkeypatch):
+    """A fragment that many sets of a flush have is told to its bucket once; its members are spread over the buckets."""
+    monkeypatch.setattr(ngram_jaccard.TaskContext, "get", lambda: SimpleNamespace(partitionId=lambda: 0))
+    common = " ".join(f"w{i}" for i in range(400))
+    texts = [f"{common} x{i} y{i}" for i in range(500)]
+    batch = pa.record_batch([pa.array(range(500), pa.int64()), pa.array(texts)], names=["doc_id", "text"])
+    rows = [r for b in ngram_jaccard._deal(8, 5, 80)(iter([batch])) for r in b.to_pylist()]
+    hot = [len(r["hot"]) for r in rows if r["hot"]]
+    assert sum(hot) > 50 * 500 and len(hot) == 8 and max(hot) < 2 * min(hot)
+    assert max(len(r["keys"]) for r in rows) < 5000
+
+
+@pytest.mark.parametrize("flush", [200, 1 << 20])
+def test_copies_in_many_flushes(spark, monkeypatch, flush):
+    """Exact copies, near copies and empty texts in large numbers, with many flushes and with one."""
+    monkeypatch.setattr(ngram_jaccard, "FLUSH", flush)
+    rng = random.Random(8)
+    text = [f"w{rng.randrange(900)}" for _ in range(90)]
+    texts = [" ".join(text)] * 300 + [""] * 300 + [" ".join([*text[:i], "new", *text[i + 1 :]]) for i in range(90)]
+    texts += [" ".join([*text[:12], *(f"v{rng.randrange(900)}" for _ in range(60))]) for _ in range(60)]
+    rng.shuffle(texts)
+    rows = list(enumerate(texts))
+    _, members = ngram_jaccard.ngram_jaccard_join(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), every_link=False)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in members.collect()} == components(rows)
+
+
 def test_similarity_join_of_odd_tables(spark):
     schema = "doc_id long, text string, print string, component string"
     empty = spark.createDataFrame([], schema)

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import spread, stored
+from .shared import Sent, spread, stored
 from .words import SPACED, Words, chunks, constants, mix
 
 K = 5
@@ -362,9 +362,9 @@ def katz_scores(docs: DataFrame) -> DataFrame:
     end = int(END.view(np.int64))
     listed = words.where((F.col("word") == end) | (_level() >= _listed_from(words))).toArrow()
     model = Vocabulary(listed["word"].to_numpy().view(np.uint64), listed["n"].to_numpy(), of_count, totals.tokens, totals.distinct)
-    cells = training.mapInArrow(_count_dense(spark.sparkContext.broadcast(model)), "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    cells = training.mapInArrow(_count_dense(Sent(spark, model)), "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     model.pairs.ravel()[cells["cell"].to_numpy()] = cells["n"].to_numpy()
-    shared = spark.sparkContext.broadcast(model)
+    shared = Sent(spark, model)
     buckets = spread(docs, 2)
     scored = stored(docs.mapInArrow(_deal(shared, buckets), _DEALT).groupBy("bucket").applyInArrow(_score(shared), _SCORED), "kind")
 

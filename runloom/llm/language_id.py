@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .shared import stored
+from .shared import Sent, stored
 from .words import LOWER, chunks, texts
 
 UNKNOWN = "und"
@@ -209,4 +209,4 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     keep = [c for c in docs.columns if c not in added.names]
     docs = docs.select(*keep).withColumn("text", F.col("text").cast("string"))
     schema = T.StructType([docs.schema[c] for c in keep] + added.fields)
-    return docs.mapInArrow(_predict(docs.sparkSession.sparkContext.broadcast(model), to_arrow_schema(schema)), schema)
+    return docs.mapInArrow(_predict(Sent(docs.sparkSession, model), to_arrow_schema(schema)), schema)

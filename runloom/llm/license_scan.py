@@ -1,15 +1,16 @@
 """License scans with a positional rare-token index.
 
-The index posts, for each template, its ``rare`` words of the highest inverse document frequency among the templates, with
-their positions. Each text's posted words are looked up; a posting votes for a template at the relative position (place in
-the text minus place in the template). Where at least two different posted words (or all, if there are fewer) agree on
-one, the template is compared there, and counts if its mandatory key phrases stand at their places.
+The index posts all words of the license templates with their positions; a word's inverse document frequency is that of the
+scanned corpus itself, counted over all its texts. Of each file the licence words of the highest IDF are looked up, template
+by template; a posting votes for a template at the relative position (place in the text minus place in the template). Where
+at least two different words (or the only one) agree on one, the template is compared there, and counts if its mandatory key
+phrases stand at their places.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -18,35 +19,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from .licenses import TEMPLATES, Template
+from .shared import Sent
 from .words import PLAIN, Words, chunks
 
 #: Label and phrase: a place where the phrase's words stand one after the other has the label.
 PHRASES = (("gpl", "gnu general public license"), ("apache", "apache license"), ("cc-by", "cc by"), ("mit", "mit license"))
 
-
-@dataclass(frozen=True)
-class Template:
-    label: str
-    text: str
-    key: str
-
-
-TEMPLATES = (
-    Template("all-rights-reserved", "all rights reserved", "all rights reserved"),
-    Template("apache-2.0", "licensed under the apache license version 2 0", "apache license version 2"),
-    Template("apache-2.0", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license", "you may not use this file except in compliance"),
-    Template("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", "source and binary forms"),
-    Template("cc-by-nc-4.0", "licensed under cc by nc 4 0", "cc by nc"),
-    Template("cc-by-4.0", "licensed under cc by 4 0", "cc by 4 0"),
-    Template("gpl-3", "this work is licensed under the gnu general public license version 3", "public license version 3"),
-    Template("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation", "free software foundation"),
-    Template("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "for any purpose with or without fee"),
-    Template("mit", "released under the mit license", "the mit license"),
-    Template("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", "obtaining a copy of this software"),
-    Template("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0", "mozilla public license v 2 0"),
-    Template("unlicense", "this is free and unencumbered software released into the public domain", "unencumbered software"),
-)
-
 FOUND = "n_words bigint, n_base bigint, first_word bigint, last_word bigint, base_labels array<string>, labels array<string>, matches array<struct<label:string,word:int,words:int,share:double>>, license_score double"
 
 
@@ -55,51 +34,82 @@ def _hashes(text: str) -> np.ndarray:
 
 
 class Index:
-    """Postings (word, template, place) of the rare words, sorted by word."""
+    """Postings (word, template, place) of all words of the templates, sorted by word, and each word's inverse document frequency."""
 
-    def __init__(self, templates: tuple[Template, ...], rare: int) -> None:
-        self.labels = [t.label for t in templates]
+    def __init__(self, templates: list[Template], frequency: dict[int, int], documents: int, rare: int) -> None:
+        self.rare, self.labels = rare, [t.label for t in templates]
         self.words = [_hashes(t.text) for t in templates]
-        distinct, often = np.unique(np.concatenate([np.unique(w) for w in self.words]), return_counts=True)
-        idf = dict(zip(distinct.tolist(), np.log1p(len(templates) / often), strict=True))
-        posted, self.need, self.key = [], [], []
-        for t, words in enumerate(self.words):
-            best = sorted(set(words.tolist()), key=lambda w: (-idf[w], words.tolist().index(w)))[:rare]
-            posted += [(w, t, p) for p, w in enumerate(words.tolist()) if w in best]
-            self.need.append(min(2, len(best)))
-            phrase = _hashes(templates[t].key)
-            self.key.append(next(p for p in range(len(words)) if np.array_equal(words[p : p + len(phrase)], phrase)))
-        self.key_words = [_hashes(t.key) for t in templates]
-        posted.sort()
-        self.word = np.array([x[0] for x in posted], np.uint64)
-        self.template, self.place = (np.array([x[i] for x in posted], np.int64) for i in (1, 2))
-        self.known = np.unique(self.word)
+        self.known, number = np.unique(np.concatenate([np.zeros(0, np.uint64), *self.words]), return_inverse=True)
+        self.idf = np.array([math.log((1 + documents) / (1 + frequency.get(w, 0))) for w in self.known.view(np.int64).tolist()])
+        template = np.repeat(np.arange(len(templates)), [len(w) for w in self.words])
+        place = np.concatenate([np.zeros(0, np.int64), *(np.arange(len(w)) for w in self.words)])
+        order = np.argsort(number, kind="stable")
+        self.template, self.place, self.begin = template[order], place[order], np.searchsorted(number[order], np.arange(len(self.known) + 1))
+        # Each word's templates once, with its first place there, which breaks ties.
+        pair = number * (len(templates) + 1) + template
+        pair, first = np.unique(pair, return_index=True)
+        self.own_template, self.own_place = pair % (len(templates) + 1), place[first]
+        self.own_begin = np.searchsorted(pair // (len(templates) + 1), np.arange(len(self.known) + 1))
+        self.need = np.array([min(2, len(np.unique(w))) for w in self.words])
+        self.keys = [[(int(np.flatnonzero(phrase_at(w, p))[0]), p) for p in map(_hashes, t.keys)] for t, w in zip(templates, self.words, strict=True)]
+
+    def chosen(self, row: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """Sorted codes of (row, template, word): for each row and template the ``rare`` words of the highest IDF that the row has.
+
+        Ties go to the word that comes first in the template. Where too few are there, none is chosen.
+        """
+        pair = np.unique(row * len(self.known) + word)
+        row, word = pair // len(self.known), pair % len(self.known)
+        at, each = expanded(self.own_begin, word)
+        row, word, template, place = row[at], word[at], self.own_template[each], self.own_place[each]
+        order = np.lexsort((place, -self.idf[word], template, row))
+        row, word, template = row[order], word[order], template[order]
+        group = row * len(self.labels) + template
+        begin = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if len(group) else order
+        size = np.diff(np.append(begin, len(group)))
+        rank = np.arange(len(group)) - np.repeat(begin, size)
+        keep = (rank < self.rare) & (np.repeat(size, size) >= self.need[template])
+        return np.sort(self.code(row[keep], template[keep], word[keep]))
+
+    def code(self, row: np.ndarray, template: np.ndarray, word: np.ndarray) -> np.ndarray:
+        return (row * len(self.labels) + template) * len(self.known) + word
 
     def candidates(self, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(row, template, place of the template's first word in the chunk) where enough posted words agree."""
+        """(row, template, place of the template's first word in the chunk) where enough chosen words agree."""
+        none = np.zeros(0, np.int64)
+        if not len(self.known):
+            return none, none, none
         spot = np.minimum(np.searchsorted(self.known, words.hash), len(self.known) - 1)
         at = np.flatnonzero(self.known[spot] == words.hash)
-        low, high = (np.searchsorted(self.word, words.hash[at], side) for side in ("left", "right"))
-        size = high - low
-        post = np.repeat(low, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-        at = np.repeat(at, size)
-        votes = np.unique(np.stack([words.doc[at], self.template[post], at - self.place[post], self.word[post].view(np.int64)]), axis=1)
+        word, row = spot[at], words.doc[at]
+        chosen = self.chosen(row, word)
+        if not len(chosen):
+            return none, none, none
+        used = np.isin(row * len(self.known) + word, np.unique(chosen // (len(self.labels) * len(self.known)) * len(self.known) + chosen % len(self.known)))
+        at, word, row = at[used], word[used], row[used]
+        of, each = expanded(self.begin, word)
+        code = self.code(row[of], self.template[each], word[of])
+        fits = chosen[np.minimum(np.searchsorted(chosen, code), len(chosen) - 1)] == code
+        of, each = of[fits], each[fits]
+        template, start = self.template[each], at[of] - self.place[each]
+        votes = np.unique(np.stack([row[of], template, start, word[of]]), axis=1)
         place, count = np.unique(votes[:3], axis=1, return_counts=True)
-        return tuple(place[:, count >= np.array(self.need)[place[1]]])
+        return tuple(place[:, count >= self.need[place[1]]])
 
     def matches(self, words: Words) -> Iterator[tuple[int, str, int, int, float]]:
         """(row, label, place in the text, words of the template, share of them that agree), by row."""
         found = []
         rows, templates, starts = self.candidates(words)
         for t in np.unique(templates):
-            own, key, size = templates == t, self.key_words[t], len(self.words[t])
+            own, size = templates == t, len(self.words[t])
             row, start = rows[own], starts[own]
+            for key_place, key in self.keys[t]:
+                begin = start + key_place
+                fits = (begin >= words.first[row]) & (begin + len(key) <= words.first[row + 1])
+                row, start, begin = row[fits], start[fits], begin[fits]
+                fits = (words.hash[begin[:, None] + np.arange(len(key))] == key).all(1)
+                row, start = row[fits], start[fits]
             first, end = words.first[row], words.first[row + 1]
-            begin = start + self.key[t]
-            fits = (begin >= first) & (begin + len(key) <= end)
-            row, start, first, end, begin = (x[fits] for x in (row, start, first, end, begin))
-            fits = (words.hash[begin[:, None] + np.arange(len(key))] == key).all(1)
-            row, start, first, end = (x[fits] for x in (row, start, first, end))
             place = start[:, None] + np.arange(size)
             inside = (place >= first[:, None]) & (place < end[:, None])
             agree = inside & (words.hash[np.clip(place, 0, len(words.hash) - 1)] == self.words[t])
@@ -107,6 +117,24 @@ class Index:
         return iter(sorted(found))
 
 
+def expanded(begin: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For lists that begin at ``begin[word]``: which of ``word`` each entry is of, and the entries."""
+    size = begin[word + 1] - begin[word]
+    of = np.repeat(np.arange(len(word)), size)
+    return of, np.arange(size.sum()) + np.repeat(begin[word] - np.cumsum(size) + size, size)
+
+
+def phrase_at(words: np.ndarray, phrase: np.ndarray) -> np.ndarray:
+    """At which places of a text's words the phrase begins."""
+    fits = np.zeros(len(words), bool)
+    n = len(words) - len(phrase) + 1
+    if n > 0 and len(phrase):
+        fits[:n] = True
+        for j, w in enumerate(phrase):
+            fits[:n] &= words[j : n + j] == w
+    return fits
+
+
 def phrase_places(words: Words, phrase: np.ndarray) -> np.ndarray:
     """Places in the chunk at which the phrase's words stand one after the other in one text."""
     n = len(words.hash) - len(phrase) + 1
@@ -118,7 +146,7 @@ def phrase_places(words: Words, phrase: np.ndarray) -> np.ndarray:
     return np.flatnonzero(fits)
 
 
-def _task(index: Index, phrases: list[tuple[str, np.ndarray]], schema: pa.Schema):
+def _task(index: Sent, phrases: list[tuple[str, np.ndarray]], schema: pa.Schema):
     def scan(part: pa.RecordBatch) -> pa.RecordBatch:
         words = Words(part.column("text"), PLAIN)
         rows = words.rows
@@ -133,7 +161,7 @@ def _task(index: Index, phrases: list[tuple[str, np.ndarray]], schema: pa.Schema
             for r in np.unique(row):
                 base[r].add(label)
         listed: list[list[dict]] = [[] for _ in range(rows)]
-        for row, label, place, size, share in index.matches(words):
+        for row, label, place, size, share in index.value.matches(words):
             listed[row].append({"label": label, "word": place, "words": size, "share": share})
         none = count == 0
         cells = {
@@ -152,11 +180,35 @@ def _task(index: Index, phrases: list[tuple[str, np.ndarray]], schema: pa.Schema
     return task
 
 
-def license_scan(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES, phrases: tuple[tuple[str, str], ...] = PHRASES, rare: int = 4) -> DataFrame:
+def document_frequencies(docs: DataFrame, known: np.ndarray) -> tuple[int, dict[int, int]]:
+    """Number of all texts, and in how many of them each of the known words (sorted hashes) occurs."""
+    sent = Sent(docs.sparkSession, known)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, rows = np.zeros(len(sent.value), np.int64), 0
+        for batch in batches:
+            for part in chunks(batch, "text"):
+                words = Words(part.column("text"), PLAIN)
+                spot = np.minimum(np.searchsorted(sent.value, words.hash), len(sent.value) - 1)
+                own = sent.value[spot] == words.hash
+                total += np.bincount(np.unique(words.doc[own] * len(total) + spot[own]) % len(total), minlength=len(total))
+                rows += part.num_rows
+        met = np.flatnonzero(total)
+        yield pa.record_batch([pa.array(np.append(met, -1)), pa.array(np.append(total[met], rows))], names=["word", "n"])
+
+    sums = docs.select("text").mapInArrow(task, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    counts = {r.word: r.n for r in sums.collect()}  # as many rows as the templates have words, and one
+    return counts.pop(-1, 0), {int(known[w].view(np.int64)): n for w, n in counts.items()}
+
+
+def license_scan(docs: DataFrame, templates: tuple[Template, ...] | DataFrame = TEMPLATES, phrases: tuple[tuple[str, str], ...] = PHRASES, rare: int = 8) -> DataFrame:
     """Adds what license words each text has, for texts of any length; columns of the added names are replaced.
 
+    ``templates`` is a list, or a table (label, text, keys) small enough to be broadcast; ``rare`` is how many words of each
+    template are looked up in a file. Document frequencies are those of docs, which is read once for them.
+
     Added: n_words; n_base (places of phrases), first_word and last_word (their smallest and largest start, null if none),
-    base_labels (sorted); matches (templates whose key phrase stands at its place: label, place of the template's first word,
+    base_labels (sorted); matches (templates whose key phrases stand at their places: label, place of the template's first word,
     which may lie before the text, its number of words, and the share that agrees); labels (of phrases and templates);
     license_score (1 for a phrase, else the best share; 0 for none). A null text has no words.
     """
@@ -164,4 +216,9 @@ def license_scan(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES, p
     keep = [c for c in docs.columns if c not in added.names]
     docs = docs.select(*keep).withColumn("text", F.col("text").cast("string"))
     schema = T.StructType([docs.schema[c] for c in keep] + added.fields)
-    return docs.mapInArrow(_task(Index(templates, rare), [(k, _hashes(p)) for k, p in phrases], to_arrow_schema(schema)), schema)
+    if isinstance(templates, DataFrame):
+        templates = tuple(Template(r.label, r.text, tuple(r.keys)) for r in templates.select("label", "text", "keys").orderBy("label", "text").collect())
+    known = np.unique(np.concatenate([np.zeros(0, np.uint64), *(_hashes(t.text) for t in templates)]))
+    documents, frequency = document_frequencies(docs, known) if len(known) else (0, {})
+    index = Sent(docs.sparkSession, Index(list(templates), frequency, documents, rare))
+    return docs.mapInArrow(_task(index, [(k, _hashes(p)) for k, p in phrases], to_arrow_schema(schema)), schema)

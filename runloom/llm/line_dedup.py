@@ -37,7 +37,8 @@ def line_dedup(docs: DataFrame, window: int = 3) -> DataFrame:
     lines = F.split("text", "\n", -1)
     places = repeated_places(docs.select("doc_id", "text"), window).withColumnRenamed("doc_id", "_id")
     joined = docs.select(*keep).join(places, F.col("doc_id") == F.col("_id"), "left").withColumn("_lines", lines)
-    kept = F.filter("_lines", lambda x, i: ~F.array_contains("places", i))
+    left_over = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("places"))  # in order, by a hash set
+    kept = F.transform(left_over, lambda i: F.get("_lines", i))
     text = F.when(F.col("places").isNull() | F.col("text").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
     total = F.when(F.col("text").isNull(), 0).otherwise(F.size("_lines")).cast("bigint")
     left = F.when(F.col("places").isNull() | F.col("text").isNull(), total).otherwise(F.size(kept))

@@ -7,8 +7,9 @@ a pivot that a vector doesn't have counts as the farthest). Pivots tell of direc
 estimate of the cosine, and times the vector's length one of the inner product. The vectors with the largest estimate are
 compared with the query exactly, and the best of all shards are merged.
 
-Queries go to the shards in blocks of bounded size; a block's result is stored before the next block is fetched. The pivots
-are a bounded sample of the rows.
+The permutations are computed once and stored in the shared folder; shards and queries are read from there. Queries go to
+the shards in blocks of bounded size; a block's result is stored before the next block is fetched. The pivots are a bounded
+sample of the rows.
 """
 
 from __future__ import annotations
@@ -17,10 +18,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import stored
+from .shared import Sent, stored
 
 #: Vectors of a shard, and queries of a block.
 SHARD_ROWS, BLOCK_ROWS = 4096, 16384
@@ -51,13 +53,12 @@ def nearest_pivots(vectors: np.ndarray, pivots: np.ndarray, k: int) -> np.ndarra
 class Shard:
     """The pivot files of some vectors."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, pivots: np.ndarray, indexed: int) -> None:
+    def __init__(self, rows: np.ndarray, ids: np.ndarray, vectors: np.ndarray, near: np.ndarray, pivots: int) -> None:
         order = np.argsort(ids, kind="stable")
-        self.ids, self.vectors = ids[order], vectors[order]
-        near = nearest_pivots(self.vectors, pivots, indexed)
+        self.rows, self.ids, self.vectors, near = rows[order], ids[order], vectors[order], near[order]
         posted = np.argsort(near.ravel(), kind="stable")
         self.row, self.place = posted // near.shape[1], posted % near.shape[1]
-        self.file = np.searchsorted(near.ravel()[posted], np.arange(len(pivots) + 1))
+        self.file = np.searchsorted(near.ravel()[posted], np.arange(pivots + 1))
         self.indexed = near.shape[1]
 
     def _saved(self, near: np.ndarray) -> np.ndarray:
@@ -68,11 +69,11 @@ class Shard:
             saved[self.row[own]] += self.indexed - np.abs(self.place[own] - place)
         return saved
 
-    def _cosines(self, query_ids: np.ndarray, queries: np.ndarray, near: np.ndarray, lengths: np.ndarray) -> tuple[float, float]:
+    def _cosines(self, own: np.ndarray, queries: np.ndarray, near: np.ndarray, lengths: np.ndarray) -> tuple[float, float]:
         """Cosine that nothing saved stands for (raised), and what each unit saved adds: the line fitted to some queries."""
         x, y = [], []
-        for q in range(0, len(query_ids), max(1, len(query_ids) // LEARNED)):
-            others = self.ids != query_ids[q]
+        for q in range(0, len(own), max(1, len(own) // LEARNED)):
+            others = self.rows != own[q]
             x.append(self._saved(near[q])[others].astype(np.float64))
             y.append((exact(self.vectors, queries[q]) / (lengths * np.linalg.norm(queries[q])))[others])
         x, y = np.concatenate(x or [np.zeros(0)]), np.concatenate(y or [np.zeros(0)])
@@ -81,22 +82,22 @@ class Shard:
         rest = y - slope * x
         return (float(rest.mean() + RAISED * rest.std()), float(slope)) if len(x) else (1.0, 0.0)
 
-    def search(self, query_ids: np.ndarray, queries: np.ndarray, near: np.ndarray, rerank: float, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """(query, ids, scores): the k best of the candidates of each query, itself left out."""
+    def search(self, own: np.ndarray, own_ids: np.ndarray, queries: np.ndarray, near: np.ndarray, rerank: float, k: int) -> Iterator[tuple[np.ndarray, ...]]:
+        """(row and id of the query, ids, scores): the k best of the candidates of each query, its own row left out."""
         some = min(len(self.ids), max(int(rerank * len(self.ids)), 4 * k))
         if some < len(self.ids):
             lengths = np.linalg.norm(self.vectors, axis=1)
-            least, slope = self._cosines(query_ids, queries, near, lengths)
-        for q in range(len(query_ids)):
+            least, slope = self._cosines(own, queries, near, lengths)
+        for q in range(len(own)):
             if some < len(self.ids):
                 estimate = lengths * (least + slope * self._saved(near[q]))
                 candidates = np.sort(np.argpartition(-estimate, some - 1)[:some])
             else:
                 candidates = np.arange(len(self.ids))
-            candidates = candidates[self.ids[candidates] != query_ids[q]]
+            candidates = candidates[self.rows[candidates] != own[q]]
             score = exact(self.vectors[candidates], queries[q])
             best = np.lexsort((self.ids[candidates], -score))[:k]
-            yield np.full(len(best), query_ids[q]), self.ids[candidates[best]], score[best]
+            yield np.full(len(best), own[q]), np.full(len(best), own_ids[q]), self.ids[candidates[best]], score[best]
 
 
 def exact(vectors: np.ndarray, query: np.ndarray) -> np.ndarray:
@@ -104,70 +105,95 @@ def exact(vectors: np.ndarray, query: np.ndarray) -> np.ndarray:
     return np.einsum("ij,j->i", vectors, query)
 
 
-def _search(block, pivots, dims: int, indexed: int, rerank: float, k: int):
-    names = ["query_id", "vec_id", "score"]
+def _index(points: Sent, dims: int, indexed: int):
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = TaskContext.get().partitionId() << 40
+        for batch in batches:
+            vectors = matrix(batch.column("vector"), dims)
+            near = nearest_pivots(vectors, points.value, indexed)
+            ends = pa.array(np.arange(len(near) + 1) * near.shape[1], pa.int32())
+            posted = pa.ListArray.from_arrays(ends, pa.array(near.ravel().astype(np.int16)))
+            yield pa.record_batch([pa.array(at + np.arange(batch.num_rows)), batch.column("vec_id"), batch.column("vector"), posted], names=["row", "vec_id", "vector", "near"])
+            at += batch.num_rows
+
+    return task
+
 
-    def found(ids: list, vectors: list) -> Iterator[pa.RecordBatch]:
-        shard = Shard(np.concatenate(ids), np.concatenate(vectors), pivots.value, indexed)
-        out, rows = ([], [], []), 0
+def permutation_index(rows: DataFrame, dims: int, pivots: int = 256, indexed: int = 64, seed: int = 5) -> DataFrame:
+    """(row, vec_id, vector, near): each vector with its ``indexed`` nearest pivots in order, stored; ``row`` numbers it.
+
+    ``pivots`` rows, by a hash of vec_id, are the pivots; they are all that the index is fitted on.
+    """
+    drawn = rows.orderBy(F.xxhash64("vec_id", F.lit(seed)), "vec_id", "vector").limit(pivots).select("vector").toArrow()
+    points = matrix(drawn["vector"], dims)
+    points = points / np.linalg.norm(points, axis=1, keepdims=True)
+    made = rows.mapInArrow(_index(Sent(rows.sparkSession, points), dims, indexed), "row bigint, vec_id bigint, vector array<double>, near array<smallint>")
+    return stored(made)
+
+
+def _search(block: Sent, dims: int, pivots: int, rerank: float, k: int):
+    names = ["row", "query_id", "vec_id", "score"]
+
+    def found(parts: list) -> Iterator[pa.RecordBatch]:
+        shard = Shard(*(np.concatenate(x) for x in zip(*parts, strict=True)), pivots)
+        out, rows = ([], [], [], []), 0
         for result in shard.search(*block.value, rerank, k):
             for x, v in zip(out, result, strict=True):
                 x.append(v)
             rows += len(result[0])
             if rows > 1 << 16:
                 yield pa.record_batch([pa.array(np.concatenate(x)) for x in out], names=names)
-                out, rows = ([], [], []), 0
+                out, rows = ([], [], [], []), 0
         if rows:
             yield pa.record_batch([pa.array(np.concatenate(x)) for x in out], names=names)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, vectors, rows = [], [], 0
+        parts, rows = [], 0
         for batch in batches:
-            ids.append(batch.column("vec_id").to_numpy())
-            vectors.append(matrix(batch.column("vector"), dims))
+            parts.append((batch.column("row").to_numpy(), batch.column("vec_id").to_numpy(), matrix(batch.column("vector"), dims), permutations(batch.column("near"), batch.num_rows)))
             rows += batch.num_rows
             if rows >= SHARD_ROWS:
-                yield from found(ids, vectors)
-                ids, vectors, rows = [], [], 0
+                yield from found(parts)
+                parts, rows = [], 0
         if rows:
-            yield from found(ids, vectors)
+            yield from found(parts)
 
     return task
 
 
+def permutations(column: pa.Array, rows: int) -> np.ndarray:
+    flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return flat.flatten().to_numpy(zero_copy_only=False).astype(np.int32).reshape(rows, -1)
+
+
 def nearest(
     vectors: DataFrame, every: int = 20, k: int = 20, pivots: int = 256, indexed: int = 64, searched: int = 32, rerank: float = 0.25, seed: int = 5
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest of all other rows for each row whose vec_id is divisible by ``every``.
 
     Takes vec_id and embedding; other columns are ignored. Nearness is the inner product in double precision, ties go to
-    the smaller vec_id; vectors may have any lengths. Vectors that are null, zero or hold null or non-finite components, rows without vec_id, and vectors
-    of another length than the most frequent take no part. Rows that repeat a vec_id are candidates of their own, and
-    none is found for a query of that id. ``pivots`` bounds the sample that the index is fitted on, ``rerank`` is the
-    share of a shard that is compared exactly. An empty table gives no rows.
+    the smaller vec_id; vectors may have any lengths. Vectors that are null, zero or hold null or non-finite components, rows
+    without vec_id, and vectors of another length than the most frequent take no part. Rows that repeat a vec_id are
+    candidates of their own, and queries of their own too, each with ranks from 1. ``pivots`` bounds the sample that the
+    index is fitted on, ``rerank`` is the share of a shard that is compared exactly. An empty table gives no rows.
     """
     spark = vectors.sparkSession
     rows = usable(vectors)
     common = rows.groupBy(F.size("vector").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    schema = "query_id bigint, vec_id bigint, score double"
     if common is None:
         return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
     dims = common.n
-    rows = rows.where(F.size("vector") == dims)
-    drawn = rows.orderBy(F.xxhash64("vec_id", F.lit(seed)), "vec_id").limit(pivots).select("vector").toArrow()
-    points = matrix(drawn["vector"], dims)
-    points = points / np.linalg.norm(points, axis=1, keepdims=True)
-    shared = spark.sparkContext.broadcast(points)
-    wanted = rows.where(F.col("vec_id") % every == 0)
+    index = permutation_index(rows.where(F.size("vector") == dims), dims, pivots, indexed, seed)
+    wanted = index.where(F.col("vec_id") % every == 0)
     blocks = max(1, -(-wanted.count() // BLOCK_ROWS))
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    best = Window.partitionBy("row").orderBy(F.desc("score"), "vec_id")
     found = None
     for b in range(blocks):
-        block = wanted.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).toArrow()
-        ids, queries = block["vec_id"].to_numpy(), matrix(block["vector"], dims)
-        sent = spark.sparkContext.broadcast((ids, queries, nearest_pivots(queries, points, searched)))
-        part = rows.mapInArrow(_search(sent, shared, dims, indexed, rerank, k), schema)
+        block = wanted.where(F.pmod(F.xxhash64("row"), F.lit(blocks)) == b).toArrow()
+        near = permutations(block["near"], block.num_rows)[:, :searched] if block.num_rows else np.zeros((0, 1), np.int32)
+        sent = Sent(spark, (block["row"].to_numpy(), block["vec_id"].to_numpy(), matrix(block["vector"], dims), near))
+        part = index.mapInArrow(_search(sent, dims, pivots, rerank, k), "row bigint, query_id bigint, vec_id bigint, score double")
         part = stored(part.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"))
-        sent.unpersist()
+        sent.sent.unpersist()
         found = part if found is None else found.unionByName(part)
     return found

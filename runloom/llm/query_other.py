@@ -40,12 +40,13 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format(table(spark, sf_dir, "conversations"))
 
 
-OP4_SQL = """
+OP4_SQL = r"""
 with t as (select conv_id, turn, coalesce(lower(trim(role)), 'unknown') as role, coalesce(text, '') as text from conversations where conv_id is not null),
 c as (select conv_id, count(*) as n_turns, list(struct_pack(r := role, x := text) order by turn nulls first, role, text) as ts from t group by conv_id),
 p as (select distinct ts[1:k] as ts from (select ts, unnest(range(1, len(ts))) as k from c)),
 e as (select ts, min(conv_id) as conv_id, any_value(n_turns) as n_turns from c group by ts)
-select e.conv_id, e.n_turns, array_to_string(list_transform(e.ts, lambda t: '<|' || t.r || '|>' || chr(10) || t.x || chr(10) || '<|end|>' || chr(10)), '') as rendered
+select e.conv_id, e.n_turns, array_to_string(list_transform(e.ts, lambda t: '<|' || replace(replace(t.r, '\', '\\'), '|', '\|') || '|>' || chr(10)
+       || replace(replace(t.x, '<\', '<\\'), '<|', '<\|') || chr(10) || '<|end|>' || chr(10)), '') as rendered
 from e anti join p on e.ts = p.ts
 """
 

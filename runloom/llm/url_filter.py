@@ -139,7 +139,8 @@ class UrlModel:
 def fit(labelled: DataFrame, sample: int = 20000, trees: int = 8, depth: int = 3) -> UrlModel:
     """Boosted trees from (url, host, path, blocked).
 
-    ``sample`` bounds the rows that the trees are fitted on (about; by a hash of the URL and its row). The share of blocked
+    ``sample`` bounds the rows that the trees are fitted on (about; by a hash of the URL, so that reruns agree; a URL
+    that is drawn counts once, however many rows repeat it). The share of blocked
     URLs of a host's suffix is a feature; it is counted over all labelled rows, for all suffixes. Without labelled rows, or
     with one label only, there are no trees and every URL gets that label (none: allow).
     """
@@ -147,8 +148,8 @@ def fit(labelled: DataFrame, sample: int = 20000, trees: int = 8, depth: int = 3
     if not totals.n or totals.b in (0, totals.n):
         return UrlModel(None, None, 1.0 if totals.n and totals.b else 0.0)
     prior = float(totals.b / totals.n)
-    spread = F.pmod(F.xxhash64("url", F.monotonically_increasing_id()), F.lit(1 << 20))
-    drawn = stored(labelled.where(spread < min(1.0, sample / totals.n) * (1 << 20)).select("url", "host", "path", F.col("blocked").cast("double").alias("label")))
+    spread = F.pmod(F.xxhash64("url", F.lit("sample")), F.lit(1 << 20))
+    drawn = stored(labelled.where(spread < min(1.0, sample / totals.n) * (1 << 20)).select("url", "host", "path", F.col("blocked").cast("double").alias("label")).distinct())
     if drawn.agg(F.countDistinct("label")).first()[0] < 2:
         return UrlModel(None, None, prior)
     suffixes = stored(suffix_counts(labelled))

@@ -20,17 +20,18 @@ def ts(t: str | Column) -> Column:
 
 def date_values(execution: str | Column, start: str | Column | None = None, end: str | Column | None = None) -> dict[str, Column]:
     """Template variables of a run's dates; those of an unset date are null and not replaced."""
-    start, end = start if start is not None else execution, end if end is not None else execution
+    unset = F.lit(None).cast("timestamp")
+    interval = lambda t: F.date_format(unset if t is None else t, "yyyy-MM-dd'T'HH:mm:ss'Z'")
     return {
         "ds": ds(execution), "ds_nodash": F.date_format(execution, "yyyyMMdd"), "ts": ts(execution), "ts_nodash": F.date_format(execution, "yyyyMMdd'T'HHmmss"),
-        "data_interval_start": ts(start), "data_interval_end": ts(end), "execution_date": ts(execution),
+        "data_interval_start": interval(start), "data_interval_end": interval(end),
     }
 
 
 def resolve_template(template: str | Column, values: dict[str, Column], xcoms: Column | None = None) -> Column:
     """Replaces ``{{name}}`` and ``{{xcom.task.key}}`` from left to right.
 
-    Space inside the braces is trimmed, ``\\{{`` stands for ``{{``, unclosed and unknown names stay as they are, and what was put
+    White space inside the braces is trimmed, ``\\{{`` stands for ``{{``, unclosed and unknown names stay as they are, and what was put
     in is not looked at again. ``xcoms`` maps ``task.key`` to text; the task ends at the first dot.
     """
     parts = F.regexp_extract_all(_c(template), F.lit(r"(?s)(\\\{\{|\{\{.*?\}\}|.)"), F.lit(1))
@@ -38,7 +39,7 @@ def resolve_template(template: str | Column, values: dict[str, Column], xcoms: C
     known = F.map_from_entries(F.filter(F.array(*[F.struct(F.lit(k).alias("k"), v.cast("string").alias("v")) for k, v in values.items()]), lambda e: e["v"].isNotNull()))
 
     def part(p: Column) -> Column:
-        name = F.trim(F.substring(p, F.lit(3), F.length(p) - 4))
+        name = F.btrim(F.substring(p, F.lit(3), F.length(p) - 4), F.lit(" \t\n\x0b\x0c\r"))
         value = F.element_at(known, name)
         if xcoms is not None:
             value = F.when(name.startswith("xcom."), F.element_at(xcoms, F.substring(name, F.lit(6), F.length(name)))).otherwise(value)
@@ -66,7 +67,9 @@ def preview(text: str | Column, size: int = 80) -> Column:
 
 
 def truncated(text: str | Column, size: int = 10 << 20) -> Column:
-    return F.substring(_c(text), 1, size)
+    """The first ``size`` bytes of a text; a character that is cut in two becomes U+FFFD."""
+    t = _c(text)
+    return F.when(F.octet_length(t) > size, F.make_valid_utf8(F.substring(t.cast("binary"), 1, size).cast("string"))).otherwise(t)
 
 
 def words_of(text: str | Column, separator: str) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -16,9 +16,19 @@ def json_in_output(output: str | Column) -> Column:
     """The whole output if it is JSON, else its last line that starts like an array or object and parses, else a first line that is JSON, else the output."""
     out = _c(output)
     lines = F.transform(F.split(out, "\n", -1), F.rtrim)
+    # Each candidate is parsed only where those before it are no JSON.
     good = F.filter(F.reverse(lines), lambda x: x.rlike(r"^[\[{]") & F.try_parse_json(x).isNotNull())
-    first = F.get(lines, F.lit(0))
-    return F.coalesce(F.when(F.try_parse_json(out).isNotNull(), out), F.get(good, F.lit(0)), F.when(F.try_parse_json(first).isNotNull(), first), out)
+    first = F.filter(F.slice(lines, 1, 1), lambda x: F.try_parse_json(x).isNotNull())
+    return F.coalesce(F.when(F.try_parse_json(out).isNotNull(), out), F.get(good, F.lit(0)), F.get(first, F.lit(0)), out)
+
+
+def parsed_output(output: str | Column) -> Column:
+    """VARIANT of ``json_in_output``, null if that is no JSON; every candidate is parsed once."""
+    out = _c(output)
+    lines = F.transform(F.split(out, "\n", -1), F.rtrim)
+    tried = F.filter(F.reverse(lines), lambda x: x.rlike(r"^[\[{]"))
+    last = F.get(F.filter(F.transform(tried, F.try_parse_json), lambda v: v.isNotNull()), F.lit(0))
+    return F.coalesce(F.try_parse_json(out), last, F.try_parse_json(F.get(lines, F.lit(0))))
 
 
 def regex_group(text: str | Column, pattern: str, group: int = 0) -> Column:
@@ -52,18 +62,19 @@ def extracted(results: DataFrame, key: str, source: str, path: str | None = None
     if pattern is not None:
         text = regex_group(text, pattern, group)
     if source == "json" or path:
-        whole = F.try_parse_json(json_in_output(text))
-        value = json_path(whole, path or "")
-        error = F.when(text.isNull(), "NotFound").when(whole.isNull(), "ParseError").when(value.isNull(), "NotFound")
+        results = results.withColumn("_text", text).withColumn("_whole", parsed_output("_text"))
+        results = results.withColumn("value", json_path(F.col("_whole"), path or ""))
+        error = F.when(F.col("_text").isNull(), "NotFound").when(F.col("_whole").isNull(), "ParseError").when(F.col("value").isNull(), "NotFound")
+        return results.withColumns({"xkey": F.lit(key), "error": error}).drop("_text", "_whole")
     else:
         value, error = text.cast("variant"), F.when(text.isNull(), "NotFound")
     return results.withColumns({"xkey": F.lit(key), "value": value, "error": error})
 
 
 def all_or_nothing(extractions: DataFrame, keys: list[str]) -> DataFrame:
-    """Values of the tasks none of whose rules failed."""
-    failed = extractions.where("error is not null").select(*keys).distinct()
-    return extractions.join(failed, keys, "left_anti").drop("error")
+    """Values of the tasks none of whose rules failed. The extraction runs once: one window by task tells of failures."""
+    failures = F.count("error").over(Window.partitionBy(*keys))
+    return extractions.withColumn("_failures", failures).where("_failures = 0").drop("error", "_failures")
 
 
 def dependency_list(text: str | Column) -> Column:
@@ -77,5 +88,6 @@ def dependency_list(text: str | Column) -> Column:
 
 def dependency_json(deps: str | Column) -> Column:
     """JSON of dependencies: a text for a plain one, an object for a labelled one."""
-    item = lambda d: F.when(d["label"] == "", F.concat(F.lit('"'), d["task"], F.lit('"'))).otherwise(F.to_json(F.struct(d["task"].alias("task"), d["label"].alias("label"))))
+    plain = lambda d: F.regexp_extract(F.to_json(F.array(d["task"])), r"(?s)^\[(.*)\]$", 1)
+    item = lambda d: F.when(d["label"] == "", plain(d)).otherwise(F.to_json(F.struct(d["task"].alias("task"), d["label"].alias("label"))))
     return F.concat(F.lit("["), F.array_join(F.transform(deps, item), ","), F.lit("]"))

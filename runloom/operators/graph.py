@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.storage import stored
@@ -21,11 +23,72 @@ def neighbours(edges: DataFrame, key: str = "run_rowid") -> DataFrame:
     return up.unionByName(down).groupBy(key, "node").agg(*lists)
 
 
+#: Rows (nodes and edges) of a graph that is worked on as one row; larger graphs go level by level.
+SMALL_GRAPH = 64
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body or a lambda in it uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def split(rows: DataFrame, key: str) -> tuple[DataFrame, DataFrame | None]:
+    """Rows of the graphs that are small, and of those that are not, or None if there are none of these."""
+    large = stored(rows.groupBy(key).count().where(F.col("count") > SMALL_GRAPH).select(key))
+    if large.isEmpty():
+        return rows, None
+    return rows.join(large, key, "left_anti"), rows.join(large, key, "left_semi")
+
+
+def levels(ids: Column, sources: Column) -> Column:
+    """Longest path from a root to each of ``ids``; not less than their number for nodes on or behind a cycle.
+
+    ``sources``: for each id the ids it depends on. As many rounds as there are ids, each of which takes every node one
+    further than its dependencies. Nodes that depend on one that is not there are behind a cycle, too.
+    """
+    endless = 1 << 20
+    places = F.transform(sources, lambda own: F.transform(own, lambda x: F.array_position(ids, x).cast("int")))
+    further = lambda seen, own: F.coalesce(F.array_max(F.transform(own, lambda p: F.when(p == 0, endless).otherwise(F.get(seen, p - 1)))) + 1, F.lit(0))
+    return let(places, lambda of: F.aggregate(ids, F.transform(ids, lambda _: F.lit(0)), lambda seen, _: F.transform(of, lambda own: further(seen, own))))
+
+
+def graphs(rows: DataFrame, key: str, *attributes: str) -> DataFrame:
+    """(key, ids, sources, attributes): one row for each graph, with arrays that go by node.
+
+    rows: key, node, src, attributes. One with src is an edge to node; one without is a node, with what attributes it has
+    (of several values of one the largest). Sources are the ids that a node depends on.
+    """
+    listed = rows.groupBy(key).agg(F.collect_list(F.struct("node", "src", *attributes)).alias("_rows"))
+    ids = F.array_distinct(F.transform("_rows", lambda r: r["node"]))
+
+    def values(c: str) -> Callable[[Column], Column]:
+        return lambda x: F.transform(F.filter("_rows", lambda r: (r["node"] == x) & r[c].isNotNull()), lambda r: r[c])
+
+    def largest(c: str) -> Callable[[Column], Column]:
+        return lambda x: F.array_max(values(c)(x))
+
+    made = let(ids, lambda own: F.struct(own.alias("ids"), F.transform(own, values("src")).alias("sources"), *[F.transform(own, largest(c)).alias(c) for c in attributes]))
+    return listed.select(key, made.alias("_graph")).select(key, "_graph.*")
+
+
 def layers(nodes: DataFrame, edges: DataFrame, key: str = "run_rowid", node: str = "task_idx") -> DataFrame:
     """Longest path to each node from a root; nodes on or behind a cycle have none and are left out.
 
-    Peels the graph level by level; a node's layer is the round in which its last dependency was peeled.
+    The nodes and edges of a small graph meet in one row, by one shuffle; larger graphs are peeled level by level.
     """
+    kind = nodes.schema[node].dataType.simpleString()
+    rows = nodes.select(key, F.col(node).alias("node"), F.lit(None).cast(kind).alias("src")).unionByName(edges.select(key, F.col("dst").cast(kind).alias("node"), F.col("src").cast(kind).alias("src")))
+    small, large = split(stored(rows), key)
+    found = graphs(small, key).select(key, "ids", levels(F.col("ids"), F.col("sources")).alias("layers"))
+    found = found.select(key, F.size("ids").alias("n"), F.explode(F.arrays_zip("ids", "layers")).alias("x")).where("x.layers < n")
+    found = found.select(key, F.col("x.ids").alias(node), F.col("x.layers").alias("layer"))
+    if large is None:
+        return found
+    return found.unionByName(peeled_layers(large.where("src is null").select(key, F.col("node").alias(node)), large.where("src is not null").select(key, "src", F.col("node").alias("dst")), key, node))
+
+
+def peeled_layers(nodes: DataFrame, edges: DataFrame, key: str, node: str) -> DataFrame:
+    """Layers level by level; a node's layer is the round in which its last dependency was peeled."""
     edges = stored(edges.select(key, "src", "dst"))  # read in every round
     degree = stored(edges.groupBy(key, F.col("dst").alias(node)).agg(F.count("*").alias("n_edges")))
     fresh = stored(roots(nodes, edges, key, node).distinct().withColumn("layer", F.lit(0)))
@@ -48,15 +111,73 @@ def topological_order(nodes: DataFrame, edges: DataFrame, key: str = "run_rowid"
 
 
 def cyclic_nodes(edges: DataFrame, key: str = "run_rowid") -> DataFrame:
-    """Nodes on a cycle, or between cycles: what is left when sources and sinks are peeled off again and again."""
-    left = stored(edges.select(key, "src", "dst").distinct())
-    while True:
-        before = left.count()
+    """Nodes on a cycle, self loops included; not those that only lie between cycles.
+
+    In a small graph a node is on a cycle if it reaches itself. Larger graphs are peeled from both ends; of what is left,
+    the strongly connected parts are found by labels that run along the edges in both directions.
+    """
+    kind = edges.schema["src"].dataType.simpleString()
+    pairs = edges.select(key, F.col("dst").cast(kind).alias("node"), "src").distinct()
+    rows = stored(pairs.unionByName(pairs.select(key, F.col("src").alias("node"), F.lit(None).cast(kind).alias("src"))))
+    small, large = split(rows, key)
+    bits = F.array(*[F.lit((1 << i) - (1 << 64) * (i == 63)).cast("bigint") for i in range(64)])
+    starts = graphs(small, key)
+
+    def closed(ids: Column, sources: Column) -> Column:
+        """For each node the nodes that lead to it, as bits; of SMALL_GRAPH rows at most as many are nodes."""
+        places = F.transform(sources, lambda own: F.transform(own, lambda x: F.array_position(ids, x).cast("int")))
+        gathered = lambda seen, own: F.aggregate(own, F.lit(0).cast("bigint"), lambda m, p: m.bitwiseOR(F.get(bits, p - 1)).bitwiseOR(F.get(seen, p - 1)))
+        none = F.transform(ids, lambda _: F.lit(0).cast("bigint"))
+        return let(places, lambda of: F.aggregate(ids, none, lambda seen, _: F.transform(of, lambda own: gathered(seen, own))))
+
+    starts = starts.select(key, "ids", closed(F.col("ids"), F.col("sources")).alias("reach"))
+    reached = starts.select(key, F.posexplode(F.arrays_zip("ids", "reach")).alias("i", "x"))
+    found = reached.where(F.col("x.reach").bitwiseAND(F.get(bits, F.col("i"))) != 0).select(key, F.col("x.ids").alias("node"))
+    return found if large is None else found.unionByName(_strongly_connected(large.where("src is not null").select(key, "src", F.col("node").alias("dst")), key))
+
+
+def _strongly_connected(edges: DataFrame, key: str) -> DataFrame:
+    """Nodes on cycles of large graphs. Rounds are as many as the longest path that is left after peeling."""
+    left, found = _peeled(edges, key), None
+    while not left.isEmpty():
+        degrees = left.groupBy(key, F.col("src").alias("v")).count().unionByName(left.groupBy(key, F.col("dst").alias("v")).count())
+        if degrees.where("count > 1").isEmpty():  # what is left is disjoint cycles
+            inside, left = left, left.limit(0)
+        else:
+            forward, backward = _least_along(left, key), _least_along(left.select(key, F.col("dst").alias("src"), F.col("src").alias("dst")), key)
+            label = forward.join(backward.withColumnRenamed("least", "back"), [key, "v"])
+            label = stored(label)
+            for end in ("src", "dst"):
+                left = left.join(label.select(key, F.col("v").alias(end), F.struct("least", "back").alias(f"l_{end}")), [key, end])
+            left = stored(left.where("l_src = l_dst").withColumn("done", F.col("l_src.least") == F.col("l_src.back")))
+            inside, left = left.where("done").select(key, "src", "dst"), _peeled(left.where("not done"), key)
+        nodes = inside.select(key, F.explode(F.array("src", "dst")).alias("node")).distinct()
+        found = nodes if found is None else found.unionByName(nodes)
+    return edges.select(key, F.col("src").alias("node")).limit(0) if found is None else found
+
+
+def _peeled(edges: DataFrame, key: str) -> DataFrame:
+    """The edges that are left when sources and sinks are taken away again and again."""
+    left = stored(edges.select(key, "src", "dst"))
+    before, now = -1, left.count()
+    while now != before:
         left = left.join(left.select(key, F.col("dst").alias("src")), [key, "src"], "left_semi")
         left = left.join(left.select(key, F.col("src").alias("dst")), [key, "dst"], "left_semi")
         left = stored(left.select(key, "src", "dst"))
-        if left.count() == before:
-            return left.select(key, F.col("src").alias("node")).distinct()
+        before, now = now, left.count()
+    return left
+
+
+def _least_along(edges: DataFrame, key: str) -> DataFrame:
+    """(key, v, least): the smallest of the nodes that lead to v, itself included."""
+    nodes = edges.select(key, F.explode(F.array("src", "dst")).alias("v")).distinct()
+    label = stored(nodes.withColumn("least", F.col("v")))
+    fresh = label
+    while not fresh.isEmpty():
+        come = edges.join(fresh.select(key, F.col("v").alias("src"), "least"), [key, "src"]).groupBy(key, F.col("dst").alias("v")).agg(F.min("least").alias("new"))
+        fresh = stored(label.join(come, [key, "v"]).where("new < least").select(key, "v", F.col("new").alias("least")))
+        label = stored(label.unionByName(fresh).groupBy(key, "v").agg(F.min("least").alias("least")))
+    return label
 
 
 def reachable(edges: DataFrame, max_depth: int, key: str = "run_rowid") -> DataFrame:
@@ -76,13 +197,32 @@ def reachable(edges: DataFrame, max_depth: int, key: str = "run_rowid") -> DataF
     return found
 
 
-def refused_edges(nodes: DataFrame, edges: DataFrame, key: str = "run_rowid", node: str = "task_idx") -> DataFrame:
-    """Edges that can't be added, with the reason: unknown ends, self loops; cycles are told by ``cyclic_nodes``."""
+def refused_edges(nodes: DataFrame, edges: DataFrame, key: str = "run_rowid", node: str = "task_idx", existing: DataFrame | None = None) -> DataFrame:
+    """Edges that can't be added, with the reason: unknown ends (NotFound), self loops (InvalidArgument) and, if the
+    ``existing`` edges are given, those that would close a cycle with them (CycleDetected)."""
     known = nodes.select(key, F.col(node).alias("n")).distinct()
     marked = edges.join(known.select(key, F.col("n").alias("src"), F.lit(True).alias("has_src")), [key, "src"], "left")
     marked = marked.join(known.select(key, F.col("n").alias("dst"), F.lit(True).alias("has_dst")), [key, "dst"], "left")
     error = F.when(F.col("has_src").isNull() | F.col("has_dst").isNull(), "NotFound").when(F.col("src") == F.col("dst"), "InvalidArgument")
-    return marked.withColumn("error", error).where("error is not null").select(key, "src", "dst", "error")
+    marked = marked.withColumn("error", error)
+    if existing is not None:
+        closing = closing_edges(existing, marked.where("error is null").select(key, "src", "dst"), key).withColumn("closes", F.lit(True))
+        marked = marked.join(closing, [key, "src", "dst"], "left").withColumn("error", F.coalesce("error", F.when(F.col("closes"), "CycleDetected")))
+    return marked.where("error is not null").select(key, "src", "dst", "error")
+
+
+def closing_edges(existing: DataFrame, proposed: DataFrame, key: str = "run_rowid") -> DataFrame:
+    """The proposed edges whose source can be reached from their destination over existing edges, each taken by itself.
+
+    Each round goes one edge further from the destinations; nodes that an edge's search has met are not met again.
+    """
+    existing = stored(existing.select(key, F.col("src").alias("at"), F.col("dst").alias("next")).distinct())
+    met = fresh = stored(proposed.select(key, "src", "dst").distinct().withColumn("at", F.col("dst")))
+    while not fresh.isEmpty():
+        further = fresh.where("at <> src").join(existing, [key, "at"]).select(key, "src", "dst", F.col("next").alias("at")).distinct()
+        fresh = stored(further.join(met, [key, "src", "dst", "at"], "left_anti"))
+        met = met.unionByName(fresh)
+    return met.where("at = src").select(key, "src", "dst").distinct()
 
 
 def undeletable(nodes: DataFrame, edges: DataFrame, key: str = "run_rowid", node: str = "task_idx") -> DataFrame:
@@ -109,3 +249,10 @@ def definition_errors(dags: DataFrame, tasks: DataFrame, edges: DataFrame) -> Da
     for f in found[1:]:
         total = total.unionByName(f)
     return total
+
+
+def definition_verdicts(dags: DataFrame, errors: DataFrame) -> DataFrame:
+    """(dag_id, n_errors, verdict) for each definition: valid without errors (``definition_errors``), else invalid."""
+    counts = errors.groupBy("dag_id").agg(F.count("*").alias("n_errors"))
+    n = F.coalesce("n_errors", F.lit(0))
+    return dags.select("dag_id").join(counts, "dag_id", "left").select("dag_id", n.alias("n_errors"), F.when(n == 0, "valid").otherwise("invalid").alias("verdict"))

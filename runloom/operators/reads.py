@@ -25,6 +25,12 @@ def run_state(runs: DataFrame, dag_run_id: str) -> DataFrame:
     return runs.where(F.col("dag_run_id") == dag_run_id).select("dag_run_id", "state")
 
 
+def run_rows(runs: DataFrame, asked: DataFrame) -> DataFrame:
+    """The rows of the asked runs (dag_run_id), each with the dag_id that its id tells; null columns for runs that aren't there."""
+    rows = asked.select("dag_run_id").distinct().join(runs.drop("dag_id"), "dag_run_id", "left")
+    return rows.withColumn("dag_id", dag_id_of("dag_run_id"))
+
+
 def incomplete_runs(runs: DataFrame) -> DataFrame:
     return runs.where("state = 0 and dag_run_id <> ''").select("run_rowid", "dag_run_id")
 

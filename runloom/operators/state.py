@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.storage import stored
+from . import graph
 
 # Codes of task states, exit codes that skip a task or fail it without retry, and what recovery notes.
 PENDING, RUNNING, SUCCESS, FAILED, UPSTREAM_FAILED, RETRYING, SKIPPED = range(7)
@@ -24,10 +25,16 @@ def dependency_counts(edges: DataFrame, states: DataFrame) -> DataFrame:
     )
 
 
-def triggers(rule: str | Column = "trigger_rule") -> Column:
-    """Whether a rule lets a task run, all of its dependencies having ended; without dependencies every task runs."""
+COUNTS = ("n_success", "n_failed", "n_skipped", "n_total")
+
+
+def triggers(rule: str | Column = "trigger_rule", counts: tuple[Column, ...] | None = None) -> Column:
+    """Whether a rule lets a task run, all of its dependencies having ended; without dependencies every task runs.
+
+    ``counts``: dependencies that succeeded, failed, were skipped, and all; else the columns of these names.
+    """
     rule = F.col(rule) if isinstance(rule, str) else rule
-    s, f, k, t = (F.coalesce(F.col(c), F.lit(0)) for c in ("n_success", "n_failed", "n_skipped", "n_total"))
+    s, f, k, t = counts or (F.coalesce(F.col(c), F.lit(0)) for c in COUNTS)
     rules = {
         "all_failed": f == t, "all_done": s + f + k == t, "one_success": s >= 1, "one_failed": f >= 1, "none_failed": f == 0, "none_skipped": k == 0,
         "all_done_min_one_success": s >= 1, "all_skipped": k == t, "one_done": s + f + k >= 1, "none_failed_min_one_success": (f == 0) & (s >= 1), "always": F.lit(True),
@@ -38,13 +45,12 @@ def triggers(rule: str | Column = "trigger_rule") -> Column:
     return (t == 0) | ((s + f + k == t) & chosen)
 
 
-def not_triggered(rule: str | Column = "trigger_rule") -> Column:
-    """State of a task that its rule keeps from running."""
+def not_triggered(rule: str | Column = "trigger_rule", failed: Column | None = None) -> Column:
+    """State of a task that its rule keeps from running; ``failed``: dependencies that failed, themselves or upstream."""
     rule = F.col(rule) if isinstance(rule, str) else rule
-    others = F.lit(False)
-    for name in ("all_failed", "all_done", "one_success", "one_failed", "none_failed", "none_skipped", "all_done_min_one_success", "all_skipped", "one_done", "none_failed_min_one_success", "always"):
-        others = others | (rule == name)
-    return F.when(~F.coalesce(others, F.lit(False)) & (F.col("n_failed") + F.col("n_upstream") > 0), UPSTREAM_FAILED).otherwise(SKIPPED)
+    others = rule.isin("all_failed", "all_done", "one_success", "one_failed", "none_failed", "none_skipped", "all_done_min_one_success", "all_skipped", "one_done", "none_failed_min_one_success", "always")
+    failed = F.col("n_failed") + F.col("n_upstream") if failed is None else failed
+    return F.when(~F.coalesce(others, F.lit(False)) & (failed > 0), UPSTREAM_FAILED).otherwise(SKIPPED)
 
 
 def trigger_outcomes(nodes: DataFrame, edges: DataFrame, states: DataFrame) -> DataFrame:
@@ -58,8 +64,52 @@ def trigger_outcomes(nodes: DataFrame, edges: DataFrame, states: DataFrame) -> D
 def propagate(nodes: DataFrame, edges: DataFrame, intrinsic: DataFrame) -> DataFrame:
     """Effective state of every task: what it would return if it runs, else skipped or upstream_failed, down the graph.
 
-    Level by level: each round decides the tasks whose dependencies are all decided, with one join and one aggregation,
-    and is stored; the number of rounds is that of the longest path. Tasks on or behind a cycle are left out.
+    The tasks of a small run meet in one row and are decided in the order of their layers; larger runs go level by level.
+    Tasks on or behind a cycle, or behind one without an own state, are left out.
+    """
+    key, columns = "run_rowid", {"src": edges.schema["src"].dataType.simpleString(), "rule": "string", "own": "int"}
+
+    def part(df: DataFrame, node: str, **has: str) -> DataFrame:
+        return df.select(key, F.col(node).alias("node"), *[(F.col(has[c]) if c in has else F.lit(None)).cast(t).alias(c) for c, t in columns.items()])
+
+    rule = nodes.withColumn("trigger_rule", F.coalesce("trigger_rule", F.lit("")))
+    rows = part(rule, "task_idx", rule="trigger_rule").unionByName(part(intrinsic, "task_idx", own="state")).unionByName(part(edges, "dst", src="src"))
+    small, large = graph.split(stored(rows), key)
+    done = _decided(graph.graphs(small, key, "rule", "own"))
+    if large is not None:
+        parts = [large.where(f"{c} is not null") for c in ("rule", "src", "own")]
+        names = [{"node": "task_idx", "rule": "trigger_rule"}, {"node": "dst"}, {"node": "task_idx", "own": "state"}]
+        done = done.unionByName(propagate_by_level(*[p.withColumnsRenamed(n) for p, n in zip(parts, names, strict=True)]))
+    return done
+
+
+def _decided(runs: DataFrame) -> DataFrame:
+    """(run_rowid, task_idx, state) of runs of one row each: ids, sources, rule and own state by task."""
+    layer = graph.levels(F.col("ids"), F.col("sources"))
+    zipped = F.arrays_zip("ids", "sources", "rule", "own", "layer")
+    tasks = F.transform(zipped, lambda t: F.struct(t["layer"], t["ids"].alias("id"), t["sources"], t["rule"], t["own"]))
+    known = F.filter(tasks, lambda t: (t["layer"] < F.size("ids")) & t["rule"].isNotNull() & t["own"].isNotNull())
+    runs = stored(runs.withColumn("layer", layer).select("run_rowid", F.array_sort(known).alias("tasks")))
+    count = lambda states, *of: F.size(F.filter(states, lambda x: x.isin(*of)))
+
+    def state(t: Column, before: Column) -> Column:
+        s, f, k = count(before, SUCCESS), count(before, FAILED), count(before, SKIPPED, UPSTREAM_FAILED)
+        decided = F.when(triggers(t["rule"], (s, f, k, F.size(before))), t["own"]).otherwise(not_triggered(t["rule"], f + count(before, UPSTREAM_FAILED)))
+        return F.when(~F.exists(before, lambda x: x.isNull()), decided).cast("int")
+
+    place = lambda x: F.array_position(F.transform("tasks", lambda t: t["id"]), x).cast("int")
+    before = lambda done, t: F.transform(t["sources"], lambda x: F.when(place(x) > 0, F.get(done, place(x) - 1)))
+    states = F.aggregate("tasks", F.array().cast("array<int>"), lambda done, t: F.concat(done, F.array(graph.let(before(done, t), lambda b: state(t, b)))))
+    found = runs.select("run_rowid", F.transform("tasks", lambda t: t["id"]).alias("task_idx"), states.alias("state"))
+    found = found.select("run_rowid", F.explode(F.arrays_zip("task_idx", "state")).alias("x"))
+    return found.select("run_rowid", "x.task_idx", "x.state").where("state is not null")
+
+
+def propagate_by_level(nodes: DataFrame, edges: DataFrame, intrinsic: DataFrame) -> DataFrame:
+    """``propagate`` for runs of any size.
+
+    Each round decides the tasks whose dependencies are all decided, with one join and one aggregation, and is stored; the
+    number of rounds is that of the longest path.
     """
     open_ = nodes.select("run_rowid", "task_idx", "trigger_rule").join(intrinsic.select("run_rowid", "task_idx", F.col("state").cast("int").alias("own")), ["run_rowid", "task_idx"])
     edges = stored(edges.select("run_rowid", "src", "dst"))  # read in every round

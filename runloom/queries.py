@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import cron, enums, text, values
-from .operators import changelog, graph, reads, schedule, state
+from .operators import catalog, changelog, graph, reads, schedule, state
 from .plans.control_plane import ControlPlane, oracle
 from .sources import container_logs, sensors
 from .streaming import feeds
@@ -18,9 +18,13 @@ NOW = "2024-01-20 12:30:00"
 _found: dict[str, tuple[Callable[[ControlPlane], DataFrame], str | None]] = {}
 
 
-def query(name: str, sql: str | None = None):
+def query(name: str, sql: str | None = None, also: str | None = None):
+    """Registers a query; ``also`` is a second name that it has had."""
+
     def add(f: Callable[[ControlPlane], DataFrame]):
-        _found[name] = (f, sql)
+        for n in (name, also):
+            if n:
+                _found[n] = (f, sql)
         return f
 
     return add
@@ -84,11 +88,15 @@ def _(c):
 
 # Changelogs
 
-@query("o11_upsert_run", "select run_rowid, dag_run_id, state from {dag_runs} union all select run_rowid + 10000000, concat(dag_run_id, 'x'), 1 from {dag_runs} where trigger_type = 1 and state <> 0 union all select run_rowid, dag_run_id, state from {dag_runs} where false")
+@query("o11_upsert_run", """
+    select run_rowid, case when trigger_type = 1 and state <> 0 then concat(dag_run_id, 'y') else dag_run_id end as dag_run_id, case when trigger_type = 1 and state <> 0 then 2 else state end as state from {dag_runs}
+    union all select run_rowid + 10000000, concat(dag_run_id, 'x'), 1 from {dag_runs} where trigger_type = 1 and state <> 0""")
 def _(c):
     table = c.dag_runs.select("run_rowid", "dag_run_id", "state")
-    new = c.dag_runs.where("trigger_type = 1 and state <> 0").selectExpr("run_rowid + 10000000 as run_rowid", "concat(dag_run_id, 'x') as dag_run_id", "1 as state")
-    return changelog.merge(table, new, ["run_rowid"])
+    some = c.dag_runs.where("trigger_type = 1 and state <> 0")
+    new = some.selectExpr("run_rowid + 10000000 as run_rowid", "concat(dag_run_id, 'x') as dag_run_id", "1 as state")
+    known = some.selectExpr("run_rowid", "concat(dag_run_id, 'y') as dag_run_id", "2 as state")
+    return changelog.merge(table, new.unionByName(known), ["run_rowid"])
 
 
 @query("o12_update_run_state", "select run_rowid, cast(case when trigger_type = 0 and state = 0 then 2 else state end as int) as state from {dag_runs}")
@@ -130,6 +138,15 @@ def _(c):
     return changelog.insert(table, c.dag_runs.where("state = 1").select("run_rowid", "dag_run_id"), ["run_rowid"])[0]
 
 
+@query("o16b_insert_all_or_nothing", "select 'refused' as batch, run_rowid from {dag_runs} where state = 1 and trigger_type = 0 union all select 'taken', run_rowid from {dag_runs} where state = 1")
+def _(c):
+    runs = c.dag_runs.where("state = 1").select("run_rowid", "trigger_type")
+    table = runs.where("trigger_type = 0").drop("trigger_type")
+    refused = changelog.insert_all(table, runs.drop("trigger_type"), ["run_rowid"])[0]
+    taken = changelog.insert_all(table, runs.where("trigger_type = 1").drop("trigger_type"), ["run_rowid"])[0]
+    return refused.withColumn("batch", F.lit("refused")).unionByName(taken.withColumn("batch", F.lit("taken")))
+
+
 @query("o17_upsert_dag", "select dag_id, case when cron = '' then 'renamed' else name end as name, case when cron = '' then 1 else 1 end as created_at from {dags}")
 def _(c):
     table = c.dags.selectExpr("dag_id", "name", "1 as created_at")
@@ -194,6 +211,13 @@ def _(c):
     return ids.select("dag_run_id", reads.dag_id_of("dag_run_id").alias("dag_id"))
 
 
+@query("o28b_run_rows", "select dag_run_id, regexp_extract(dag_run_id, '^(.*)_[^_]*$', 1) as dag_id, state, trigger_type, execution_date, finished_at from {dag_runs} where state = 2 union all select 'none_' || run_rowid, 'none', null, null, null, null from {dag_runs} where state = 2")
+def _(c):
+    asked = c.dag_runs.where("state = 2").select("dag_run_id")
+    asked = asked.unionByName(c.dag_runs.where("state = 2").selectExpr("concat('none_', run_rowid) as dag_run_id"))
+    return reads.run_rows(c.dag_runs, asked).select("dag_run_id", "dag_id", "state", "trigger_type", "execution_date", "finished_at")
+
+
 @query("o29_run_instances", "select task_idx, state, attempt, exit_code, run_rowid from {task_instances} where run_rowid in (select run_rowid from {dag_runs} where dag_id = 'dag_7')")
 def _(c):
     runs = reads.runs_of_dag(c.dag_runs, "dag_7").select("run_rowid")
@@ -262,17 +286,8 @@ def _(c):
 
 
 @query("o39b_cron_dedup", """
-    select d.dag_id, t.t as execution_date from {dags} d, (select distinct execution_date as t from {dag_runs} where state = 2 and trigger_type = 0 and mod(run_rowid, 100) = 0) t
-    where not exists (select 1 from {dag_runs} r where r.dag_id = d.dag_id and r.execution_date = t.t) and d.cron = '@daily' and d.max_concurrent_runs = 1""")
-def _(c):
-    days = c.dag_runs.where("state = 2 and trigger_type = 0 and mod(run_rowid, 100) = 0").select("execution_date").distinct()
-    chosen = c.dags.where("cron = '@daily' and max_concurrent_runs = 1").select("dag_id")
-    return reads.without_existing_runs(chosen.join(days), c.dag_runs)
-
-
-@query("o39e_cron_dedup_all", """
     with t as (select distinct dag_id, unnest(generate_series(execution_date, execution_date + interval '7' day, interval '1' day)) as execution_date from {dag_runs})
-    select t.dag_id, t.execution_date from t where not exists (select 1 from {dag_runs} r where r.dag_id = t.dag_id and r.execution_date = t.execution_date)""")
+    select t.dag_id, t.execution_date from t where not exists (select 1 from {dag_runs} r where r.dag_id = t.dag_id and r.execution_date = t.execution_date)""", also="o39e_cron_dedup_all")
 def _(c):
     # Ticks of every DAG: the day of each of its runs and the seven days after it.
     return reads.without_existing_runs(schedule.days_from(c.dag_runs.select("dag_id", "execution_date"), 7), c.dag_runs)
@@ -303,6 +318,7 @@ _COUNTS = """
 
 @query("o48_dependency_counts", _COUNTS)
 def _(c):
+    c.keep()
     return state.dependency_counts(c.edges, c.task_instances)
 
 
@@ -318,6 +334,7 @@ _RULE = """case trigger_rule when 'all_success' then s = t when 'all_failed' the
     select run_rowid, task_idx, trigger_rule, s as n_success, f as n_failed, k as n_skipped, t as n_total,
            case when t = 0 or ({_RULE}) and s + f + k = t then 'ready' when trigger_rule = 'all_success' and f + u > 0 then 'upstream_failed' else 'skipped' end as outcome from j""")
 def _(c):
+    c.keep()
     return state.trigger_outcomes(c.nodes, c.edges, c.task_instances)
 
 
@@ -327,6 +344,7 @@ for _rule in enums.TRIGGER_RULES:
         select n.run_rowid, n.task_idx, case when t is null then true else s + f + k = t and ({_RULE.replace("trigger_rule", f"'{_rule}'")}) end as runs
         from {{nodes}} n left join (select run_rowid, task_idx, n_success as s, n_failed as f, n_skipped as k, n_total as t from c) x on x.run_rowid = n.run_rowid and x.task_idx = n.task_idx""")
     def _(c, rule=_rule):
+        c.keep()
         counted = c.nodes.select("run_rowid", "task_idx").join(state.dependency_counts(c.edges, c.task_instances), ["run_rowid", "task_idx"], "left")
         return counted.select("run_rowid", "task_idx", state.triggers(F.lit(rule)).alias("runs"))
 
@@ -343,6 +361,7 @@ for _rule in enums.TRIGGER_RULES:
                       from r join w on w.run_rowid = r.run_rowid and w.task_idx = r.task_idx + 1) a) b)
     select run_rowid, task_idx, state from r""")
 def _(c):
+    c.keep()
     return state.propagate(c.nodes, c.edges, c.task_instances)
 
 
@@ -440,6 +459,11 @@ def _(c):
     return _errors(c)
 
 
+@query("o58b_definition_verdicts", f"select d.dag_id, count(x.error) as n_errors, case when count(x.error) = 0 then 'valid' else 'invalid' end as verdict from {{dags}} d left join ({_ERRORS}) x on x.dag_id = d.dag_id group by d.dag_id")
+def _(c):
+    return graph.definition_verdicts(c.dags, _errors(c))
+
+
 @query("o53_validation_summary", f"select count(distinct x.dag_id) as invalid, count(distinct d.dag_id) - count(distinct x.dag_id) as valid, count(distinct d.dag_id) as total from {{dags}} d left join ({_ERRORS}) x on x.dag_id = d.dag_id")
 def _(c):
     marked = c.dags.select("dag_id").join(_errors(c).select("dag_id", F.lit(1).alias("bad")).distinct(), "dag_id", "left")
@@ -469,12 +493,7 @@ def _(c):
     return reads.history(c.dag_runs)
 
 
-@query("o56b_logs_by_time", "select id, ts, row_number() over (order by ts, id) as place from {task_logs} where stream = 'stderr'")
-def _(c):
-    return reads.numbered(c.task_logs.where("stream = 'stderr'").select("id", "ts"), "ts", "id")
-
-
-@query("o56g_all_logs_by_time", "select id, ts, row_number() over (order by ts, id) as place from {task_logs}")
+@query("o56b_logs_by_time", "select id, ts, row_number() over (order by ts, id) as place from {task_logs}", also="o56g_all_logs_by_time")
 def _(c):
     return reads.numbered(c.task_logs.select("id", "ts"), "ts", "id")
 
@@ -507,41 +526,26 @@ def _(c):
 
 # Run states
 
-@query("o57_run_states", f"with i as ({_LIVE}) select run_rowid, count(*) as n, count(*) filter (where state = 3) as failed, case when count(*) filter (where state in (0, 1, 5)) > 0 then 'running' when count(*) filter (where state = 3) > 0 then 'failed' else 'success' end as run_state from i group by run_rowid")
-def _(c):
-    return state.run_states(c.sql(_LIVE))
-
-
-@query("o57b_runnable_dags", "select dag_id from {dags} where dag_id in (select dag_id from {dag_tasks})")
-def _(c):
-    return state.runnable_dags(c.dags, c.dag_tasks)
-
-
-@query("o57c_recover", f"with i as ({_LIVE}) select i.run_rowid, task_idx, cast(case when i.state = 1 then 0 else i.state end as int) as state, case when i.state = 1 then 'Recovered after crash' end as note from i join {{dag_runs}} r on r.run_rowid = i.run_rowid and r.state = 0")
-def _(c):
-    return state.recover(c.dag_runs, c.sql(_LIVE))
-
-
-@query("o57d_crash", f"with i as ({_LIVE}) select i.run_rowid, task_idx, cast(case when i.state = 1 then 3 else i.state end as int) as state, case when i.state = 1 then 'Scheduler crashed during execution' end as error_message from i join {{dag_runs}} r on r.run_rowid = i.run_rowid and r.state = 0")
-def _(c):
-    return state.crash(c.dag_runs, c.sql(_LIVE))
-
-
 #: The changed states of _LIVE, of all runs.
 _STATES = "select run_rowid, task_idx, case when mod(run_rowid + task_idx, 7) = 0 then 1 else state end as state from {task_instances}"
 
 
-@query("o57e_run_states_all", f"with i as ({_STATES}) select run_rowid, count(*) as n, count(*) filter (where state = 3) as failed, case when count(*) filter (where state in (0, 1, 5)) > 0 then 'running' when count(*) filter (where state = 3) > 0 then 'failed' else 'success' end as run_state from i group by run_rowid")
+@query("o57_run_states", f"with i as ({_STATES}) select run_rowid, count(*) as n, count(*) filter (where state = 3) as failed, case when count(*) filter (where state in (0, 1, 5)) > 0 then 'running' when count(*) filter (where state = 3) > 0 then 'failed' else 'success' end as run_state from i group by run_rowid", also="o57e_run_states_all")
 def _(c):
     return state.run_states(c.sql(_STATES))
 
 
-@query("o57f_recover_all", f"with i as ({_STATES}) select i.run_rowid, task_idx, cast(case when i.state = 1 then 0 else i.state end as int) as state, case when i.state = 1 then 'Recovered after crash' end as note from i join {{dag_runs}} r on r.run_rowid = i.run_rowid and r.state = 0")
+@query("o57b_runnable_dags", "select dag_id from {dags} where dag_id in (select dag_id from {dag_tasks})")
+def _(c):
+    return state.runnable_dags(c.dags, c.dag_tasks)
+
+
+@query("o57c_recover", f"with i as ({_STATES}) select i.run_rowid, task_idx, cast(case when i.state = 1 then 0 else i.state end as int) as state, case when i.state = 1 then 'Recovered after crash' end as note from i join {{dag_runs}} r on r.run_rowid = i.run_rowid and r.state = 0", also="o57f_recover_all")
 def _(c):
     return state.recover(c.dag_runs, c.sql(_STATES))
 
 
-@query("o57g_crash_all", f"with i as ({_STATES}) select i.run_rowid, task_idx, cast(case when i.state = 1 then 3 else i.state end as int) as state, case when i.state = 1 then 'Scheduler crashed during execution' end as error_message from i join {{dag_runs}} r on r.run_rowid = i.run_rowid and r.state = 0")
+@query("o57d_crash", f"with i as ({_STATES}) select i.run_rowid, task_idx, cast(case when i.state = 1 then 3 else i.state end as int) as state, case when i.state = 1 then 'Scheduler crashed during execution' end as error_message from i join {{dag_runs}} r on r.run_rowid = i.run_rowid and r.state = 0", also="o57g_crash_all")
 def _(c):
     return state.crash(c.dag_runs, c.sql(_STATES))
 
@@ -558,6 +562,14 @@ def _(c):
     return graph.refused_edges(c.nodes, proposed)
 
 
+@query("o59b_cycle_refused", """
+    select run_rowid, dst as src, src as dst, 'CycleDetected' as error from {edges} where dst - src = 2
+    union all select e.run_rowid, e.src, e.dst + 1, 'NotFound' from {edges} e join (select run_rowid, count(*) as n from {nodes} group by 1) m on m.run_rowid = e.run_rowid where e.dst - e.src = 2 and e.dst + 1 >= n""")
+def _(c):
+    far = c.edges.where("dst - src = 2")
+    return graph.refused_edges(c.nodes, far.selectExpr("run_rowid", "dst as src", "src as dst").unionByName(far.selectExpr("run_rowid", "src", "dst + 1 as dst")), existing=c.edges)
+
+
 @query("o60_cyclic_nodes", f"""
     with recursive l as ({_LINKS.replace("mod(p_size, 5) as k, ", "")}),
     r as (select src, dst from l union select r.src, l.dst from r join l on l.src = r.dst)
@@ -566,12 +578,26 @@ def _(c):
     return graph.cyclic_nodes(c.sql(_LINKS).withColumn("graph", F.lit(0)), "graph")
 
 
+#: Small graphs with nodes that lie between cycles but on none.
+_BETWEEN = """select p_partkey as k, 1 as src, 2 as dst from {part} union all select p_partkey, 2, 3 from {part} union all select p_partkey, 0, 1 from {part} where mod(p_partkey, 2) = 0
+    union all select p_partkey, 1, 0 from {part} where mod(p_partkey, 2) = 0 union all select p_partkey, 3, 4 from {part} where mod(p_partkey, 3) = 0
+    union all select p_partkey, 4, 3 from {part} where mod(p_partkey, 3) = 0 union all select p_partkey, 5, 5 from {part} where mod(p_partkey, 5) = 0"""
+
+
+@query("o60b_cyclic_nodes_of_many", f"""
+    with recursive l as ({_BETWEEN}), r as (select k, src, dst from l union select r.k, r.src, l.dst from r join l on l.k = r.k and l.src = r.dst)
+    select k, src as node from r where src = dst""")
+def _(c):
+    return graph.cyclic_nodes(c.sql(_BETWEEN), "k")
+
+
 @query("o61_topological_levels", """
     with recursive w as (select run_rowid, src, dst from {edges}),
     r as (select run_rowid, task_idx as node, 0 as layer from {nodes} where task_idx = 0 union select r.run_rowid, w.dst, r.layer + 1 from r join w on w.run_rowid = r.run_rowid and w.src = r.node),
     l as (select run_rowid, node as task_idx, max(layer) as layer from r group by all)
     select run_rowid, task_idx, cast(row_number() over (partition by run_rowid order by layer, task_idx) - 1 as int) as position from l""")
 def _(c):
+    c.keep()
     return graph.topological_order(c.nodes, c.edges)
 
 
@@ -580,6 +606,7 @@ def _(c):
     r as (select run_rowid, task_idx as node, 0 as layer from {nodes} where task_idx = 0 union select r.run_rowid, w.dst, r.layer + 1 from r join w on w.run_rowid = r.run_rowid and w.src = r.node)
     select run_rowid, node as task_idx, cast(max(layer) as int) as layer from r group by all""")
 def _(c):
+    c.keep()
     return graph.layers(c.nodes, c.edges)
 
 
@@ -599,19 +626,47 @@ def _(c):
 
 
 @query("o62e_reachable", """
-    with recursive w as (select run_rowid, src, dst from {edges} where mod(run_rowid, 3) = 0),
+    with recursive w as (select run_rowid, src, dst from {edges}),
     r as (select run_rowid, src, dst, 1 as d from w union select r.run_rowid, r.src, w.dst, r.d + 1 from r join w on w.run_rowid = r.run_rowid and w.src = r.dst where r.d < 3)
-    select distinct run_rowid, src, dst from r""")
+    select distinct run_rowid, src, dst from r""", also="o62f_reachable_all")
 def _(c):
-    return graph.reachable(c.edges.where("mod(run_rowid, 3) = 0"), 3)
+    return graph.reachable(c.edges, 3)
 
 
-@query("o62f_reachable_all", """
-    with recursive w as (select run_rowid, src, dst from {edges}),
-    r as (select run_rowid, src, dst, 1 as d from w union select r.run_rowid, r.src, w.dst, r.d + 1 from r join w on w.run_rowid = r.run_rowid and w.src = r.dst where r.d < 3)
-    select distinct run_rowid, src, dst from r""")
+# The catalog of definitions: a chain of tasks in each DAG
+
+_CHAIN = "select dag_id, task_id, concat('task_', cast(task_idx - 1 as varchar(10))) as dep from {dag_tasks} where task_idx > 0"
+_HAS = "select d.dag_id, max(case when t.task_id = 'task_0' then 1 else 0 end) as has0, max(case when t.task_id = 'task_1' then 1 else 0 end) as has1 from {dags} d left join {dag_tasks} t on t.dag_id = d.dag_id group by d.dag_id"
+
+
+@query("o62g_catalog_add_tasks", f"""
+    with h as ({_HAS})
+    select dag_id, 'task_0' as task_id, case when has0 = 1 then 'AlreadyExists' end as error from h union all select dag_id, 'extra', case when has0 = 0 then 'NotFound' end from h
+    union all select dag_id, 'loop', 'InvalidArgument' from h union all select concat('no_', dag_id), 'task_0', 'NotFound' from h""")
 def _(c):
-    return graph.reachable(c.edges, 3)
+    ids = c.dags.select("dag_id")
+    row = lambda task, dag="dag_id": ids.selectExpr(f"{dag} as dag_id", f"'{task}' as task_id")
+    new = row("task_0").unionByName(row("extra")).unionByName(row("loop")).unionByName(row("task_0", "concat('no_', dag_id)"))
+    deps = row("extra").withColumn("dep", F.lit("task_0")).unionByName(row("loop").withColumn("dep", F.lit("loop")))
+    return catalog.add_tasks(c.dags, c.dag_tasks, c.sql(_CHAIN), new, deps)
+
+
+@query("o62h_catalog_update_delete", f"""
+    with h as ({_HAS})
+    select 'update' as op, dag_id, 'task_0' as task_id, case when has0 = 0 then 'NotFound' when has1 = 1 then 'InvalidArgument' end as error from h
+    union all select 'delete', dag_id, 'task_0', case when has1 = 1 then 'InvalidArgument' when has0 = 0 then 'NotFound' end from h
+    union all select 'delete', concat('no_', dag_id), 'task_0', 'NotFound' from h""")
+def _(c):
+    first = c.dags.selectExpr("dag_id", "'task_0' as task_id")
+    changed = catalog.update_tasks(c.dag_tasks, c.sql(_CHAIN), first, first.withColumn("dep", F.lit("task_1")))
+    gone = catalog.delete_tasks(c.dags, c.dag_tasks, c.sql(_CHAIN), first.unionByName(c.dags.selectExpr("concat('no_', dag_id) as dag_id", "'task_0' as task_id")))
+    return changed.withColumn("op", F.lit("update")).unionByName(gone.withColumn("op", F.lit("delete")))
+
+
+@query("o62i_catalog_dags", "select dag_id, 'create' as op, case when cron <> '' then 'AlreadyExists' end as error from {dags} union all select dag_id, 'delete', case when cron = '' then 'NotFound' end from {dags}")
+def _(c):
+    there = c.dags.where("cron <> ''")
+    return catalog.create_dags(there, c.dags).withColumn("op", F.lit("create")).unionByName(catalog.delete_dags(there, c.dags).withColumn("op", F.lit("delete")))
 
 
 # Schedules: '@daily' fires at 0:00, '0 2 * * *' at 2:00

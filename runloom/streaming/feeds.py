@@ -48,19 +48,23 @@ PROGRESS = "dag_run_id string, n_done bigint, n_failed bigint, run_state string"
 def run_progress(events: DataFrame) -> DataFrame:
     """State of each run from a stream of ended tasks (dag_run_id, task_id, state, n_tasks).
 
-    Kept for each run: how many tasks ended and how many failed. n_tasks is the size of the run.
+    Kept for each run: the ids of the tasks that ended, and of those that failed. A task that is delivered again counts
+    once, with its last state. n_tasks is the size of the run.
     """
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        done, failed = state.get if state.exists else (0, 0)
+        done, failed = (set(x) for x in state.get) if state.exists else (set(), set())
         size = 0
         for b in batches:
-            done, failed, size = done + len(b), failed + int((b.state == 3).sum()), int(b.n_tasks.max())
-        state.update((done, failed))
-        name = "running" if done < size else "failed" if failed else "success"
-        yield pd.DataFrame([(key[0], done, failed, name)], columns=["dag_run_id", "n_done", "n_failed", "run_state"])
-
-    return events.groupBy("dag_run_id").applyInPandasWithState(update, PROGRESS, "done bigint, failed bigint", "update", GroupStateTimeout.NoTimeout)
+            for task, code in zip(b.task_id, b.state, strict=True):
+                done.add(task)
+                (failed.add if code == 3 else failed.discard)(task)
+            size = int(b.n_tasks.max())
+        state.update((sorted(done), sorted(failed)))
+        name = "running" if len(done) < size else "failed" if failed else "success"
+        yield pd.DataFrame([(key[0], len(done), len(failed), name)], columns=["dag_run_id", "n_done", "n_failed", "run_state"])
+
+    return events.groupBy("dag_run_id").applyInPandasWithState(update, PROGRESS, "done array<string>, failed array<string>", "update", GroupStateTimeout.NoTimeout)
 
 
 def watch(spark: SparkSession, folder: str, changed: Callable[[DataFrame], None], checkpoint: str, glob: str = "*.{yaml,yml}") -> StreamingQuery:

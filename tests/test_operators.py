@@ -1,13 +1,15 @@
 """Literal cases of single operators."""
 
 import datetime as dt
+import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from runloom import queries
 from runloom.functions import cron, enums, text, values
-from runloom.operators import changelog, graph, reads, schedule, state
+from runloom.operators import catalog, changelog, graph, reads, schedule, state
 
 CODES = {"s": 2, "f": 3, "k": 6, "u": 4}
 # What each rule gives for dependencies that all succeed, all fail, are all skipped, and mixtures.
@@ -146,3 +148,116 @@ def test_all_log_lines_are_numbered(spark, data):
     assert found["o56g_all_logs_by_time"](spark, data).agg(F.max("place")).first()[0] == n
     plan = found["o56b_logs_by_time"](spark, data)._jdf.queryExecution().optimizedPlan().toString()
     assert "windowspecdefinition(ts" not in plan  # no order over all rows without a partition
+
+
+def test_layers_of_small_and_large_graphs(spark, monkeypatch):
+    """The same layers whether a graph is one row or peeled; nodes on or behind cycles, or behind unknown ones, are left out."""
+    rng = random.Random(3)
+    edges = [(g, a, b) for g in range(12) for a in range(14) for b in range(a + 1, 14) if rng.random() < 0.12]
+    edges += [(50, 0, 1), (50, 1, 2), (50, 2, 1), (50, 2, 3), (50, 4, 5), (51, 77, 1), (51, 1, 2), (52, 3, 3)]
+    nodes = [(g, x) for g in range(12) for x in range(14)] + [(50, x) for x in range(6)] + [(51, 1), (51, 2), (51, 9), (52, 3)]
+    e, n = spark.createDataFrame(edges, "run_rowid long, src int, dst int"), spark.createDataFrame(nodes, "run_rowid long, task_idx int")
+    want = {}
+    for g, x in sorted(nodes):
+        if g < 12:
+            want[g, x] = max((1 + want[g, a] for h, a, b in edges if (h, b) == (g, x)), default=0)
+    want |= {(50, 0): 0, (50, 4): 0, (50, 5): 1, (51, 9): 0}
+    for size in (64, 20, 0):
+        monkeypatch.setattr(graph, "SMALL_GRAPH", size)
+        assert {(r.run_rowid, r.task_idx): r.layer for r in graph.layers(n, e).collect()} == want
+
+
+def test_propagation_of_small_and_large_runs(spark, monkeypatch):
+    rng = random.Random(4)
+    edges = [(g, a, b) for g in range(30) for a in range(8) for b in range(a + 1, 8) if rng.random() < 0.3]
+    nodes = [(g, x, rng.choice([*enums.TRIGGER_RULES, "whatever", None])) for g in range(30) for x in range(8)]
+    states = [(g, x, rng.choice([2, 3, 6])) for g in range(30) for x in range(8) if (g, x) != (5, 0)]
+    own, rule, want = {(g, x): s for g, x, s in states}, {(g, x): r for g, x, r in nodes}, {}
+    for g, x, _ in nodes:
+        before = [want.get((g, a)) for h, a, b in edges if (h, b) == (g, x)]
+        if None in before or (g, x) not in own:
+            continue
+        mix = "".join({2: "s", 3: "f", 6: "k", 4: "u"}[s] for s in before)
+        known = rule[g, x] if rule[g, x] in enums.TRIGGER_RULES else "all_success"
+        want[g, x] = own[g, x] if not mix else {"ready": own[g, x], "skipped": 6, "upstream_failed": 4}[expected(known, mix)]
+    frames = [spark.createDataFrame(nodes, "run_rowid long, task_idx int, trigger_rule string"), spark.createDataFrame(edges, "run_rowid long, src int, dst int"), spark.createDataFrame(states, "run_rowid long, task_idx int, state int")]
+    for size in (64, 25, 0):
+        monkeypatch.setattr(graph, "SMALL_GRAPH", size)
+        assert {(r.run_rowid, r.task_idx): r.state for r in state.propagate(*frames).collect()} == want
+
+
+@pytest.mark.parametrize("size", [64, 0])
+def test_cycles(spark, monkeypatch, size):
+    """Nodes between cycles are on none; parallel, nested and touching cycles."""
+    monkeypatch.setattr(graph, "SMALL_GRAPH", size)
+    rng = random.Random(5)
+    edges = [(1, 0, 1), (1, 1, 0), (1, 1, 2), (1, 2, 3), (1, 3, 4), (1, 4, 3), (2, 7, 7), (2, 7, 8), (3, 0, 1), (4, 0, 1), (4, 1, 2), (4, 2, 0), (4, 1, 0), (4, 2, 5), (4, 5, 6), (4, 6, 5)]
+    edges += [(g, rng.randrange(9), rng.randrange(9)) for g in range(10, 16) for _ in range(11)]
+    reach = {(g, a, b) for g, a, b in edges}
+    while new := {(g, a, d) for g, a, b in reach for h, c, d in edges if (g, b) == (h, c)} - reach:
+        reach |= new
+    got = [(r.run_rowid, r.node) for r in graph.cyclic_nodes(spark.createDataFrame(edges, "run_rowid long, src int, dst int")).collect()]
+    assert len(got) == len(set(got)) and set(got) == {(g, a) for g, a, b in reach if a == b}
+
+
+def test_edges_that_close_cycles(spark):
+    nodes = spark.createDataFrame([(1, x) for x in range(5)], "run_rowid long, task_idx int")
+    existing = spark.createDataFrame([(1, 0, 1), (1, 1, 2), (1, 2, 3)], "run_rowid long, src int, dst int")
+    new = spark.createDataFrame([(1, 3, 0), (1, 3, 1), (1, 0, 3), (1, 4, 0), (1, 2, 2), (1, 0, 9)], "run_rowid long, src int, dst int")
+    out = {(r.src, r.dst): r.error for r in graph.refused_edges(nodes, new, existing=existing).collect()}
+    assert out == {(3, 0): "CycleDetected", (3, 1): "CycleDetected", (2, 2): "InvalidArgument", (0, 9): "NotFound"}
+
+
+def test_repeated_changes(spark):
+    """A key has one row after a merge or an update, whatever the changes repeat."""
+    table = spark.createDataFrame([("a", 1), ("b", 2)], "k string, v int")
+    changes = spark.createDataFrame([("a", 5, 1), ("a", 3, 2), ("z", 7, 1), ("z", 8, 0)], "k string, v int, version int")
+    assert sorted(map(tuple, changelog.merge(table, changes.drop("version"), ["k"]).collect())) == [("a", 5), ("b", 2), ("z", 8)]
+    assert sorted(map(tuple, changelog.merge(table, changes, ["k"], version="version").collect())) == [("a", 3), ("b", 2), ("z", 7)]
+    assert sorted(map(tuple, changelog.update(table, changes, ["k"], version="version")[0].collect())) == [("a", 3), ("b", 2)]
+
+
+def test_batches_are_inserted_whole_or_not(spark):
+    table, rows = spark.createDataFrame([(1, "x")], "k int, v string"), spark.createDataFrame([(2, "y"), (3, "z")], "k int, v string")
+    whole, refused = changelog.insert_all(table, rows, ["k"])
+    assert whole.count() == 3 and refused.count() == 0
+    for bad in (rows.unionByName(table), rows.unionByName(rows.limit(1)), rows.limit(0)):
+        whole, refused = changelog.insert_all(table, bad, ["k"])
+        assert [tuple(r) for r in whole.collect()] == [(1, "x")]
+    assert changelog.cleared(table).count() == 0
+
+
+def test_catalog(spark):
+    dags = spark.createDataFrame([("d",)], "dag_id string")
+    tasks = spark.createDataFrame([("d", "a", "x"), ("d", "b", "y")], "dag_id string, task_id string, command string")
+    deps = spark.createDataFrame([("d", "b", "a")], "dag_id string, task_id string, dep string")
+    new = spark.createDataFrame([("d", "a"), ("d", "c"), ("d", "e"), ("d", "f"), ("n", "a")], "dag_id string, task_id string")
+    new_deps = spark.createDataFrame([("d", "c", "b"), ("d", "e", "zz"), ("d", "f", "f")], deps.schema)
+    verdicts = catalog.add_tasks(dags, tasks, deps, new, new_deps)
+    assert {(r.dag_id, r.task_id): r.error for r in verdicts.collect()} == {("d", "a"): "AlreadyExists", ("d", "c"): None, ("d", "e"): "NotFound", ("d", "f"): "InvalidArgument", ("n", "a"): "NotFound"}
+    assert [r.task_id for r in catalog.accepted(new, verdicts).collect()] == ["c"]
+    changed = catalog.update_tasks(tasks, deps, new.where("task_id in ('a', 'c')"), spark.createDataFrame([("d", "a", "b")], deps.schema))
+    assert {(r.dag_id, r.task_id): r.error for r in changed.collect()} == {("d", "a"): "InvalidArgument", ("d", "c"): "NotFound", ("n", "a"): "NotFound"}
+    gone = catalog.delete_tasks(dags, tasks, deps, spark.createDataFrame([("d", "a"), ("d", "b"), ("d", "q"), ("n", "a")], new.schema))
+    assert {(r.dag_id, r.task_id): r.error for r in gone.collect()} == {("d", "a"): "InvalidArgument", ("d", "b"): None, ("d", "q"): "NotFound", ("n", "a"): "NotFound"}
+    assert {r.task_id: (r.command, r.error) for r in catalog.get_tasks(tasks, new.where("dag_id = 'd'")).collect()}["a"] == ("x", None)
+
+
+def test_more_templates(spark):
+    """White space of all kinds is trimmed, unset dates and unknown names stay, intervals end with Z."""
+    cases = [("{{\tds\n}}", "2024-01-02"), ("{{execution_date}}", "{{execution_date}}"), ("{{data_interval_start}}", "{{data_interval_start}}"), ("{{data_interval_end}}", "2024-01-02T03:04:05Z")]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "i int, t string").withColumn("at", F.lit("2024-01-02 03:04:05").cast("timestamp"))
+    out = df.select("i", text.resolve_template("t", text.date_values("at", end="at")).alias("x"))
+    assert {r.i: r.x for r in out.collect()} == {i: w for i, (_, w) in enumerate(cases)}
+
+
+def test_bytes_and_json(spark):
+    df = spark.createDataFrame([("äöü", [("a\"b\\", ""), ("c", "l")])], "t string, d array<struct<task:string,label:string>>")
+    row = df.select(text.truncated("t", 4).alias("four"), text.truncated("t", 3).alias("three"), text.truncated("t").alias("all"), values.dependency_json("d").alias("json")).first()
+    assert (row.four, row.three, row.all) == ("äö", "ä�", "äöü")
+    assert json.loads(row.json) == ["a\"b\\", {"task": "c", "label": "l"}]
+
+
+@pytest.mark.parametrize("expression", ["@midnight", "+5 * * * *", "1_0 * * * *", "٥ * * * *", "*/+2 * * * *"])
+def test_cron_takes_plain_digits(expression):
+    assert cron.parse(expression) is None

@@ -1,4 +1,5 @@
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -72,3 +73,18 @@ def test_run_progress(spark, tmp_path):
 def test_messages_of_one_run(spark):
     logs = spark.createDataFrame([(1, "r1", "t", dt.datetime(2024, 1, 1), "INFO", "stdout", 'say "x"'), (2, "r2", "t", None, "INFO", "stdout", "")], "id long, dag_run_id string, task_id string, ts timestamp, level string, stream string, message string")
     assert [tuple(r) for r in feeds.messages(logs, "r1").collect()] == [(1, r'{"type":"log","dag_run_id":"r1","task_id":"t","timestamp":"2024-01-01T00:00:00Z","level":"INFO","stream":"stdout","message":"say \"x\""}')]
+
+
+def test_many_frames(spark):
+    """Logs of no, one and many frames, unknown streams, empty payloads and bytes that are no text."""
+    rng = random.Random(1)
+    logs, want = [], []
+    for k in range(40):
+        raw = b""
+        for place in range(rng.choice([0, 1, 2, 30])):
+            stream, payload = rng.choice([0, 1, 2, 7]), rng.choice([b"", b"text", "ü".encode(), b"\xff\xfe", b"x" * 300])
+            raw += bytes([stream, 0, 0, 0]) + len(payload).to_bytes(4, "big") + payload
+            want.append((k, place, container_logs.STREAMS.get(stream, "stdout"), payload.decode(errors="replace")))
+        logs.append((k, bytearray(raw + rng.choice([b"", b"\x01\0\0", b"\x01\0\0\0\0\0\0\x09short"]))))
+    df = spark.createDataFrame([*logs, (99, None)], "id long, raw binary").repartition(3)
+    assert sorted(map(tuple, container_logs.decoded(df, "id").collect())) == sorted(want)

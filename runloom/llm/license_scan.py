@@ -1,8 +1,8 @@
 """License scans with a positional rare-token index.
 
-The index posts all words of the license templates with their positions; a word's inverse document frequency is that of the
-scanned corpus itself, counted over all its texts. Of each file the licence words of the highest IDF are looked up, template
-by template; a posting votes for a template at the relative position (place in the text minus place in the template). Where
+The index posts the rarer words of the license templates with their positions; a word's inverse document frequency is that of
+the scanned corpus itself, counted over all its texts. Of each file the licence words of the highest IDF are looked up,
+template by template; a posting votes for a template at the relative position (place in the text minus place in the template). Where
 at least two different words (or the only one) agree on one, the template is compared there, and counts if its mandatory key
 phrases stand at their places.
 """
@@ -23,6 +23,8 @@ from .licenses import TEMPLATES, Template
 from .shared import Sent
 from .words import PLAIN, Words, chunks
 
+#: Words of a template that are posted at least (or all, if it has fewer).
+LEAST_POSTED = 4
 #: Label and phrase: a place where the phrase's words stand one after the other has the label.
 PHRASES = (("gpl", "gnu general public license"), ("apache", "apache license"), ("cc-by", "cc by"), ("mit", "mit license"))
 
@@ -34,15 +36,26 @@ def _hashes(text: str) -> np.ndarray:
 
 
 class Index:
-    """Postings (word, template, place) of all words of the templates, sorted by word, and each word's inverse document frequency."""
+    """Postings (word, template, place) of the rarer words of the templates, sorted by word, and each word's inverse document frequency.
 
-    def __init__(self, templates: list[Template], frequency: dict[int, int], documents: int, rare: int) -> None:
+    Of a template's distinct words the rarer half is posted, ``posted`` at most and LEAST_POSTED at least.
+    """
+
+    def __init__(self, templates: list[Template], frequency: dict[int, int], documents: int, rare: int, posted: int) -> None:
         self.rare, self.labels = rare, [t.label for t in templates]
         self.words = [_hashes(t.text) for t in templates]
-        self.known, number = np.unique(np.concatenate([np.zeros(0, np.uint64), *self.words]), return_inverse=True)
-        self.idf = np.array([math.log((1 + documents) / (1 + frequency.get(w, 0))) for w in self.known.view(np.int64).tolist()])
-        template = np.repeat(np.arange(len(templates)), [len(w) for w in self.words])
-        place = np.concatenate([np.zeros(0, np.int64), *(np.arange(len(w)) for w in self.words)])
+        idf = lambda w: math.log((1 + documents) / (1 + frequency.get(w, 0)))
+        entries, self.need = [], []
+        for t, words in enumerate(self.words):
+            listed = words.view(np.int64).tolist()
+            first = {w: listed.index(w) for w in set(listed)}
+            best = sorted(first, key=lambda w: (-idf(w), first[w]))[: max(LEAST_POSTED, min(posted, (len(first) + 1) // 2))]
+            entries += [(w, t, p) for p, w in enumerate(listed) if w in set(best)]
+            self.need.append(min(2, len(best)))
+        self.need = np.array(self.need)
+        self.known, number = np.unique(np.array([w for w, _, _ in entries], np.int64).view(np.uint64), return_inverse=True)
+        self.idf = np.array([idf(w) for w in self.known.view(np.int64).tolist()])
+        template, place = (np.array([e[i] for e in entries], np.int64) for i in (1, 2))
         order = np.argsort(number, kind="stable")
         self.template, self.place, self.begin = template[order], place[order], np.searchsorted(number[order], np.arange(len(self.known) + 1))
         # Each word's templates once, with its first place there, which breaks ties.
@@ -50,7 +63,6 @@ class Index:
         pair, first = np.unique(pair, return_index=True)
         self.own_template, self.own_place = pair % (len(templates) + 1), place[first]
         self.own_begin = np.searchsorted(pair // (len(templates) + 1), np.arange(len(self.known) + 1))
-        self.need = np.array([min(2, len(np.unique(w))) for w in self.words])
         self.keys = [[(int(np.flatnonzero(phrase_at(w, p))[0]), p) for p in map(_hashes, t.keys)] for t, w in zip(templates, self.words, strict=True)]
 
     def chosen(self, row: np.ndarray, word: np.ndarray) -> np.ndarray:
@@ -92,9 +104,13 @@ class Index:
         fits = chosen[np.minimum(np.searchsorted(chosen, code), len(chosen) - 1)] == code
         of, each = of[fits], each[fits]
         template, start = self.template[each], at[of] - self.place[each]
-        votes = np.unique(np.stack([row[of], template, start, word[of]]), axis=1)
-        place, count = np.unique(votes[:3], axis=1, return_counts=True)
-        return tuple(place[:, count >= self.need[place[1]]])
+        pad = max(map(len, self.words))
+        span = len(words.hash) + 2 * pad
+        vote = np.unique((((row[of] * span + start + pad) * len(self.labels) + template) * len(self.known)) + word[of])
+        place, count = np.unique(vote // len(self.known), return_counts=True)
+        place = place[count >= self.need[place % len(self.labels)]]
+        template, place = place % len(self.labels), place // len(self.labels)
+        return place // span, template, place % span - pad
 
     def matches(self, words: Words) -> Iterator[tuple[int, str, int, int, float]]:
         """(row, label, place in the text, words of the template, share of them that agree), by row."""
@@ -201,11 +217,11 @@ def document_frequencies(docs: DataFrame, known: np.ndarray) -> tuple[int, dict[
     return counts.pop(-1, 0), {int(known[w].view(np.int64)): n for w, n in counts.items()}
 
 
-def license_scan(docs: DataFrame, templates: tuple[Template, ...] | DataFrame = TEMPLATES, phrases: tuple[tuple[str, str], ...] = PHRASES, rare: int = 8) -> DataFrame:
+def license_scan(docs: DataFrame, templates: tuple[Template, ...] | DataFrame = TEMPLATES, phrases: tuple[tuple[str, str], ...] = PHRASES, rare: int = 8, posted: int = 24) -> DataFrame:
     """Adds what license words each text has, for texts of any length; columns of the added names are replaced.
 
-    ``templates`` is a list, or a table (label, text, keys) small enough to be broadcast; ``rare`` is how many words of each
-    template are looked up in a file. Document frequencies are those of docs, which is read once for them.
+    ``templates`` is a list, or a table (label, text, keys) small enough to be broadcast; of each template the rarer half
+    of its words, ``posted`` at most, is in the index, and of these the ``rare`` rarest that a file has are looked up in it. Document frequencies are those of docs, which is read once for them.
 
     Added: n_words; n_base (places of phrases), first_word and last_word (their smallest and largest start, null if none),
     base_labels (sorted); matches (templates whose key phrases stand at their places: label, place of the template's first word,
@@ -220,5 +236,5 @@ def license_scan(docs: DataFrame, templates: tuple[Template, ...] | DataFrame =
         templates = tuple(Template(r.label, r.text, tuple(r.keys)) for r in templates.select("label", "text", "keys").orderBy("label", "text").collect())
     known = np.unique(np.concatenate([np.zeros(0, np.uint64), *(_hashes(t.text) for t in templates)]))
     documents, frequency = document_frequencies(docs, known) if len(known) else (0, {})
-    index = Sent(docs.sparkSession, Index(list(templates), frequency, documents, rare))
+    index = Sent(docs.sparkSession, Index(list(templates), frequency, documents, rare, posted))
     return docs.mapInArrow(_task(index, [(k, _hashes(p)) for k, p in phrases], to_arrow_schema(schema)), schema)

@@ -64,7 +64,7 @@ def katz(rows, k=5):
     return out, p, uni
 
 
-def licenses(texts, templates, rare):
+def licenses(texts, templates, rare, posted=24):
     """For each text the sorted (label, place, words, share) of the templates found in it."""
     words = [plain(t) for t in texts]
     often = Counter(w for x in words for w in set(x))
@@ -75,7 +75,8 @@ def licenses(texts, templates, rare):
         found = []
         for t in templates:
             own, keys = plain(t.text), [plain(k) for k in t.keys]
-            need, there = min(2, len(set(own))), sorted(set(own) & set(x), key=lambda w: (-idf(w), own.index(w)))
+            index = sorted(set(own), key=lambda w: (-idf(w), own.index(w)))[: max(4, min(posted, (len(set(own)) + 1) // 2))]
+            need, there = min(2, len(index)), [w for w in index if w in x]
             if len(there) < need:
                 continue
             votes = {}
@@ -175,3 +176,48 @@ def nearest_centroid(training, asked, clusters, dims, rounds=12):
         best = max(centroids, key=lambda c: dot(v, c[1]))
         out.append((best[0], dot(v, best[1])))
     return out
+
+
+def katz_of_order(train, texts, order, k=5):
+    """log10 probability of each text, and P(w | context), by recursion from ``order - 1`` words of context."""
+    padded = lambda t: ["<s>"] * (order - 1) + [*spaced(t), None]
+    counts = [Counter() for _ in range(order + 1)]
+    for t in map(padded, train):
+        for i in range(order - 1, len(t)):
+            for n in range(1, order + 1):
+                counts[n][tuple(t[i - n + 1 : i]), t[i]] += 1
+    total = sum(counts[1].values())
+    d = [None]
+    for n in range(1, order + 1):
+        m, own = Counter(counts[n].values()), {r: max(total, 1) / (max(total, 1) + 1) for r in range(1, k + 2)}
+        common = (k + 1) * m[k + 1] / m[1] if m[1] else 1
+        for r in range(1, k + 1):
+            if m[r] and 0 < common < 1:
+                x = ((r + 1) * m[r + 1] / (r * m[r]) - common) / (1 - common)
+                if 0 < x < own[r]:
+                    own[r] = x
+        d.append(own)
+    after = Counter()
+    words = {}
+    for n in range(2, order + 1):
+        for (c, w), r in counts[n].items():
+            after[c] += r
+            words.setdefault(c, []).append(w)
+    after[()] = total
+    kept = lambda n, r: d[n][min(r, k + 1)] * r
+    unknown = 1 - sum(kept(1, r) for r in counts[1].values()) / total if total else 1.0
+
+    def p(w, c):
+        n = len(c) + 1
+        r = counts[n][c, w]
+        if r:
+            return kept(n, r) / after[c]
+        if n == 1:
+            return unknown
+        if not after[c]:
+            return p(w, c[1:])
+        alpha = (1 - sum(kept(n, counts[n][c, x]) for x in words[c]) / after[c]) / (1 - sum(p(x, c[1:]) for x in words[c]))
+        return alpha * p(w, c[1:])
+
+    scores = [sum(math.log10(p(t[i], tuple(t[i - order + 1 : i]))) for i in range(order - 1, len(t))) for t in map(padded, texts)]
+    return scores, p, [*{w for _, w in counts[1]}, "never seen"]

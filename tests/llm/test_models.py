@@ -181,9 +181,9 @@ def test_pipeline(spark, data):
     import corpus_pipeline as cp
     from test_repeats import brute_hits, components
 
-    docs = spark.read.parquet(f"{data}/documents.parquet").where("length(text) < 4000")
-    docs = cp.stored(cp.identified(spark, docs, data))
-    assert docs.columns == cp.COLUMNS and docs.count() >= 0.95 * spark.read.parquet(f"{data}/documents.parquet").where("length(text) < 4000").count()
+    docs = cp.stored(cp.identified(spark, spark.read.parquet(f"{data}/documents.parquet"), data))
+    told = op9_language_id(spark, data).where("not rejected")
+    assert docs.columns == cp.COLUMNS and sorted(r.doc_id for r in docs.select("doc_id").collect()) == sorted(r.doc_id for r in told.select("doc_id").collect())
     rows = sorted(docs.collect())
     seen, texts = set(), {}
     for r in rows:  # ids are in order, so what was seen is earlier
@@ -205,6 +205,6 @@ def test_pipeline(spark, data):
     clean = {i for i in kept if not brute_hits(texts[i], items, 10)[1]}
     assert {r.doc_id for r in docs.collect()} == clean
     mixed = {r.doc_id: r for r in cp.mixed(spark, docs, data).collect()}
-    assert set(mixed) == clean and all(mixed[i].size == len(spaced(texts[i])) for i in clean)
+    assert set(mixed) == clean and all(mixed[i].size == len(spaced(texts[i])) and mixed[i].text == texts[i] for i in clean)
 
 

@@ -10,10 +10,10 @@ import time
 
 import numpy as np
 import pytest
-from brute import licenses, nearest_centroid, plain, tree, url_features
+from brute import katz, katz_of_order, licenses, nearest_centroid, plain, tree, url_features
 from pyspark.sql import functions as F
 
-from runloom.llm import chat_format, decontamination, language_id, license_scan, licenses as templates, neighbours, url_filter
+from runloom.llm import chat_format, decontamination, katz_tables, language_id, license_scan, licenses as templates, neighbours, url_filter
 from runloom.llm.line_dedup import line_dedup
 from runloom.llm.query_other import RULES
 
@@ -204,3 +204,27 @@ print("done", len(names))
     env = {k: v for k, v in os.environ.items() if k not in ("PYTHONPATH", "PYSPARK_SUBMIT_ARGS")}
     done = subprocess.run([sys.executable, "-c", code], cwd=tempfile.mkdtemp(prefix="spark-test-"), env=env, capture_output=True, text=True, timeout=900)
     assert "done 12" in done.stdout, done.stderr[-3000:]
+
+
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
+def test_stored_models_of_any_order(spark, order):
+    """A model that is kept scores other texts as the recursion does; probabilities after every context sum to 1."""
+    rng = random.Random(order)
+    some = lambda: " ".join(f"W{min(30, int(rng.expovariate(0.15)))}" for _ in range(rng.randrange(40)))
+    train, asked = [some() for _ in range(120)] + [None, "", "a\x0bb"], [some() for _ in range(40)] + [None, "", "never seen", "w1 w2 w1 w2 " * 2000]
+    schema = "doc_id long, text string"
+    model = katz_tables.fit(spark.createDataFrame(list(enumerate(train)), schema), order)
+    want, p, words = katz_of_order(train, asked, order)
+    got = {r.doc_id: r for r in model.score(spark.createDataFrame(list(enumerate(asked)), schema)).collect()}
+    assert [got[i].score for i in range(len(asked))] == pytest.approx(want, abs=1e-6)
+    for context in [("<s>",) * (order - 1), ("w1", "w2", "w0")[: order - 1], ("nowhere", "w1", "w3")[: order - 1]]:
+        assert sum(p(w, context) for w in words) == pytest.approx(1)
+    if order == 2:
+        again, _, _ = katz([(i, t, False) for i, t in enumerate(train)])
+        assert want[0] == pytest.approx(katz([(i, t, i >= len(train)) for i, t in enumerate([*train, asked[0]])])[0][len(train)][4])
+        assert len(again) == len(train)
+
+
+def test_stored_model_of_no_texts(spark):
+    model = katz_tables.fit(spark.createDataFrame([], "text string"), 3)
+    assert [tuple(r) for r in model.score(spark.createDataFrame([(1, "a b"), (1, None)], "doc_id long, text string")).orderBy("n_tokens").collect()] == [(1, 1, 0.0), (1, 3, 0.0)]

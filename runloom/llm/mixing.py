@@ -5,7 +5,8 @@ proportion to the weights. A source whose target is e times its size and a rest
 epoch the documents in key order until their sizes sum to the rest.
 
 The prefix sums are taken in two steps: sizes are summed by source and range of keys, these sums are accumulated, and only
-the one range in which a source reaches its rest is sorted document by document. No task gathers a source.
+the one range in which a source reaches its rest is sorted document by document. No task gathers a source; one has the sums of
+a source's ranges, some thousandths of its rows. All other documents only meet one row for their source.
 """
 
 from __future__ import annotations
@@ -70,12 +71,16 @@ def mix_sources(docs: DataFrame, cycle: tuple[float, ...] = (3.0, 1.0, 2.0), sha
     rising = Window.partitionBy("source").orderBy("_range").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ends = sums.withColumn("_end", F.sum("sum").over(rising)).withColumn("_begin", F.col("_end") - F.col("sum"))
     plan = plan.select(F.col("source").alias("_s"), "source_size", "target", "_whole", "_rest")
-    ends = stored(ends.join(plan, F.col("source").eqNullSafe(F.col("_s"))).select("_s", F.col("_range").alias("_r"), "_begin", "_end", "source_size", "target", "_whole", "_rest"))
-    placed = docs.join(ends, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_range") == F.col("_r")))
-    edge = (F.col("_begin") < F.col("_rest")) & (F.col("_rest") < F.col("_end"))
-    sure = placed.where(~edge).withColumn("_more", (F.col("_end") <= F.col("_rest")).cast("int"))
+    # For each source the last range that is taken whole, and the range in which the rest ends.
+    within = F.when((F.col("_begin") < F.col("_rest")) & (F.col("_rest") < F.col("_end")), F.struct("_range", "_begin"))
+    cuts = ends.join(plan, F.col("source").eqNullSafe(F.col("_s"))).groupBy("_s", "source_size", "target", "_whole", "_rest").agg(
+        F.max(F.when(F.col("_end") <= F.col("_rest"), F.col("_range"))).alias("_full"), F.max(within).alias("_edge")
+    )
+    placed = docs.join(stored(cuts), F.col("source").eqNullSafe(F.col("_s")))
+    edge = F.coalesce(F.col("_edge._range") == F.col("_range"), F.lit(False))
+    sure = placed.where(~edge).withColumn("_more", F.coalesce(F.col("_range") <= F.col("_full"), F.lit(False)).cast("int"))
     ordered = Window.partitionBy("source").orderBy("_key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    middle = F.col("_begin") + F.sum("size").over(ordered) - F.col("size") / 2
+    middle = F.col("_edge._begin") + F.sum("size").over(ordered) - F.col("size") / 2
     near = placed.where(edge).withColumn("_more", (middle <= F.col("_rest")).cast("int"))
     mixed = sure.unionByName(near).withColumn("epochs", (F.col("_whole") + F.col("_more")).cast("int"))
     return mixed.select(*keep, "source_size", "target", "epochs", (F.col("size") * F.col("epochs")).alias("taken"))

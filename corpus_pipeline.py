@@ -50,14 +50,14 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that share no window of ten words with a benchmark item."""
-    return decontaminate(docs.select(COLUMNS), table(spark, sf_dir, "benchmark"), window=10).where("n_hit = 0").select(COLUMNS)
+    return decontaminate(docs.select(COLUMNS), table(spark, sf_dir, "benchmark"), window=10, locate=False).where("n_hit = 0").select(COLUMNS)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """How many copies of each document the mix of sources takes."""
-    sized = docs.select("doc_id", "lang", "source", "n_chars", word_count().alias("size"))
+    """The documents with how many copies of each the mix of sources takes."""
+    sized = docs.select(*COLUMNS, word_count().alias("size"))
     found = mix_sources(quality_weights(sized, table(spark, sf_dir, "labels")))
-    return found.select("doc_id", "lang", "source", "n_chars", "size", "source_size", "target", "epochs", "taken")
+    return found.select(*COLUMNS, "size", "source_size", "target", "epochs", "taken")
 
 
 STAGES = [

@@ -1,12 +1,15 @@
 import datetime as dt
+import json
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from runloom.functions import enums
+from runloom.operators import state
 from runloom.plans.runner import Runner
 from runloom.sources import container_logs, definitions
-from runloom.streaming import feeds
+from runloom.streaming import feeds, machine
 
 GOOD = """
 name: Nightly
@@ -88,3 +91,48 @@ def test_many_frames(spark):
         logs.append((k, bytearray(raw + rng.choice([b"", b"\x01\0\0", b"\x01\0\0\0\0\0\0\x09short"]))))
     df = spark.createDataFrame([*logs, (99, None)], "id long, raw binary").repartition(3)
     assert sorted(map(tuple, container_logs.decoded(df, "id").collect())) == sorted(want)
+
+
+EVENTS = "dag_run_id string, kind string, definition string, task_id string, attempt int, state int"
+
+
+def test_runs_as_state_of_a_stream(spark, tmp_path):
+    """A worker that ends every attempt it is given, delivering each end twice: the final states are those of the batch operator."""
+    rng = random.Random(7)
+    nodes, edges, outcome, tries = [], [], {}, {}
+    for g in range(8):
+        for x in range(6):
+            nodes.append((g, x, rng.choice([*enums.TRIGGER_RULES, "all_success"])))
+            outcome[g, x], tries[g, x] = rng.choice([2, 2, 3, 6]), rng.choice([0, 1, 3])
+            edges += [(g, a, x) for a in range(x) if rng.random() < 0.4]
+    folder, out = tmp_path / "events", tmp_path / "out"
+    todo = []
+    for g in range(8):
+        tasks = [{"task_id": f"t{x}", "rule": r, "deps": [f"t{a}" for h, a, b in edges if (h, b) == (g, x)], "max_retries": tries[g, x]} for h, x, r in nodes if h == g]
+        todo.append((f"r{g}", "start", json.dumps(tasks), None, None, None))
+    seen, found = 0, []
+    for step in range(60):
+        if not todo:
+            break
+        spark.createDataFrame(todo + todo, EVENTS).coalesce(1).write.mode("append").parquet(str(folder))
+        actions = machine.run_actions(feeds.feed(spark, str(folder), EVENTS))
+        actions.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "ck")).option("path", str(out)).trigger(availableNow=True).start().awaitTermination(120)
+        found = sorted(map(tuple, spark.read.parquet(str(out)).collect()), key=str)
+        fresh, todo = [r for r in found if r[2] in ("run", "retry")], []
+        for run, task, _, attempt in [r for r in fresh if (r[0], r[1], r[3]) not in tries]:
+            g, x = int(run[1:]), int(task[1:])
+            tries[run, task, attempt] = True
+            # A task that fails in the end fails every time; others fail until their last attempt.
+            last = attempt >= max(1, tries[g, x])
+            todo.append((run, "ended", None, task, attempt, outcome[g, x] if last or outcome[g, x] == 6 else 3))
+        seen = step
+    assert len(found) == len(set(found)) and seen < 59
+    frames = [spark.createDataFrame(nodes, "run_rowid long, task_idx int, trigger_rule string"), spark.createDataFrame(edges, "run_rowid long, src int, dst int"), spark.createDataFrame([(*k, v) for k, v in outcome.items()], "run_rowid long, task_idx int, state int")]
+    want = {(f"r{r.run_rowid}", f"t{r.task_idx}"): r.state for r in state.propagate(*frames).collect()}
+    ran = {(r[0], r[1]) for r in found if r[2] == "run"}
+    left = {(r[0], r[1]): {"skipped": 6, "upstream_failed": 4}[r[2]] for r in found if r[2] in ("skipped", "upstream_failed")}
+    for k, s in want.items():
+        assert (k in ran) != (k in left)
+        assert left.get(k, outcome[int(k[0][1:]), int(k[1][1:])]) == s
+    whole = {r[0]: r[2] for r in found if r[1] is None}
+    assert whole == {f"r{g}": "failed" if any(s == 3 for (r, _), s in want.items() if r == f"r{g}") else "success" for g in range(8)}

@@ -54,10 +54,10 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents with how many copies of each the mix of sources takes."""
-    sized = docs.select(*COLUMNS, word_count().alias("size"))
+    """How many copies of each document the mix of sources takes; the texts are those of the stage before, by doc_id."""
+    sized = docs.select("doc_id", "lang", "source", "n_chars", word_count().alias("size"))
     found = mix_sources(quality_weights(sized, table(spark, sf_dir, "labels")))
-    return found.select(*COLUMNS, "size", "source_size", "target", "epochs", "taken")
+    return found.select("doc_id", "lang", "source", "n_chars", "size", "source_size", "target", "epochs", "taken")
 
 
 STAGES = [

@@ -373,16 +373,23 @@ def _met_pairs(met: DataFrame, named: DataFrame, percent: int) -> DataFrame:
 def _enough(pairs: DataFrame, large: DataFrame, often: DataFrame, percent: int) -> DataFrame:
     """The pairs that meet in as many groups as a linked pair has to.
 
-    First by what the large groups of either set allow; then, where that decides, by the large groups that both are in.
+    First by what the large groups of either set allow; then, where that decides, by the large groups that both are in. These
+    are compared as a list for each set, of which a pair is handed the shorter one: one row for each pair. Groups are told by
+    32 bits there; those that a list loses as equal are allowed for.
     """
     for end in ("a", "b"):
         pairs = pairs.join(often.select(F.col("print").alias(end), F.col("often").alias(f"l{end}")), end, "left")
+    shorter = F.coalesce("la", F.lit(0)) <= F.coalesce("lb", F.lit(0))
     lacking = F.greatest(_needed(percent) - F.col("shared"), F.lit(0))
     pairs = pairs.withColumn("lacking", lacking).where(F.least(F.coalesce("la", F.lit(0)), F.coalesce("lb", F.lit(0))) >= F.col("lacking"))
-    pairs = stored(pairs.select("a", "b", "na", "nb", "lacking"))
-    left, right = (large.select(F.col("print").alias(c), "key") for c in ("a", "b"))
-    both = pairs.where("lacking > 0").join(left, "a").join(right, ["b", "key"]).groupBy("a", "b", "na", "nb", "lacking").count().where("count >= lacking")
-    return pairs.where("lacking = 0").unionByName(both.drop("count")).drop("lacking")
+    sides = [F.when(shorter, x).otherwise(y).alias(n) for n, x, y in (("x", F.col("a"), F.col("b")), ("y", F.col("b"), F.col("a")))]
+    pairs = stored(pairs.select("a", "b", "na", "nb", "lacking", *sides))
+    ends = stored(pairs.where("lacking > 0").select(F.explode(F.array("x", "y")).alias("print")).distinct())
+    lists = large.join(ends, "print", "left_semi").groupBy("print").agg(F.collect_list(F.hash("key")).alias("all"))
+    lists = stored(lists.select("print", F.array_distinct("all").alias("groups"), (F.size("all") - F.size(F.array_distinct("all"))).alias("lost")))
+    left, right = (lists.select(F.col("print").alias(c), F.col("groups").alias(f"g{c}"), F.col("lost").alias(f"m{c}")) for c in ("x", "y"))
+    both = pairs.where("lacking > 0").join(left, "x").join(right, "y").where(F.size(F.array_intersect("gx", "gy")) + F.col("mx") + F.col("my") >= F.col("lacking"))
+    return pairs.where("lacking = 0").select("a", "b", "na", "nb").unionByName(both.select("a", "b", "na", "nb"))
 
 
 def _across(sets: DataFrame, labelled: DataFrame, percent: int) -> DataFrame:

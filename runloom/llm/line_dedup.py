@@ -21,9 +21,12 @@ def repeated_places(docs: DataFrame, window: int = 3) -> DataFrame:
     keys = F.transform(starts, lambda i: F.struct(i.cast("int").alias("at"), F.xxhash64(F.slice("h", i + 1, window)).alias("k1"), F.hash(F.slice("h", i + 1, window)).alias("k2")))
     windows = stored(lines.select("doc_id", F.explode(keys).alias("w")).select("doc_id", "w.*"))
     first = windows.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    later = windows.join(first, ["k1", "k2"]).where(F.struct("doc_id", "at") != F.col("first"))
-    covered = F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.sequence("at", F.col("at") + (window - 1))))))
-    return later.groupBy("doc_id").agg(covered.alias("places"))
+    # Stored, so that the join with a window that very many texts have can be split.
+    later = windows.join(stored(first), ["k1", "k2"]).where(F.struct("doc_id", "at") != F.col("first"))
+    # Sets are combined before the shuffle: however often a doc_id is repeated, no more than its lines come together.
+    starts = later.groupBy("doc_id").agg(F.collect_set("at").alias("starts"))
+    covered = F.flatten(F.transform("starts", lambda at: F.sequence(at, at + (window - 1))))
+    return starts.select("doc_id", F.array_sort(F.array_distinct(covered)).alias("places"))
 
 
 def line_dedup(docs: DataFrame, window: int = 3) -> DataFrame:

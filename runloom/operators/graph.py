@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -113,8 +114,7 @@ def topological_order(nodes: DataFrame, edges: DataFrame, key: str = "run_rowid"
 def cyclic_nodes(edges: DataFrame, key: str = "run_rowid") -> DataFrame:
     """Nodes on a cycle, self loops included; not those that only lie between cycles.
 
-    In a small graph a node is on a cycle if it reaches itself. Larger graphs are peeled from both ends; of what is left,
-    the strongly connected parts are found by labels that run along the edges in both directions.
+    In a small graph a node is on a cycle if it reaches itself. Of larger graphs chains are contracted first, round by round.
     """
     kind = edges.schema["src"].dataType.simpleString()
     pairs = edges.select(key, F.col("dst").cast(kind).alias("node"), "src").distinct()
@@ -136,24 +136,135 @@ def cyclic_nodes(edges: DataFrame, key: str = "run_rowid") -> DataFrame:
     return found if large is None else found.unionByName(_strongly_connected(large.where("src is not null").select(key, "src", F.col("node").alias("dst")), key))
 
 
+#: Edges of a graph that one task takes; what is larger is contracted first.
+TASK_GRAPH = 100_000
+
+
 def _strongly_connected(edges: DataFrame, key: str) -> DataFrame:
-    """Nodes on cycles of large graphs. Rounds are as many as the longest path that is left after peeling."""
+    """Nodes on cycles of large graphs.
+
+    A node with one way in or one way out is on a cycle only with its neighbour there and is merged into it, round by
+    round, half of a chain's nodes by lot; what ends nowhere or begins nowhere goes. So rounds grow with the logarithm of
+    the longest path. Of what is left the parts are found in one task for each graph, and the merged nodes are taken
+    out again in reverse. Only a graph that stays large, having several ways in and out everywhere, goes by labels.
+    """
+    loops = stored(edges.where("src = dst").select(key, F.col("src").alias("v")).distinct())
+    left = stored(edges.where("src <> dst").select(key, "src", "dst").distinct())
+    rounds, before = [], None
+    while True:
+        most, n = left.groupBy(key).count().agg(F.max("count"), F.sum("count")).first()
+        if (most or 0) <= TASK_GRAPH:
+            kinds = {f.name: f.dataType.simpleString() for f in left.schema}
+            found = left.groupBy(key).applyInPandas(_parts_in_task(key), f"{key} {kinds[key]}, v {kinds['src']}, part {kinds['src']}")
+            break
+        if before is not None and n > 0.9 * before:
+            found = _parts_by_labels(left, key)
+            break
+        merged, mapped = _contracted(left, key, len(rounds))
+        rounds.append((left, merged))
+        loops = loops.unionByName(mapped.where("src = dst").select(key, F.col("src").alias("v")))
+        left, before = mapped.where("src <> dst"), n
+    loops, found = stored(loops.distinct()), stored(found)
+    alone = loops.join(found, [key, "v"], "left_anti")
+    for _, merged in rounds:
+        alone = alone.join(merged.where("not gone"), [key, "v"], "left_anti")
+    found = stored(found.unionByName(alone.withColumn("part", F.col("v"))))
+    for own, merged in reversed(rounds):
+        by_in, by_out = merged.where("not gone and not by_out"), merged.where("not gone and by_out")
+        moved = by_out.select(key, F.col("v").alias("dst"), F.col("target").alias("onto"))
+        pairs = own.join(by_in.select(key, F.col("v").alias("src"), "target"), [key, "src"]).join(moved, [key, "dst"], "left")
+        found = found.unionByName(_taken_out(by_in, pairs.select(key, F.col("src").alias("v"), F.coalesce("onto", "dst").alias("other"), "target"), found, loops, key))
+        pairs = own.join(by_out.select(key, F.col("v").alias("dst"), "target"), [key, "dst"])
+        found = found.unionByName(_taken_out(by_out, pairs.select(key, F.col("dst").alias("v"), F.col("src").alias("other"), "target"), found, loops, key))
+    return found.select(key, F.col("v").alias("node"))
+
+
+def _contracted(edges: DataFrame, key: str, turn: int) -> tuple[DataFrame, DataFrame]:
+    """(key, v, target, by_out, gone) of the nodes that this round takes away, and the edges as they are then, with the
+    loops that this makes. No node that another is merged into is itself merged."""
+    kind = edges.schema["src"].dataType.simpleString()
+    none = F.lit(None).cast(kind)
+    ends = F.explode(F.array(F.struct(F.col("src").alias("v"), F.col("dst").alias("to"), none.alias("by")), F.struct(F.col("dst").alias("v"), none.alias("to"), F.col("src").alias("by"))))
+    near = edges.select(key, ends.alias("x")).groupBy(key, F.col("x.v").alias("v"))
+    near = near.agg(F.count("x.to").alias("n_to"), F.min("x.to").alias("to"), F.count("x.by").alias("n_by"), F.min("x.by").alias("by"))
+    lot = lambda c: F.xxhash64(F.lit(turn), key, c) % 2 == 0
+    target = F.when(F.col("n_to") == 1, F.col("to")).when(F.col("n_by") == 1, F.col("by"))
+    near = near.select(key, "v", target.alias("target"), (F.col("n_to") == 1).alias("by_out"), ((F.col("n_to") == 0) | (F.col("n_by") == 0)).alias("gone"))
+    merged = stored(near.where(F.col("gone") | (F.col("target").isNotNull() & lot("v") & ~lot("target"))))
+    mapped = edges.select(key, "src", "dst")
+    for end in ("src", "dst"):
+        mapped = mapped.join(merged.select(key, F.col("v").alias(end), F.struct("target", "by_out", "gone").alias(f"m_{end}")), [key, end], "left")
+    # The edge to the node that a node is merged into goes: the only one out of it, or the only one into it.
+    mapped = mapped.where("not coalesce(m_src.gone, false) and not coalesce(m_dst.gone, false) and not coalesce(m_src.by_out, false) and coalesce(m_dst.by_out, true)")
+    return merged, stored(mapped.select(key, F.coalesce("m_src.target", "src").alias("src"), F.coalesce("m_dst.target", "dst").alias("dst")).distinct())
+
+
+def _taken_out(merged: DataFrame, pairs: DataFrame, found: DataFrame, loops: DataFrame, key: str) -> DataFrame:
+    """(key, v, part) of merged nodes that are on cycles: with their target, if a neighbour on the other side is in its part."""
+    targets, others = found.select(key, F.col("v").alias("target"), "part"), found.select(key, F.col("v").alias("other"), F.col("part").alias("other_part"))
+    along = pairs.join(targets, [key, "target"]).join(others, [key, "other"], "left").where("other = target or part = other_part").select(key, "v", "part").distinct()
+    along = stored(along)
+    alone = merged.select(key, "v").join(loops, [key, "v"], "left_semi").join(along, [key, "v"], "left_anti")
+    return stored(along.unionByName(alone.withColumn("part", F.col("v"))))
+
+
+def _parts_in_task(key: str) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """Function of one graph's edges that gives (key, v, part): strongly connected parts of two nodes or more (Tarjan, without recursion)."""
+
+    def parts(rows: pd.DataFrame) -> pd.DataFrame:
+        after: dict = {}
+        for a, b in zip(rows["src"].tolist(), rows["dst"].tolist(), strict=True):
+            after.setdefault(a, []).append(b)
+        order, low, stack, on, out = {}, {}, [], set(), []
+        for root in after:
+            if root in order:
+                continue
+            path = [(root, iter(after[root]))]
+            order[root] = low[root] = len(order)
+            stack.append(root)
+            on.add(root)
+            while path:
+                v, ways = path[-1]
+                for w in ways:
+                    if w not in order:
+                        order[w] = low[w] = len(order)
+                        stack.append(w)
+                        on.add(w)
+                        path.append((w, iter(after.get(w, ()))))
+                        break
+                    if w in on:
+                        low[v] = min(low[v], order[w])
+                else:
+                    path.pop()
+                    if path:
+                        low[path[-1][0]] = min(low[path[-1][0]], low[v])
+                    if low[v] == order[v]:
+                        part = []
+                        while not part or part[-1] != v:
+                            part.append(stack.pop())
+                            on.discard(part[-1])
+                        if len(part) > 1:
+                            out += [(w, v) for w in part]
+        found = pd.DataFrame(out, columns=["v", "part"]).astype({"v": rows["src"].dtype, "part": rows["src"].dtype})
+        found.insert(0, key, rows[key].iloc[0])
+        return found
+
+    return parts
+
+
+def _parts_by_labels(edges: DataFrame, key: str) -> DataFrame:
+    """(key, v, part) by the smallest nodes that lead to each and that each leads to. Rounds are as many as the longest shortest path."""
     left, found = _peeled(edges, key), None
     while not left.isEmpty():
-        degrees = left.groupBy(key, F.col("src").alias("v")).count().unionByName(left.groupBy(key, F.col("dst").alias("v")).count())
-        if degrees.where("count > 1").isEmpty():  # what is left is disjoint cycles
-            inside, left = left, left.limit(0)
-        else:
-            forward, backward = _least_along(left, key), _least_along(left.select(key, F.col("dst").alias("src"), F.col("src").alias("dst")), key)
-            label = forward.join(backward.withColumnRenamed("least", "back"), [key, "v"])
-            label = stored(label)
-            for end in ("src", "dst"):
-                left = left.join(label.select(key, F.col("v").alias(end), F.struct("least", "back").alias(f"l_{end}")), [key, end])
-            left = stored(left.where("l_src = l_dst").withColumn("done", F.col("l_src.least") == F.col("l_src.back")))
-            inside, left = left.where("done").select(key, "src", "dst"), _peeled(left.where("not done"), key)
-        nodes = inside.select(key, F.explode(F.array("src", "dst")).alias("node")).distinct()
+        forward, backward = _least_along(left, key), _least_along(left.select(key, F.col("dst").alias("src"), F.col("src").alias("dst")), key)
+        label = stored(forward.join(backward.withColumnRenamed("least", "back"), [key, "v"]))
+        for end in ("src", "dst"):
+            left = left.join(label.select(key, F.col("v").alias(end), F.struct("least", "back").alias(f"l_{end}")), [key, end])
+        left = stored(left.where("l_src = l_dst").withColumn("done", F.col("l_src.least") == F.col("l_src.back")))
+        inside, left = left.where("done"), _peeled(left.where("not done"), key)
+        nodes = inside.select(key, F.explode(F.array("src", "dst")).alias("v"), F.col("l_src.least").alias("part")).distinct()
         found = nodes if found is None else found.unionByName(nodes)
-    return edges.select(key, F.col("src").alias("node")).limit(0) if found is None else found
+    return edges.select(key, F.col("src").alias("v"), F.col("src").alias("part")).limit(0) if found is None else found
 
 
 def _peeled(edges: DataFrame, key: str) -> DataFrame:

@@ -200,6 +200,31 @@ def test_cycles(spark, monkeypatch, size):
     assert len(got) == len(set(got)) and set(got) == {(g, a) for g, a, b in reach if a == b}
 
 
+@pytest.mark.parametrize("in_task", [0, 6, 40])
+def test_cycles_of_contracted_graphs(spark, monkeypatch, in_task):
+    """Large graphs, contracted until a task takes them: chains, loops and dense parts; nothing is left to a task, or not all."""
+    monkeypatch.setattr(graph, "SMALL_GRAPH", 1)
+    monkeypatch.setattr(graph, "TASK_GRAPH", in_task)
+    rng = random.Random(5)
+    edges = {(g, rng.randrange(n), rng.randrange(n)) for g, (n, m) in enumerate([(40, 40), (60, 55), (30, 60), (12, 60), (50, 52)]) for _ in range(m)}
+    edges |= {(9, x, x + 1) for x in range(30)} | {(9, 20, 5), (9, 2, 2), (9, 30, 30)} | {(10, x, (x + 1) % 25) for x in range(25)}
+    reach = set(edges)
+    while more := {(g, a, d) for g, a, b in reach for h, c, d in edges if g == h and b == c} - reach:
+        reach |= more
+    got = [(r.run_rowid, r.node) for r in graph.cyclic_nodes(spark.createDataFrame(sorted(edges), "run_rowid long, src int, dst int")).collect()]
+    assert len(got) == len(set(got)) and set(got) == {(g, a) for g, a, b in reach if a == b}
+
+
+def test_rounds_of_a_long_chain(spark, monkeypatch):
+    """A path that leads nowhere, and a cycle, of 1,500 nodes each: rounds are as their logarithm."""
+    monkeypatch.setattr(graph, "TASK_GRAPH", 100, raising=False)
+    tables, stored = [], graph.stored
+    monkeypatch.setattr(graph, "stored", lambda df: tables.append(1) or (stored(df) if len(tables) < 120 else pytest.fail("too many rounds")))
+    edges = [(0, x, x + 1) for x in range(1500)] + [(0, 2000 + x, 2000 + (x + 1) % 1500) for x in range(1500)] + [(0, 2000, 0), (0, 1500, 4000)]
+    got = graph.cyclic_nodes(spark.createDataFrame(edges, "run_rowid long, src int, dst int")).collect()
+    assert sorted(r.node for r in got) == list(range(2000, 3500))
+
+
 def test_edges_that_close_cycles(spark):
     nodes = spark.createDataFrame([(1, x) for x in range(5)], "run_rowid long, task_idx int")
     existing = spark.createDataFrame([(1, 0, 1), (1, 1, 2), (1, 2, 3)], "run_rowid long, src int, dst int")

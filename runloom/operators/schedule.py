@@ -40,17 +40,13 @@ def days_from(ticks: DataFrame, days: int) -> DataFrame:
 def next_after(schedules: DataFrame, at: str, years: int = 5) -> DataFrame:
     """Adds next_time, the first tick after a time column, null if there is none within ``years``.
 
-    The first fitting day counts if a minute of it is later than the time, else the first fitting day after it.
+    Each row is searched by itself, day by day up to the first that fits: no table of days, and no rows dealt by expression.
     """
-    rows = with_cron(schedules)
-    cron, today = F.col("parsed"), F.to_date(at)
-    now = F.hour(at) * 60 + F.minute(at)
-    rows = rows.withColumn("_minutes", C.minutes_of_day(cron))
-    later = F.filter("_minutes", lambda m: m > now)
-    following = F.filter(F.sequence(F.date_add(today, 1), F.add_months(today, 12 * years)), lambda d: C.day_fits(cron, d))
-    first = F.when(C.day_fits(cron, today) & (F.size(later) > 0), C.tick(today, F.array_min(later)))
-    then = C.tick(F.get(following, F.lit(0)), F.array_min("_minutes"))
-    return rows.withColumn("next_time", F.coalesce(first, then)).drop("parsed", "_minutes")
+    today = F.to_date(at)
+    found = C.next_ticks("cron", F.unix_date(today), F.hour(at) * 60 + F.minute(at), F.unix_date(F.add_months(today, 12 * years)))
+    rows = schedules.where(C.valid("cron")).withColumn("_next", found)
+    next_time = C.tick(F.date_from_unix_date("_next.day"), F.col("_next.minute"))
+    return rows.withColumn("next_time", next_time).drop("_next")
 
 
 def catch_up(schedules: DataFrame, watermarks: DataFrame, runs: DataFrame, now) -> DataFrame:

@@ -72,6 +72,19 @@ def test_next_after(spark):
     assert {r.dag_id: r.next_time for r in schedule.next_after(rows, "at").collect()} == {"a": dt.datetime(2024, 2, 29), "b": dt.datetime(2024, 1, 2, 5, 30), "c": None, "d": dt.datetime(2024, 1, 1, 5, 30)}
 
 
+def test_next_after_row_by_row(spark):
+    """Each row's next time is the first of its ticks after it, and no row is moved to meet its expression."""
+    rng, cases = random.Random(3), []
+    for i, e in enumerate(["0 0 29 2 *", "*/7 5-9 * * *", "0 12 13 * fri", "59 23 31 * *", "0 0 1 jan,jul *", "15 3 * * 7", "0 0 30 2 *", "@weekly", "nope", None]):
+        cases += [(f"{i}_{k}", e, dt.datetime(2023, 1, 1) + dt.timedelta(minutes=rng.randrange(1000000))) for k in range(20)]
+    rows = spark.createDataFrame(cases, "dag_id string, cron string, at timestamp").repartition(3)
+    out = schedule.next_after(rows, "at")
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString() and "sequence(" not in out._jdf.queryExecution().optimizedPlan().toString()
+    after = rows.select("dag_id", "cron", (F.date_trunc("minute", "at") + F.expr("interval 1 minute")).alias("start_date"), (F.col("at") + F.expr("interval 1900 days")).alias("end_date"))
+    want = {r.dag_id: r.t for r in schedule.ticks_between(after, limit=None).groupBy("dag_id").agg(F.min("execution_date").alias("t")).collect()}
+    assert {r.dag_id: r.next_time for r in out.collect()} == {k: want.get(k) for k, e, _ in cases if e not in ("nope", None)}
+
+
 def test_graph(spark):
     edges = spark.createDataFrame([(1, 0, 1), (1, 1, 2), (1, 2, 0), (1, 2, 3), (2, 0, 1), (2, 1, 2), (2, 0, 2), (2, 0, 2), (3, 5, 5)], "run_rowid long, src int, dst int")
     nodes = spark.createDataFrame([(2, 0), (2, 1), (2, 2), (2, 9), (1, 0), (1, 1), (1, 2), (1, 3)], "run_rowid long, task_idx int")

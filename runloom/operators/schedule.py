@@ -18,17 +18,25 @@ def ticks_between(schedules: DataFrame, start: str = "start_date", end: str = "e
     """(dag_id, execution_date): all ticks from ``start`` (floored to a minute) to before ``end``, at most the first ``limit``.
 
     The days in range are listed and filtered, then multiplied with the minutes of a day that fire: no minute that
-    doesn't fire is looked at.
+    doesn't fire is looked at. With a limit no more days than it needs are multiplied, in order, within a schedule's row;
+    ticks are ranked in a window only for a ``dag_id`` that has several schedules.
     """
-    days = F.explode(F.sequence(F.to_date(start), F.to_date(end)))
-    rows = with_cron(schedules).select("dag_id", "parsed", F.date_trunc("minute", start).alias("_from"), F.col(end).alias("_to"), days.alias("day"))
-    rows = rows.where(C.day_fits(F.col("parsed"), F.col("day"))).select("dag_id", "_from", "_to", "day", F.explode(C.minutes_of_day(F.col("parsed"))).alias("minute"))
-    rows = rows.withColumn("execution_date", C.tick(F.col("day"), F.col("minute"))).where("execution_date >= _from and execution_date < _to")
-    rows = rows.select("dag_id", "execution_date")
+    parsed, minutes = F.col("parsed"), C.minutes_of_day(F.col("parsed"))
+    slim = schedules.select("dag_id", "cron", F.date_trunc("minute", start).alias("_from"), F.col(end).alias("_to"), F.to_date(start).alias("_first"), F.to_date(end).alias("_last"))
     if limit is None:
-        return rows
+        rows = with_cron(slim).select("dag_id", "parsed", "_from", "_to", F.explode(F.sequence("_first", "_last")).alias("day"))
+        rows = rows.where(C.day_fits(parsed, F.col("day"))).select("dag_id", "_from", "_to", "day", F.explode(minutes).alias("minute"))
+        return rows.withColumn("execution_date", C.tick(F.col("day"), F.col("minute"))).where("execution_date >= _from and execution_date < _to").select("dag_id", "execution_date")
+    rows = with_cron(slim.withColumn("_several", F.count("*").over(Window.partitionBy("dag_id")) > 1))
+    rows = rows.select("dag_id", "_several", "_from", "_to", minutes.alias("_minutes"), F.filter(F.sequence("_first", "_last"), lambda d: C.day_fits(parsed, d)).alias("_days"))
+    # Of the first day some minutes may be before the start; all others count.
+    enough = F.slice("_days", F.lit(1), F.floor(F.lit(limit) / F.size("_minutes")).cast("int") + 2)
+    ticks = F.flatten(F.transform(enough, lambda d: F.transform("_minutes", lambda m: C.tick(d, m))))
+    ticks = F.slice(F.filter(ticks, lambda t: (t >= F.col("_from")) & (t < F.col("_to"))), 1, limit)
+    rows = rows.select("dag_id", "_several", F.explode(ticks).alias("execution_date"))
     place = F.row_number().over(Window.partitionBy("dag_id").orderBy("execution_date"))
-    return rows.withColumn("_n", place).where(F.col("_n") <= limit).drop("_n")
+    ranked = rows.where("_several").withColumn("_n", place).where(F.col("_n") <= limit)
+    return rows.where("not _several").select("dag_id", "execution_date").unionByName(ranked.select("dag_id", "execution_date"))
 
 
 def days_from(ticks: DataFrame, days: int) -> DataFrame:

@@ -85,6 +85,21 @@ def test_next_after_row_by_row(spark):
     assert {r.dag_id: r.next_time for r in out.collect()} == {k: want.get(k) for k, e, _ in cases if e not in ("nope", None)}
 
 
+def test_first_ticks_are_not_sorted(spark):
+    """The first ticks of each DAG are those of all its schedules together; only where it has several are they sorted."""
+    at = lambda *a: dt.datetime(2024, *a)
+    cases = [("a", "* * * * *", at(1, 1, 12, 7), at(3, 1)), ("b", "*/30 * * * *", at(1, 1), at(2, 1)), ("b", "0 */2 * * *", at(1, 3), at(3, 1)), ("c", "0 0 * * *", at(1, 5), at(1, 1)), ("d", "7 7 * * mon", at(1, 1, 8), at(2, 1)), ("e", "nope", at(1, 1), at(2, 1))]
+    rows = spark.createDataFrame(cases, "dag_id string, cron string, start_date timestamp, end_date timestamp")
+    every = {}
+    for r in schedule.ticks_between(rows, limit=None).collect():
+        every.setdefault(r.dag_id, []).append(r.execution_date)
+    for limit in (1, 50, 700, 1000, 100000):
+        got = [tuple(r) for r in schedule.ticks_between(rows, limit=limit).collect()]
+        assert sorted(got) == sorted((d, t) for d, ticks in every.items() for t in sorted(ticks)[:limit])
+    plan = schedule.ticks_between(rows)._jdf.queryExecution().optimizedPlan()
+    assert plan.nodeName() == "Union" and "row_number" not in plan.children().head().toString()
+
+
 def test_graph(spark):
     edges = spark.createDataFrame([(1, 0, 1), (1, 1, 2), (1, 2, 0), (1, 2, 3), (2, 0, 1), (2, 1, 2), (2, 0, 2), (2, 0, 2), (3, 5, 5)], "run_rowid long, src int, dst int")
     nodes = spark.createDataFrame([(2, 0), (2, 1), (2, 2), (2, 9), (1, 0), (1, 1), (1, 2), (1, 3)], "run_rowid long, task_idx int")

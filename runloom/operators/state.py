@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.storage import stored
+from ..plans.storage import dealt, parts, stored
 from . import graph
 
 # Codes of task states, exit codes that skip a task or fail it without retry, and what recovery notes.
@@ -16,15 +16,24 @@ CRASHED = "Scheduler crashed during execution"
 
 
 def dependency_counts(edges: DataFrame, states: DataFrame) -> DataFrame:
-    """Outcomes of the direct dependencies of each (run_rowid, task_idx) that has any; an edge given twice counts twice."""
-    src = states.select("run_rowid", F.col("task_idx").alias("src"), F.col("state").alias("s"))
-    s = F.col("s")
-    return edges.join(src, ["run_rowid", "src"]).groupBy("run_rowid", F.col("dst").alias("task_idx")).agg(
+    """Outcomes of the direct dependencies of each (run_rowid, task_idx) that has any; an edge given twice counts twice.
+
+    Rows are dealt to more tasks the more there are, so that none sorts or aggregates more than its share.
+    """
+    n, s = parts(states), F.col("s")
+    src = dealt(states.select("run_rowid", F.col("task_idx").alias("src"), F.col("state").alias("s")), n, "run_rowid", "src")
+    met = dealt(edges.select("run_rowid", "src", "dst"), n, "run_rowid", "src").join(src, ["run_rowid", "src"])
+    return dealt(met.select("run_rowid", F.col("dst").alias("task_idx"), "s"), n, "run_rowid", "task_idx").groupBy("run_rowid", "task_idx").agg(
         F.count_if(s == SUCCESS).alias("n_success"), F.count_if(s == FAILED).alias("n_failed"),
         F.count_if(s.isin(SKIPPED, UPSTREAM_FAILED)).alias("n_skipped"), F.count_if(s == UPSTREAM_FAILED).alias("n_upstream"), F.count("*").alias("n_total"),
     )
 
 
+def with_counts(nodes: DataFrame, edges: DataFrame, states: DataFrame) -> DataFrame:
+    """Tasks with their ``dependency_counts``, null for those without dependencies."""
+    return dealt(nodes, parts(states), "run_rowid", "task_idx").join(dependency_counts(edges, states), ["run_rowid", "task_idx"], "left")
+
+
 COUNTS = ("n_success", "n_failed", "n_skipped", "n_total")
 
 
@@ -55,7 +64,7 @@ def not_triggered(rule: str | Column = "trigger_rule", failed: Column | None = N
 
 def trigger_outcomes(nodes: DataFrame, edges: DataFrame, states: DataFrame) -> DataFrame:
     """ready, skipped or upstream_failed for each task from its dependencies' states."""
-    joined = nodes.join(dependency_counts(edges, states), ["run_rowid", "task_idx"], "left")
+    joined = with_counts(nodes, edges, states)
     name = F.when(triggers(), "ready").when(not_triggered() == UPSTREAM_FAILED, "upstream_failed").otherwise("skipped")
     counts = [F.coalesce(c, F.lit(0)).alias(c) for c in ("n_success", "n_failed", "n_skipped", "n_total")]
     return joined.select("run_rowid", "task_idx", "trigger_rule", *counts, name.alias("outcome"))

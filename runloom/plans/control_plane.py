@@ -9,7 +9,7 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .storage import stored
+from .storage import dealt, parts, stored
 
 BASE = "region nation customer supplier part orders lineitem events".split()
 
@@ -116,6 +116,8 @@ class ControlPlane:
     def __getattr__(self, name: str) -> DataFrame:
         if name in BASE:
             df = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        elif name == "task_instances":
+            df = self.sql(VIEWS[name], lineitem=dealt(self.lineitem, parts(self.lineitem), "l_orderkey"))
         elif name in VIEWS:
             df = self.sql(SPARK_VIEWS.get(name, VIEWS[name]))
         else:
@@ -125,8 +127,11 @@ class ControlPlane:
 
     def keep(self, name: str = "task_instances") -> ControlPlane:
         """Stores a view that a query reads several times, so that it is derived once."""
-        self.__dict__[name] = stored(getattr(self, name))
+        kept = self.__dict__[name] = stored(getattr(self, name))
+        if name == "task_instances":
+            self.__dict__["edges"] = self.sql(SPARK_VIEWS["edges"], task_instances=dealt(kept.select("run_rowid", "task_idx"), parts(kept), "run_rowid"))
         return self
 
-    def sql(self, text: str) -> DataFrame:
-        return self.spark.sql(text, **{n: getattr(self, n) for n in set(_NAME.findall(text))})
+    def sql(self, text: str, **frames: DataFrame) -> DataFrame:
+        """``frames`` stand for tables of their names."""
+        return self.spark.sql(text, **{n: frames[n] if n in frames else getattr(self, n) for n in set(_NAME.findall(text))})

@@ -28,3 +28,18 @@ def stored(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Bytes of a table's files whose rows one task sorts or aggregates.
+PART = 4 << 20
+
+
+def parts(df: DataFrame) -> int | None:
+    """Number of partitions in which a task's share of a table doesn't grow with it, by the size of its files; None where Spark doesn't know that."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return None if size > 1 << 50 else max(df.sparkSession.sparkContext.defaultParallelism, min(-(-size // PART), 20_000))
+
+
+def dealt(df: DataFrame, n: int | None, *keys: str) -> DataFrame:
+    """Rows dealt by keys to ``n`` partitions, which a join, window or aggregation by these keys takes as they are."""
+    return df if n is None else df.repartition(n, *keys)

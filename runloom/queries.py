@@ -345,7 +345,7 @@ for _rule in enums.TRIGGER_RULES:
         from {{nodes}} n left join (select run_rowid, task_idx, n_success as s, n_failed as f, n_skipped as k, n_total as t from c) x on x.run_rowid = n.run_rowid and x.task_idx = n.task_idx""")
     def _(c, rule=_rule):
         c.keep()
-        counted = c.nodes.select("run_rowid", "task_idx").join(state.dependency_counts(c.edges, c.task_instances), ["run_rowid", "task_idx"], "left")
+        counted = state.with_counts(c.nodes.select("run_rowid", "task_idx"), c.edges, c.task_instances)
         return counted.select("run_rowid", "task_idx", state.triggers(F.lit(rule)).alias("runs"))
 
 

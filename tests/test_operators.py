@@ -3,6 +3,7 @@
 import datetime as dt
 import json
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -39,6 +40,17 @@ def test_trigger_rules(spark):
     assert {r.run_rowid: r.outcome for r in out.collect()} == want
 
 
+def test_shares_of_tasks_do_not_grow(spark, data, monkeypatch):
+    """Every shuffle of the counts goes to as many partitions as the size of the table asks for."""
+    from runloom.plans import storage
+
+    monkeypatch.setattr(storage, "PART", 4096, raising=False)
+    for name in ("o48_dependency_counts", "o40_trigger_rule_outcomes", "o40_rule_one_done"):
+        plan = queries.queries()[name](spark, data)._jdf.queryExecution().executedPlan().toString()
+        dealt = [int(n) for n in re.findall(r"Exchange hashpartitioning\(.*?, (\d+)\)", plan)]
+        assert dealt and min(dealt) > 4, plan
+
+
 def test_gate_waits_for_all_dependencies(spark):
     nodes = spark.createDataFrame([(1, 2, "one_success")], "run_rowid long, task_idx int, trigger_rule string")
     edges = spark.createDataFrame([(1, 0, 2), (1, 1, 2)], "run_rowid long, src int, dst int")

@@ -111,6 +111,19 @@ def topological_order(nodes: DataFrame, edges: DataFrame, key: str = "run_rowid"
     return layers(nodes, edges, key, node).select(key, node, place.cast("int").alias("position"))
 
 
+def bits() -> Column:
+    """The bit of each of 64 nodes; SMALL_GRAPH rows have no more."""
+    return F.array(*[F.lit((1 << i) - (1 << 64) * (i == 63)).cast("bigint") for i in range(64)])
+
+
+def reach(ids: Column, sources: Column) -> Column:
+    """For each node of a small graph the nodes that lead to it, as bits."""
+    places = F.transform(sources, lambda own: F.transform(own, lambda x: F.array_position(ids, x).cast("int")))
+    gathered = lambda seen, own: F.aggregate(own, F.lit(0).cast("bigint"), lambda m, p: m.bitwiseOR(F.get(bits(), p - 1)).bitwiseOR(F.get(seen, p - 1)))
+    none = F.transform(ids, lambda _: F.lit(0).cast("bigint"))
+    return let(places, lambda of: F.aggregate(ids, none, lambda seen, _: F.transform(of, lambda own: gathered(seen, own))))
+
+
 def cyclic_nodes(edges: DataFrame, key: str = "run_rowid") -> DataFrame:
     """Nodes on a cycle, self loops included; not those that only lie between cycles.
 
@@ -120,19 +133,10 @@ def cyclic_nodes(edges: DataFrame, key: str = "run_rowid") -> DataFrame:
     pairs = edges.select(key, F.col("dst").cast(kind).alias("node"), "src").distinct()
     rows = stored(pairs.unionByName(pairs.select(key, F.col("src").alias("node"), F.lit(None).cast(kind).alias("src"))))
     small, large = split(rows, key)
-    bits = F.array(*[F.lit((1 << i) - (1 << 64) * (i == 63)).cast("bigint") for i in range(64)])
     starts = graphs(small, key)
-
-    def closed(ids: Column, sources: Column) -> Column:
-        """For each node the nodes that lead to it, as bits; of SMALL_GRAPH rows at most as many are nodes."""
-        places = F.transform(sources, lambda own: F.transform(own, lambda x: F.array_position(ids, x).cast("int")))
-        gathered = lambda seen, own: F.aggregate(own, F.lit(0).cast("bigint"), lambda m, p: m.bitwiseOR(F.get(bits, p - 1)).bitwiseOR(F.get(seen, p - 1)))
-        none = F.transform(ids, lambda _: F.lit(0).cast("bigint"))
-        return let(places, lambda of: F.aggregate(ids, none, lambda seen, _: F.transform(of, lambda own: gathered(seen, own))))
-
-    starts = starts.select(key, "ids", closed(F.col("ids"), F.col("sources")).alias("reach"))
+    starts = starts.select(key, "ids", reach(F.col("ids"), F.col("sources")).alias("reach"))
     reached = starts.select(key, F.posexplode(F.arrays_zip("ids", "reach")).alias("i", "x"))
-    found = reached.where(F.col("x.reach").bitwiseAND(F.get(bits, F.col("i"))) != 0).select(key, F.col("x.ids").alias("node"))
+    found = reached.where(F.col("x.reach").bitwiseAND(F.get(bits(), F.col("i"))) != 0).select(key, F.col("x.ids").alias("node"))
     return found if large is None else found.unionByName(_strongly_connected(large.where("src is not null").select(key, "src", F.col("node").alias("dst")), key))
 
 
@@ -317,6 +321,7 @@ def refused_edges(nodes: DataFrame, edges: DataFrame, key: str = "run_rowid", no
     error = F.when(F.col("has_src").isNull() | F.col("has_dst").isNull(), "NotFound").when(F.col("src") == F.col("dst"), "InvalidArgument")
     marked = marked.withColumn("error", error)
     if existing is not None:
+        marked = stored(marked)
         closing = closing_edges(existing, marked.where("error is null").select(key, "src", "dst"), key).withColumn("closes", F.lit(True))
         marked = marked.join(closing, [key, "src", "dst"], "left").withColumn("error", F.coalesce("error", F.when(F.col("closes"), "CycleDetected")))
     return marked.where("error is not null").select(key, "src", "dst", "error")
@@ -325,8 +330,24 @@ def refused_edges(nodes: DataFrame, edges: DataFrame, key: str = "run_rowid", no
 def closing_edges(existing: DataFrame, proposed: DataFrame, key: str = "run_rowid") -> DataFrame:
     """The proposed edges whose source can be reached from their destination over existing edges, each taken by itself.
 
-    Each round goes one edge further from the destinations; nodes that an edge's search has met are not met again.
+    A small graph's existing edges meet in one row, which tells what leads where, and each proposed edge looks there. In
+    larger graphs each round goes one edge further from the destinations; nodes that an edge's search has met are not met again.
     """
+    kind = existing.schema["src"].dataType.simpleString()
+    ends = F.explode(F.array(F.struct(F.col("dst").cast(kind).alias("node"), F.col("src")), F.struct(F.col("src").alias("node"), F.lit(None).cast(kind).alias("src"))))
+    small, large = split(stored(existing.select(key, ends.alias("x")).select(key, "x.*")), key)
+    proposed = stored(proposed.select(key, "src", "dst").distinct())
+    known = graphs(small, key).select(key, "ids", reach(F.col("ids"), F.col("sources")).alias("reach"))
+    place = lambda c: F.array_position("ids", F.col(c).cast(kind)).cast("int") - 1
+    leads = F.get("reach", place("src")).bitwiseAND(F.get(bits(), place("dst"))) != 0
+    found = proposed.where("src <> dst").join(known, key).where(leads).select(key, "src", "dst").unionByName(proposed.where("src = dst"))
+    if large is None:
+        return found
+    far = proposed.where("src <> dst").join(large.select(key).distinct(), key, "left_semi")
+    return found.unionByName(_closing_by_level(large.where("src is not null").select(key, "src", F.col("node").alias("dst")), far, key))
+
+
+def _closing_by_level(existing: DataFrame, proposed: DataFrame, key: str) -> DataFrame:
     existing = stored(existing.select(key, F.col("src").alias("at"), F.col("dst").alias("next")).distinct())
     met = fresh = stored(proposed.select(key, "src", "dst").distinct().withColumn("at", F.col("dst")))
     while not fresh.isEmpty():

@@ -566,7 +566,7 @@ def _(c):
     select run_rowid, dst as src, src as dst, 'CycleDetected' as error from {edges} where dst - src = 2
     union all select e.run_rowid, e.src, e.dst + 1, 'NotFound' from {edges} e join (select run_rowid, count(*) as n from {nodes} group by 1) m on m.run_rowid = e.run_rowid where e.dst - e.src = 2 and e.dst + 1 >= n""")
 def _(c):
-    far = c.edges.where("dst - src = 2")
+    far = c.keep().edges.where("dst - src = 2")
     return graph.refused_edges(c.nodes, far.selectExpr("run_rowid", "dst as src", "src as dst").unionByName(far.selectExpr("run_rowid", "src", "dst + 1 as dst")), existing=c.edges)
 
 

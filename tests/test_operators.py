@@ -273,6 +273,24 @@ def test_edges_that_close_cycles(spark):
     assert out == {(3, 0): "CycleDetected", (3, 1): "CycleDetected", (2, 2): "InvalidArgument", (0, 9): "NotFound"}
 
 
+@pytest.mark.parametrize("small", [64, 24])
+def test_closing_edges_of_many_graphs(spark, monkeypatch, small):
+    """Against plain reachability; small graphs take no rounds: the tables stored are as many for long as for short paths."""
+    monkeypatch.setattr(graph, "SMALL_GRAPH", small)
+    tables, stored = [], graph.stored
+    monkeypatch.setattr(graph, "stored", lambda df: tables.append(1) or stored(df))
+    rng = random.Random(8)
+    edges = {(g, rng.randrange(2 + g), rng.randrange(2 + g)) for g in range(14) for _ in range(g + 2)} | {(20, x, x + 1) for x in range(20)}
+    new = {(g, rng.randrange(4 + g), rng.randrange(4 + g)) for g in range(15) for _ in range(20)} | {(20, 20, 0), (20, 0, 20), (20, 19, 4)}
+    reach = set(edges)
+    while more := {(g, a, d) for g, a, b in reach for h, c, d in edges if g == h and b == c} - reach:
+        reach |= more
+    frame = lambda rows: spark.createDataFrame(sorted(rows), "run_rowid long, src int, dst int")
+    got = [tuple(r) for r in graph.closing_edges(frame(edges), frame(new)).collect()]
+    assert len(got) == len(set(got)) and set(got) == {(g, a, b) for g, a, b in new if a == b or (g, b, a) in reach}
+    assert len(tables) == 3 or small < 64
+
+
 def test_repeated_changes(spark):
     """A key has one row after a merge or an update, whatever the changes repeat."""
     table = spark.createDataFrame([("a", 1), ("b", 2)], "k string, v int")

@@ -41,6 +41,25 @@ def split(rows: DataFrame, key: str) -> tuple[DataFrame, DataFrame | None]:
     return rows.join(large, key, "left_anti"), rows.join(large, key, "left_semi")
 
 
+#: Groups in which rows are counted; only in one that holds many rows can there be a large graph.
+GROUPS = 1 << 15
+
+
+def beyond(rows: DataFrame, key: str, most: int) -> tuple[int, DataFrame | None]:
+    """Number of rows, and the keys of the graphs that have more than ``most``, or None if there are none.
+
+    Rows are counted in groups of keys, so that little is shuffled, and by key only in groups of more than ``most``.
+    """
+    group = F.pmod(F.xxhash64(key), F.lit(GROUPS)).cast("int")
+    counts = rows.groupBy(group.alias("g")).count()
+    n, full = counts.agg(F.coalesce(F.sum("count"), F.lit(0)), F.collect_list(F.when(F.col("count") > most, F.col("g")))).first()
+    if not full:
+        return n, None
+    held = rows if len(full) == GROUPS else rows.where(F.array_contains(F.lit(full), group))
+    large = stored(held.groupBy(key).count().where(F.col("count") > most).select(key))
+    return n, None if large.isEmpty() else large
+
+
 def levels(ids: Column, sources: Column) -> Column:
     """Longest path from a root to each of ``ids``; not less than their number for nodes on or behind a cycle.
 

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.storage import dealt, parts, stored
+from ..functions import enums
+from ..plans.storage import dealt, parts, share, stored
 from . import graph
 
 # Codes of task states, exit codes that skip a task or fail it without retry, and what recovery notes.
@@ -37,6 +43,14 @@ def with_counts(nodes: DataFrame, edges: DataFrame, states: DataFrame) -> DataFr
 COUNTS = ("n_success", "n_failed", "n_skipped", "n_total")
 
 
+def _rules(s, f, k, t) -> dict:
+    """What each rule but all_success, which any other text stands for too, asks of the counts; columns or arrays."""
+    return {
+        "all_failed": f == t, "all_done": s + f + k == t, "one_success": s >= 1, "one_failed": f >= 1, "none_failed": f == 0, "none_skipped": k == 0,
+        "all_done_min_one_success": s >= 1, "all_skipped": k == t, "one_done": s + f + k >= 1, "none_failed_min_one_success": (f == 0) & (s >= 1), "always": t == t,
+    }
+
+
 def triggers(rule: str | Column = "trigger_rule", counts: tuple[Column, ...] | None = None) -> Column:
     """Whether a rule lets a task run, all of its dependencies having ended; without dependencies every task runs.
 
@@ -44,12 +58,8 @@ def triggers(rule: str | Column = "trigger_rule", counts: tuple[Column, ...] | N
     """
     rule = F.col(rule) if isinstance(rule, str) else rule
     s, f, k, t = counts or (F.coalesce(F.col(c), F.lit(0)) for c in COUNTS)
-    rules = {
-        "all_failed": f == t, "all_done": s + f + k == t, "one_success": s >= 1, "one_failed": f >= 1, "none_failed": f == 0, "none_skipped": k == 0,
-        "all_done_min_one_success": s >= 1, "all_skipped": k == t, "one_done": s + f + k >= 1, "none_failed_min_one_success": (f == 0) & (s >= 1), "always": F.lit(True),
-    }
     chosen = s == t
-    for name, holds in rules.items():
+    for name, holds in _rules(s, f, k, t).items():
         chosen = F.when(rule == name, holds).otherwise(chosen)
     return (t == 0) | ((s + f + k == t) & chosen)
 
@@ -73,45 +83,113 @@ def trigger_outcomes(nodes: DataFrame, edges: DataFrame, states: DataFrame) -> D
 def propagate(nodes: DataFrame, edges: DataFrame, intrinsic: DataFrame) -> DataFrame:
     """Effective state of every task: what it would return if it runs, else skipped or upstream_failed, down the graph.
 
-    The tasks of a small run meet in one row and are decided in the order of their layers; larger runs go level by level.
-    Tasks on or behind a cycle, or behind one without an own state, are left out.
+    The rows of a run meet in one task, which decides many runs at a time; only runs of more than ``graph.TASK_GRAPH`` rows
+    go level by level. Tasks on or behind a cycle, or behind one without an own state, are left out.
     """
-    key, columns = "run_rowid", {"src": edges.schema["src"].dataType.simpleString(), "rule": "string", "own": "int"}
-
-    def part(df: DataFrame, node: str, **has: str) -> DataFrame:
-        return df.select(key, F.col(node).alias("node"), *[(F.col(has[c]) if c in has else F.lit(None)).cast(t).alias(c) for c, t in columns.items()])
-
-    rule = nodes.withColumn("trigger_rule", F.coalesce("trigger_rule", F.lit("")))
-    rows = part(rule, "task_idx", rule="trigger_rule").unionByName(part(intrinsic, "task_idx", own="state")).unionByName(part(edges, "dst", src="src"))
-    small, large = graph.split(stored(rows), key)
-    done = _decided(graph.graphs(small, key, "rule", "own"))
-    if large is not None:
-        parts = [large.where(f"{c} is not null") for c in ("rule", "src", "own")]
-        names = [{"node": "task_idx", "rule": "trigger_rule"}, {"node": "dst"}, {"node": "task_idx", "own": "state"}]
-        done = done.unionByName(propagate_by_level(*[p.withColumnsRenamed(n) for p, n in zip(parts, names, strict=True)]))
-    return done
-
-
-def _decided(runs: DataFrame) -> DataFrame:
-    """(run_rowid, task_idx, state) of runs of one row each: ids, sources, rule and own state by task."""
-    layer = graph.levels(F.col("ids"), F.col("sources"))
-    zipped = F.arrays_zip("ids", "sources", "rule", "own", "layer")
-    tasks = F.transform(zipped, lambda t: F.struct(t["layer"], t["ids"].alias("id"), t["sources"], t["rule"], t["own"]))
-    known = F.filter(tasks, lambda t: (t["layer"] < F.size("ids")) & t["rule"].isNotNull() & t["own"].isNotNull())
-    runs = stored(runs.withColumn("layer", layer).select("run_rowid", F.array_sort(known).alias("tasks")))
-    count = lambda states, *of: F.size(F.filter(states, lambda x: x.isin(*of)))
-
-    def state(t: Column, before: Column) -> Column:
-        s, f, k = count(before, SUCCESS), count(before, FAILED), count(before, SKIPPED, UPSTREAM_FAILED)
-        decided = F.when(triggers(t["rule"], (s, f, k, F.size(before))), t["own"]).otherwise(not_triggered(t["rule"], f + count(before, UPSTREAM_FAILED)))
-        return F.when(~F.exists(before, lambda x: x.isNull()), decided).cast("int")
-
-    place = lambda x: F.array_position(F.transform("tasks", lambda t: t["id"]), x).cast("int")
-    before = lambda done, t: F.transform(t["sources"], lambda x: F.when(place(x) > 0, F.get(done, place(x) - 1)))
-    states = F.aggregate("tasks", F.array().cast("array<int>"), lambda done, t: F.concat(done, F.array(graph.let(before(done, t), lambda b: state(t, b)))))
-    found = runs.select("run_rowid", F.transform("tasks", lambda t: t["id"]).alias("task_idx"), states.alias("state"))
-    found = found.select("run_rowid", F.explode(F.arrays_zip("task_idx", "state")).alias("x"))
-    return found.select("run_rowid", "x.task_idx", "x.state").where("state is not null")
+    key = "run_rowid"
+    edges = stored(edges.select(key, "src", "dst"))  # counted, then read
+    ids = nodes.select("task_idx").union(intrinsic.select("task_idx")).union(edges.select("src")).union(edges.select("dst"))
+    columns = {"node": ids.schema["task_idx"].dataType.simpleString()}
+    columns |= {"src": columns["node"], "rule": "tinyint", "own": "int"}
+
+    def part(df: DataFrame, **has: str | Column) -> DataFrame:
+        return df.select(key, *[(has[c] if isinstance(has.get(c), Column) else F.col(has[c]) if c in has else F.lit(None)).cast(t).alias(c) for c, t in columns.items()])
+
+    rows = part(nodes, node="task_idx", rule=_rule_code()).unionByName(part(intrinsic, node="task_idx", own="state")).unionByName(part(edges, node="dst", src="src"))
+    n, large = graph.beyond(rows, key, graph.TASK_GRAPH)
+    if large is None:
+        return _decided(rows, share(n, rows), key)
+    own = [df.join(F.broadcast(large), key, "left_semi") for df in (nodes, edges, intrinsic)]
+    return _decided(rows.join(F.broadcast(large), key, "left_anti"), share(n, rows), key).unionByName(propagate_by_level(*own))
+
+
+def _rule_code() -> Column:
+    """A number for each rule, odd for those that are known, in the order of the texts."""
+    rule = F.coalesce("trigger_rule", F.lit(""))
+    code = F.lit(0)
+    for name in sorted(enums.TRIGGER_RULES):
+        code = code + (rule >= name).cast("int") + (rule > name).cast("int")
+    return code
+
+
+#: Rows that a task decides at once.
+TOGETHER = 200_000
+
+
+def _decided(rows: DataFrame, n: int, key: str) -> DataFrame:
+    """(key, task_idx, state) of runs none of which is too large for a task; rows: key, node, src, rule, own."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size, most = [], 0, TOGETHER
+        for batch in batches:
+            held.append(batch)
+            size += batch.num_rows
+            if size >= most:
+                table = pa.Table.from_batches(held).combine_chunks()
+                run = _codes(table.column(key).combine_chunks())
+                last = int(np.searchsorted(run, run[-1]))  # more rows of the last run may come
+                if last:
+                    yield _states(table.slice(0, last), run[:last], key)
+                held, size = table.slice(last).to_batches(), table.num_rows - last
+                most = max(TOGETHER, 2 * size)
+        if size:
+            table = pa.Table.from_batches(held).combine_chunks()
+            yield _states(table, _codes(table.column(key).combine_chunks()), key)
+
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    met = rows.where("node is not null").repartition(n, key).sortWithinPartitions(key)
+    return met.mapInArrow(task, f"{key} {kinds[key]}, task_idx {kinds['node']}, state int")
+
+
+def _codes(values: pa.Array) -> np.ndarray:
+    """Numbers from 0 for different values, in the order they are first seen; -1 for null."""
+    return pc.dictionary_encode(values).indices.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _states(rows: pa.Table, run: np.ndarray, key: str) -> pa.RecordBatch:
+    """States of the tasks of whole runs; ``run`` numbers them. Each round decides the tasks all of whose dependencies are
+    decided, in all runs at once, and looks only at the edges out of them."""
+    node, src, rule, own = (rows.column(c).combine_chunks() for c in ("node", "src", "rule", "own"))
+    taken = lambda a: (a.is_valid().to_numpy(zero_copy_only=False), a.fill_null(0).to_numpy(zero_copy_only=False))
+    ids, edge = _codes(pa.concat_arrays([node, src])), src.is_valid().to_numpy(zero_copy_only=False)
+    width, n = int(ids.max()) + 1, len(node)
+    run = run - run.min()
+    places = _codes(pa.array(np.concatenate([run * width + ids[:n], (run * width + ids[n:])[edge]])))
+    at, before, m = places[:n], places[n:], int(places.max()) + 1
+    after = at[edge]
+    unset = np.iinfo(np.int64).min
+    rule_of, own_of = np.full(m, unset), np.full(m, unset)
+    for found, column in ((rule_of, rule), (own_of, own)):
+        valid, values = taken(column)
+        np.maximum.at(found, at[valid], values[valid].astype(np.int64))
+    known = (rule_of > unset) & (own_of > unset)
+    names = sorted(enums.TRIGGER_RULES)
+    number = np.array([enums.TRIGGER_RULES.index(names[c // 2]) if c % 2 else 0 for c in range(2 * len(names) + 1)])  # other texts: all_success
+    rule_of = number[np.where(known, rule_of, 0)]
+
+    total = np.bincount(after, minlength=m)
+    first = np.concatenate([[0], np.cumsum(np.bincount(before, minlength=m))])
+    ways, open_ = after[np.argsort(before, kind="stable")], total.copy()
+    counts, state, decided = np.zeros((4, m), np.int64), np.zeros(m, np.int64), np.zeros(m, bool)
+    ready = np.flatnonzero(known & (open_ == 0))
+    while len(ready):
+        (s, f, k, up), t, r = counts[:, ready], total[ready], rule_of[ready]
+        holds = {"all_success": s == t} | _rules(s, f, k, t)
+        holds = np.stack([holds[name] for name in enums.TRIGGER_RULES])[r, np.arange(len(ready))]
+        runs = (t == 0) | ((s + f + k == t) & holds)
+        state[ready] = np.where(runs, own_of[ready], np.where((r == 0) & (f + up > 0), UPSTREAM_FAILED, SKIPPED))
+        decided[ready] = True
+        size = first[ready + 1] - first[ready]
+        to = ways[np.arange(size.sum()) + np.repeat(first[ready] - (np.cumsum(size) - size), size)]
+        come = np.repeat(state[ready], size)
+        for count, codes in zip(counts, ((SUCCESS,), (FAILED,), (SKIPPED, UPSTREAM_FAILED), (UPSTREAM_FAILED,)), strict=True):
+            np.add.at(count, to[np.isin(come, codes)], 1)
+        np.subtract.at(open_, to, 1)
+        ready = np.unique(to[(open_[to] == 0) & known[to]])
+    row = np.zeros(m, np.int64)
+    row[at] = np.arange(n)
+    chosen = pa.array(row[decided])
+    return pa.record_batch([rows.column(key).combine_chunks().take(chosen), node.take(chosen), pa.array(state[decided].astype(np.int32))], names=[key, "task_idx", "state"])
 
 
 def propagate_by_level(nodes: DataFrame, edges: DataFrame, intrinsic: DataFrame) -> DataFrame:

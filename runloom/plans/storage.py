@@ -30,14 +30,25 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-#: Bytes of a table's files whose rows one task sorts or aggregates.
-PART = 4 << 20
+#: Bytes of rows, unpacked, that one task sorts or aggregates; partitions to which Spark writes a shuffle without holding
+#: a task's rows in memory (``spark.shuffle.sort.bypassMergeThreshold``): beyond these each takes up to 16 times the bytes first.
+PART, UNSORTED = 8 << 20, 200
+
+
+def share(rows: int, df: DataFrame) -> int:
+    """Number of partitions in which a task's share of a table of so many rows doesn't grow with it."""
+    return _partitions(df, rows * df._jdf.schema().defaultSize())
+
+
+def _partitions(df: DataFrame, size: int) -> int:
+    n = min(-(-size // PART), max(UNSORTED, -(-size // (16 * PART))), 20_000)
+    return max(df.sparkSession.sparkContext.defaultParallelism, n)
 
 
 def parts(df: DataFrame) -> int | None:
     """Number of partitions in which a task's share of a table doesn't grow with it, by the size of its files; None where Spark doesn't know that."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return None if size > 1 << 50 else max(df.sparkSession.sparkContext.defaultParallelism, min(-(-size // PART), 20_000))
+    return None if size > 1 << 50 else _partitions(df, size)
 
 
 def dealt(df: DataFrame, n: int | None, *keys: str) -> DataFrame:

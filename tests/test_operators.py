@@ -226,6 +226,35 @@ def test_propagation_of_small_and_large_runs(spark, monkeypatch):
         assert {(r.run_rowid, r.task_idx): r.state for r in state.propagate(*frames).collect()} == want
 
 
+@pytest.mark.parametrize(("in_task", "together"), [(100_000, 200_000), (40, 30), (0, 30)])
+def test_propagation_of_runs_beyond_a_row(spark, monkeypatch, in_task, together):
+    """Long runs are decided in a task, without rounds, wherever its rows are cut; those too large for one go by level."""
+    monkeypatch.setattr(graph, "TASK_GRAPH", in_task)
+    monkeypatch.setattr(state, "TOGETHER", together, raising=False)
+    tables, stored = [], state.stored
+    for module in (state, graph):
+        monkeypatch.setattr(module, "stored", lambda df: tables.append(1) or stored(df))
+    rng, length = random.Random(6), {"a": 30, "b": 5, "c": 12, "d": 1, "e": 2}
+    edges = [(g, str(x), str(x + 1)) for g, n in length.items() for x in range(n)] + [("a", "3", "7"), ("a", "3", "7"), ("b", "9", "2"), ("c", "6", "4"), ("e", "zz", "1")]
+    nodes = [(g, str(x), rng.choice([*enums.TRIGGER_RULES, "oo", None])) for g, n in length.items() for x in range(n + 1)]
+    states = [(g, x, rng.choice([1, 2, 2, 3, 4, 6])) for g, x, _ in nodes]
+    own, want = {(g, x): s for g, x, s in states}, {}
+    for g, x, r in nodes:
+        before = [want.get((g, a)) for h, a, b in edges if (h, b) == (g, x)]
+        if None in before or (g, x) in {("b", "2"), ("c", "4")}:
+            continue
+        mix = "".join({2: "s", 3: "f", 6: "k", 4: "u"}.get(s, "?") for s in before)
+        known = r if r in enums.TRIGGER_RULES else "all_success"
+        verdict = expected(known, mix)
+        if "?" in mix and verdict == "ready":  # a dependency has not ended
+            verdict = "upstream_failed" if known == "all_success" and ("f" in mix or "u" in mix) else "skipped"
+        want[g, x] = own[g, x] if not mix else {"ready": own[g, x], "skipped": 6, "upstream_failed": 4}[verdict]
+    frames = [spark.createDataFrame(nodes, "run_rowid string, task_idx string, trigger_rule string"), spark.createDataFrame(edges, "run_rowid string, src string, dst string"), spark.createDataFrame(states, "run_rowid string, task_idx string, state int")]
+    got = state.propagate(*frames)
+    assert {(r.run_rowid, r.task_idx): r.state for r in got.collect()} == want and got.count() == len(want)
+    assert len(tables) == 1 or in_task < 100_000
+
+
 @pytest.mark.parametrize("size", [64, 0])
 def test_cycles(spark, monkeypatch, size):
     """Nodes between cycles are on none; parallel, nested and touching cycles."""

@@ -21,12 +21,13 @@ RECOVERED = "Recovered after crash"
 CRASHED = "Scheduler crashed during execution"
 
 
-def dependency_counts(edges: DataFrame, states: DataFrame) -> DataFrame:
+def dependency_counts(edges: DataFrame, states: DataFrame, n: int | None = None) -> DataFrame:
     """Outcomes of the direct dependencies of each (run_rowid, task_idx) that has any; an edge given twice counts twice.
 
-    Rows are dealt to more tasks the more there are, so that none sorts or aggregates more than its share.
+    Rows are dealt to more tasks the more there are, so that none sorts or aggregates more than its share; ``n``: how
+    many, if that is known.
     """
-    n, s = parts(states), F.col("s")
+    n, s = n or parts(states), F.col("s")
     src = dealt(states.select("run_rowid", F.col("task_idx").alias("src"), F.col("state").alias("s")), n, "run_rowid", "src")
     met = dealt(edges.select("run_rowid", "src", "dst"), n, "run_rowid", "src").join(src, ["run_rowid", "src"])
     return dealt(met.select("run_rowid", F.col("dst").alias("task_idx"), "s"), n, "run_rowid", "task_idx").groupBy("run_rowid", "task_idx").agg(
@@ -37,7 +38,8 @@ def dependency_counts(edges: DataFrame, states: DataFrame) -> DataFrame:
 
 def with_counts(nodes: DataFrame, edges: DataFrame, states: DataFrame) -> DataFrame:
     """Tasks with their ``dependency_counts``, null for those without dependencies."""
-    return dealt(nodes, parts(states), "run_rowid", "task_idx").join(dependency_counts(edges, states), ["run_rowid", "task_idx"], "left")
+    n = parts(states)
+    return dealt(nodes, n, "run_rowid", "task_idx").join(dependency_counts(edges, states, n), ["run_rowid", "task_idx"], "left")
 
 
 COUNTS = ("n_success", "n_failed", "n_skipped", "n_total")

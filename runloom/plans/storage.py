@@ -46,8 +46,12 @@ def _partitions(df: DataFrame, size: int) -> int:
 
 
 def parts(df: DataFrame) -> int | None:
-    """Number of partitions in which a task's share of a table doesn't grow with it, by the size of its files; None where Spark doesn't know that."""
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """``share`` of a table: of one that is read from files by its rows, which their footers tell, for files pack more
+    rows into a byte the larger they are; of another by its size; None where Spark doesn't know that."""
+    plan = df._jdf.queryExecution().optimizedPlan()
+    if plan.getClass().getSimpleName() == "LogicalRelation":
+        return share(df.count(), df)
+    size = int(str(plan.stats().sizeInBytes()))
     return None if size > 1 << 50 else _partitions(df, size)
 
 

@@ -51,6 +51,20 @@ def test_shares_of_tasks_do_not_grow(spark, data, monkeypatch):
         assert dealt and min(dealt) > 4, plan
 
 
+def test_shares_go_by_rows(spark, data, monkeypatch):
+    """A table that its files pack very tightly is dealt to as many tasks as any other with its rows, and not to ever more."""
+    from runloom.plans import storage
+
+    rows = spark.range(400_000).selectExpr("1 as a", "2 as b", "cast(id div 1000000 as int) as c")
+    tight = storage.stored(rows.coalesce(1))
+    monkeypatch.setattr(storage, "PART", 400_000 * 12 // 50)
+    assert storage.parts(tight) == 50 and storage.parts(tight.limit(0)) >= 4
+    monkeypatch.setattr(storage, "PART", 1024)
+    assert storage.parts(tight) == -(-400_000 * 12 // (16 * 1024))
+    monkeypatch.setattr(storage, "PART", 400_000 * 12 // 1000)
+    assert storage.parts(tight) == 200  # a shuffle's writer holds no rows up to here
+
+
 def test_gate_waits_for_all_dependencies(spark):
     nodes = spark.createDataFrame([(1, 2, "one_success")], "run_rowid long, task_idx int, trigger_rule string")
     edges = spark.createDataFrame([(1, 0, 2), (1, 1, 2)], "run_rowid long, src int, dst int")

@@ -33,11 +33,16 @@ K = 5
 #: Words in the broadcast list, and of these the first whose pairs are counted densely.
 LISTED, DENSE = 1 << 16, 256
 FLUSH = 1 << 20
+#: Bytes of text for each bucket, entries of a bucket that are worked on at a time, and rows in a batch of results: a task's memory.
+BUCKET_BYTES, PIECE, BATCH = 1 << 25, 1 << 19, 1 << 16
+#: Rows of texts in a part and in a flush, so that a row's place in a flush takes 15 bits.
+PART_ROWS = 1 << 14
 
 END, BEGIN = (np.uint64(x) for x in constants(2, 777))
 
-#: What documents sum up: pairs by count 1..K and above, log10 of the larger counts, of contexts and of backed-off words, base score, known tokens.
-SUMS = [f"n{r}" for r in range(1, K + 1)] + ["more", "more_log", "context_log", "low_log", "base", "known"]
+#: What documents sum up: pairs by count 1..K and above, log10 of the larger counts, of contexts and of backed-off words together, base score, known tokens.
+SUMS = [f"n{r}" for r in range(1, K + 1)] + ["more", "log", "base", "known"]
+LOG, BASE, KNOWN = K + 1, K + 2, K + 3
 #: What contexts sum up: kinds of pairs by count 1..K, occurrences of the others, probability of the words seen.
 LEFT = [f"m{r}" for r in range(1, K + 1)] + ["large", "seen"]
 
@@ -138,10 +143,11 @@ def _count_dense(shared):
 
 #: A bucket's entries of one flush, at most ENTRIES in a row, as unsigned 16-bit numbers: places of v and w in the broadcast list or
 #: in the row's own list of other words, place in its list of documents, and 4 * count + 2 * (v is listed) + (w is listed).
+#: Documents have consecutive keys in a flush, of which start is the first; docs has 2 * (key - start) + (held out).
 ENTRIES, MOST = 1 << 15, 16000
-_DEALT = "bucket int, words array<bigint>, v array<smallint>, w array<smallint>, doc array<smallint>, n array<smallint>, docs array<bigint>, ids array<bigint>, held array<boolean>, own array<double>"
+_DEALT = "bucket int, start bigint, words array<bigint>, v array<smallint>, w array<smallint>, doc array<smallint>, n array<smallint>, docs array<smallint>, ids array<bigint>, held array<boolean>, own array<double>"
 _LISTS = pa.schema(
-    [("bucket", pa.int32()), ("words", pa.list_(pa.int64()))] + [(c, pa.list_(pa.int16())) for c in ("v", "w", "doc", "n")] + [("docs", pa.list_(pa.int64())), ("ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("own", pa.list_(pa.float64()))]
+    [("bucket", pa.int32()), ("start", pa.int64()), ("words", pa.list_(pa.int64()))] + [(c, pa.list_(pa.int16())) for c in ("v", "w", "doc", "n", "docs")] + [("ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("own", pa.list_(pa.float64()))]
 )
 
 
@@ -166,15 +172,15 @@ def _deal(shared, buckets: int):
         own = np.zeros((part.num_rows, len(SUMS)))
         count = model.count(token)
         listed = count > 0
-        own[:, 9] = np.bincount(row[listed], np.log10(count[listed] + 1.0), minlength=part.num_rows)
-        own[:, 10] = np.bincount(row[listed], minlength=part.num_rows)
+        own[:, BASE] = np.bincount(row[listed], np.log10(count[listed] + 1.0), minlength=part.num_rows)
+        own[:, KNOWN] = np.bincount(row[listed], minlength=part.num_rows)
         before = np.where(context == BEGIN, model.count(np.array([END]))[0], model.count(context))
         some = before > 0
-        own[:, 7] = -np.bincount(row[some], np.log10(before[some]), minlength=part.num_rows)
         v, w = model.place(context), model.place(token)
         r = np.where((v >= 0) & (w >= 0), model.pairs[v, w], 0)
         dense = r > 0
         own[:, : K + 2] = by_count(r[dense], row[dense], np.ones(dense.sum()), part.num_rows)
+        own[:, LOG] -= np.bincount(row[some], np.log10(before[some]), minlength=part.num_rows)
         context, token, row, spread_out = (x[~dense] for x in (context, token, row, some | (context == BEGIN)))
         pair = mix(context + mix(token))
         _, first, n = np.unique(mix(pair + row.astype(np.uint64)), return_index=True, return_counts=True)
@@ -188,7 +194,7 @@ def _deal(shared, buckets: int):
     def lists(rows: dict[str, list]) -> pa.RecordBatch:
         return pa.record_batch([pa.array(rows[f.name], f.type) for f in _LISTS], schema=_LISTS)
 
-    def flush(keys: np.ndarray, held: np.ndarray, entries: list) -> Iterator[pa.RecordBatch]:
+    def flush(start: int, held: np.ndarray, entries: list) -> Iterator[pa.RecordBatch]:
         v, w, doc, n, bucket = (np.concatenate(x) for x in zip(*entries, strict=True))
         known = shared.value.words
         in_list = [lookup(known, np.arange(len(known)), x) for x in (v, w)]
@@ -201,7 +207,7 @@ def _deal(shared, buckets: int):
             words, index = np.unique(np.concatenate([v[at][vi < 0], w[at][wi < 0]]), return_inverse=True)
             vi[vi < 0], wi[wi < 0] = np.split(index, [(vi < 0).sum()])
             docs, doc_index = np.unique(doc[at], return_inverse=True)
-            for name, x in (("bucket", b), ("words", words.view(np.int64)), ("v", short(vi)), ("w", short(wi)), ("doc", short(doc_index)), ("n", short(n[at])), ("docs", keys[docs]), ("held", held[docs]), ("ids", []), ("own", [])):
+            for name, x in (("bucket", b), ("start", start), ("words", words.view(np.int64)), ("v", short(vi)), ("w", short(wi)), ("doc", short(doc_index)), ("n", short(n[at])), ("docs", short(docs * 2 + held[docs])), ("held", []), ("ids", []), ("own", [])):
                 rows[name].append(x)
             if len(rows["bucket"]) >= 64:
                 yield lists(rows)
@@ -211,22 +217,22 @@ def _deal(shared, buckets: int):
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = TaskContext.get().partitionId() << 40  # a key for each row: the same when a task is run again
-        entries, keys, helds, rows, size = [], [], [], 0, 0
+        entries, helds, rows, size = [], [], 0, 0
         for batch in batches:
-            for part in chunks(batch, "text"):
+            for part in (x.slice(i, PART_ROWS) for x in chunks(batch, "text") for i in range(0, x.num_rows, PART_ROWS)):
                 own, tokens, (v, w, row, n, bucket) = own_part(shared.value, part)
-                key, held = at + np.arange(part.num_rows), part.column("held").to_numpy(zero_copy_only=False).astype(bool)
+                held = part.column("held").to_numpy(zero_copy_only=False).astype(bool)
+                where = -1 - int(mix(np.array([at], np.uint64))[0] % np.uint64(buckets))
+                yield lists({"bucket": [where], "start": [at], "words": [[]], "v": [[]], "w": [[]], "doc": [[]], "n": [[]], "docs": [[]], "ids": [part.column("doc_id").to_pylist()], "held": [held], "own": [np.column_stack([tokens, own]).ravel()]})
                 at += part.num_rows
-                yield lists({"bucket": [-1 - int(key[0] % buckets)], "words": [[]], "v": [[]], "w": [[]], "doc": [[]], "n": [[]], "docs": [key], "ids": [part.column("doc_id").to_pylist()], "held": [held], "own": [np.column_stack([tokens, own]).ravel()]})
                 entries.append((v, w, row + rows, n, bucket))
-                keys.append(key)
                 helds.append(held)
                 rows, size = rows + part.num_rows, size + len(v)
-                if size >= FLUSH:
-                    yield from flush(np.concatenate(keys), np.concatenate(helds), entries)
-                    entries, keys, helds, rows, size = [], [], [], 0, 0
+                if size >= FLUSH or rows >= PART_ROWS:
+                    yield from flush(at - rows, np.concatenate(helds), entries)
+                    entries, helds, rows, size = [], [], 0, 0
         if size:
-            yield from flush(np.concatenate(keys), np.concatenate(helds), entries)
+            yield from flush(at - rows, np.concatenate(helds), entries)
 
     return task
 
@@ -241,86 +247,141 @@ def named(names: list[str]) -> list[Column]:
     return [F.col("x")[i].alias(c) for i, c in enumerate(names)]
 
 
-def _flat(table: pa.Table, name: str) -> np.ndarray:
-    return table[name].combine_chunks().flatten().to_numpy(zero_copy_only=False)
+def _flat(batches: list[pa.RecordBatch], name: str) -> np.ndarray:
+    return np.concatenate([x.column(name).flatten().to_numpy(zero_copy_only=False) for x in batches])
 
 
-def _score(shared):
-    def rows(kind: int, size: int, **cells) -> pa.Table:
-        columns = {"kind": pa.array(np.full(size, kind, np.int8))}
-        for name in ("key", "v", "w", "n"):
-            columns[name] = cells[name] if isinstance(cells.get(name), pa.Array) else pa.array(cells[name], pa.int64()) if name in cells else pa.nulls(size, pa.int64())
-        columns["held"] = pa.array(cells["held"], pa.bool_()) if "held" in cells else pa.nulls(size, pa.bool_())
-        x = cells.get("x")
-        sizes = pa.array(np.arange(size + 1) * (x.shape[1] if x is not None else 0), pa.int32())
-        columns["x"] = pa.nulls(size, pa.list_(pa.float64())) if x is None else pa.ListArray.from_arrays(sizes, pa.array(x.ravel()))
-        return pa.table(columns)
-
-    def bucket(table: pa.Table) -> pa.Table:
-        model: Vocabulary = shared.value
-        if table["bucket"][0].as_py() < 0:
-            keys = _flat(table, "docs")
-            own = _flat(table, "own").reshape(-1, len(SUMS) + 1)
-            return rows(5, len(keys), key=keys, v=table["ids"].combine_chunks().flatten(), n=own[:, 0].astype(np.int64), held=_flat(table, "held"), x=own[:, 1:])
-        sizes = {c: np.array([len(x) for x in table[c]]) for c in ("words", "docs", "v")}
-        base = {c: np.repeat(np.cumsum(sizes[c]) - sizes[c], sizes["v"]) for c in ("words", "docs")}
-        word = _flat(table, "words").astype(np.int64).view(np.uint64)
-
-        def words_at(column: str, listed: np.ndarray) -> np.ndarray:
-            at = _flat(table, column).view(np.uint16).astype(np.int64)
+class Entries:
+    """A bucket's entries, as compact as they were dealt; some at a time are unpacked."""
+
+    def __init__(self, model: Vocabulary, batches: list[pa.RecordBatch]) -> None:
+        self.model, self.start = model, np.concatenate([x.column("start").to_numpy() for x in batches])
+        self.end, self.words_end, self.docs_end = (np.cumsum(np.concatenate([x.column(c).value_lengths().to_numpy() for x in batches]), dtype=np.int64) for c in ("v", "words", "docs"))
+        self.v, self.w, self.doc, self.n, self.docs = (_flat(batches, c).view(np.uint16) for c in ("v", "w", "doc", "n", "docs"))
+        self.words = _flat(batches, "words").view(np.uint64)
+        self.size = len(self.v)
+
+    def spans(self) -> Iterator[np.ndarray]:
+        for at in range(0, self.size, PIECE):
+            yield np.arange(at, min(at + PIECE, self.size))
+
+    def pairs(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """v and w of entries at ascending places."""
+        row = np.searchsorted(self.end, at, "right")
+        base = np.concatenate([[0], self.words_end])[row]
+
+        def words_at(places: np.ndarray, listed: np.ndarray) -> np.ndarray:
             out = np.empty(len(at), np.uint64)
-            out[listed] = model.words[at[listed]]
-            out[~listed] = word[(at + base["words"])[~listed]]
+            out[listed] = self.model.words[places[listed]]
+            out[~listed] = self.words[(places + base)[~listed]]
             return out
 
-        n = _flat(table, "n").view(np.uint16).astype(np.int64)
-        v, w = (words_at(c, n & flag > 0) for c, flag in (("v", 2), ("w", 1)))
-        docs, doc_of = np.unique(_flat(table, "docs"), return_inverse=True)
-        held = np.zeros(len(docs), bool)
-        held[doc_of] = _flat(table, "held").astype(bool)
-        doc, n = doc_of[_flat(table, "doc").view(np.uint16) + base["docs"]], n >> 2
-        _, first, pair = np.unique(mix(v + mix(w)), return_index=True, return_inverse=True)
-        taught = np.where(held[doc], 0, n)
-        r = np.bincount(pair, taught, minlength=len(first)).astype(np.int64)
-        kinds_v, kinds_w = v[first], w[first]
-        sums = np.zeros((len(docs), len(SUMS)))
-        seen = r[pair] > 0
-        sums[:, : K + 2] = by_count(r[pair][seen], doc[seen], n[seen], len(docs))
-        # Contexts that aren't listed are whole here, so their counts are known: as words they are this document's tokens, too.
-        whole = (model.count(v) <= 0) & (v != BEGIN)
-        contexts, context = np.unique(v, return_inverse=True)
-        total = np.bincount(context, taught, minlength=len(contexts)).astype(np.int64)
-        known = whole & (total[context] > 0)
-        d, m, c = doc[known], n[known], total[context][known]
-        sums[:, 9] = np.bincount(d, m * np.log10(c + 1.0), minlength=len(docs))
-        sums[:, 10] = np.bincount(d, m, minlength=len(docs))
-        sums[:, 7] = -np.bincount(d, m * np.log10(c), minlength=len(docs))
-        unseen = ~seen
-        count = model.count(w[unseen])
-        sums[:, 8] = np.bincount(doc[unseen][count > 0], (n[unseen] * np.log10(model.probability(np.maximum(count, 0))))[count > 0], minlength=len(docs))
-        some = (sums != 0).any(1)
-        out = [rows(0, int(some.sum()), key=docs[some], x=sums[some])]
-        backed = pa.array(w[unseen].view(np.int64), mask=count > 0)
-        out.append(rows(1, int(unseen.sum()), key=docs[doc[unseen]], v=v[unseen].view(np.int64), w=backed, n=n[unseen]))
-        # Of contexts: all that may be spread over buckets, and those from which something here backs off.
-        needed = np.zeros(len(contexts), bool)
-        needed[context[unseen | ~whole]] = True
-        kind = (r > 0) & needed[context[first]]
-        kv, kr, kw = context[first][kind], r[kind], kinds_w[kind]
-        left = np.zeros((len(contexts), len(LEFT)))
-        small = kr <= K
-        np.add.at(left, (kv[small], kr[small] - 1), 1)
-        left[:, K] = np.bincount(kv[~small], kr[~small], minlength=len(contexts))
-        count = model.count(kw)
-        left[:, K + 1] = np.bincount(kv[count > 0], model.probability(np.maximum(count, 0))[count > 0], minlength=len(contexts))
-        some = np.unique(kv)
-        out.append(rows(2, len(some), v=contexts[some].view(np.int64), x=left[some]))
-        cold = count <= 0
-        out.append(rows(3, int(cold.sum()), v=contexts[kv[cold]].view(np.int64), w=kw[cold].view(np.int64)))
-        # Dense pairs that no training text has are held out only, so r is 0 and they are not counted here.
-        levels, kinds = np.unique(np.minimum(r[r > 0], K + 2), return_counts=True)
-        out.append(rows(4, len(levels), v=levels, n=kinds))
-        return pa.concat_tables(out)
+        return words_at(self.v[at], self.n[at] & 2 > 0), words_at(self.w[at], self.n[at] & 1 > 0)
+
+    def documents(self, at: np.ndarray) -> np.ndarray:
+        """Places in docs of entries at ascending places: a document has one for each row of entries."""
+        row = np.searchsorted(self.end, at, "right")
+        return self.doc[at] + np.concatenate([[0], self.docs_end])[row]
+
+    def held(self, doc: np.ndarray) -> np.ndarray:
+        return self.docs[doc] & 1 > 0
+
+    def keys(self, doc: np.ndarray) -> np.ndarray:
+        return self.start[np.searchsorted(self.docs_end, doc, "right")] + (self.docs[doc] >> 1)
+
+    def whole(self, v: np.ndarray) -> np.ndarray:
+        """Contexts that aren't listed are whole in a bucket, so their counts are known: as words they are these documents' tokens, too."""
+        return (self.model.count(v) <= 0) & (v != BEGIN)
+
+    def pieces(self) -> Iterator[np.ndarray]:
+        """Places of entries by hash: a pair is in one piece, and so is a context that isn't listed."""
+        count = -(-self.size // PIECE)
+        if count <= 1:
+            yield np.arange(self.size)
+            return
+        piece = np.empty(self.size, np.uint16 if count < 1 << 16 else np.int64)
+        for at in self.spans():
+            v, w = self.pairs(at)
+            key = mix(np.where(self.whole(v), mix(v), mix(v + mix(w))))
+            piece[at] = ((key >> np.uint64(32)) * np.uint64(count)) >> np.uint64(32)
+        for p in range(count):
+            yield np.flatnonzero(piece == p)
+
+
+def _score(shared):
+    def rows(kind: int, size: int, **cells) -> Iterator[pa.RecordBatch]:
+        for at in range(0, size, BATCH):
+            part = {k: x[at : at + BATCH] for k, x in cells.items()}
+            n = min(BATCH, size - at)
+            columns = {"kind": pa.array(np.full(n, kind, np.int8))}
+            for name in ("key", "v", "w", "n"):
+                columns[name] = part[name] if isinstance(part.get(name), pa.Array) else pa.array(part[name], pa.int64()) if name in part else pa.nulls(n, pa.int64())
+            columns["held"] = pa.array(part["held"], pa.bool_()) if "held" in part else pa.nulls(n, pa.bool_())
+            x = part.get("x")
+            sizes = pa.array(np.arange(n + 1) * (x.shape[1] if x is not None else 0), pa.int32())
+            columns["x"] = pa.nulls(n, pa.list_(pa.float64())) if x is None else pa.ListArray.from_arrays(sizes, pa.array(x.ravel()))
+            yield pa.RecordBatch.from_pydict(columns)
+
+    def bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model: Vocabulary = shared.value
+        batches = list(batches)
+        if batches[0].column("bucket")[0].as_py() < 0:
+            for batch in batches:
+                size = batch.column("ids").value_lengths().to_numpy().astype(np.int64)
+                own = _flat([batch], "own").reshape(-1, len(SUMS) + 1)
+                key = np.repeat(batch.column("start").to_numpy() - (np.cumsum(size) - size), size) + np.arange(len(own))
+                yield from rows(5, len(own), key=key, v=batch.column("ids").flatten(), n=own[:, 0].astype(np.int64), held=_flat([batch], "held"), x=own[:, 1:])
+            return
+        entries = Entries(model, batches)
+        del batches
+        # Count of each entry's pair and, of contexts that are whole here, of its context.
+        pair_count, context_count = np.zeros(entries.size, np.int32), np.zeros(entries.size, np.int32)
+        for at in entries.pieces():
+            v, w = entries.pairs(at)
+            _, first, pair = np.unique(mix(v + mix(w)), return_index=True, return_inverse=True)
+            v, w = v[first], w[first]
+            taught = np.where(entries.held(entries.documents(at)), 0, entries.n[at] >> 2)
+            r = np.bincount(pair, taught, minlength=len(first)).astype(np.int64)
+            contexts, context = np.unique(v, return_inverse=True)
+            whole = entries.whole(contexts)
+            total = np.where(whole, np.bincount(context, r, minlength=len(contexts)).astype(np.int64), 0)
+            pair_count[at], context_count[at] = r[pair], total[context][pair]
+            # Of contexts: all that may be spread over buckets, and those from which something here backs off.
+            needed = ~whole
+            needed[context[r == 0]] = True
+            kind = (r > 0) & needed[context]
+            kv, kr, kw = context[kind], r[kind], w[kind]
+            left = np.zeros((len(contexts), len(LEFT)))
+            small = kr <= K
+            np.add.at(left, (kv[small], kr[small] - 1), 1)
+            left[:, K] = np.bincount(kv[~small], kr[~small], minlength=len(contexts))
+            count = model.count(kw)
+            left[:, K + 1] = np.bincount(kv[count > 0], model.probability(np.maximum(count, 0))[count > 0], minlength=len(contexts))
+            some = np.unique(kv)
+            yield from rows(2, len(some), v=contexts[some].view(np.int64), x=left[some])
+            cold = count <= 0
+            yield from rows(3, int(cold.sum()), v=contexts[kv[cold]].view(np.int64), w=kw[cold].view(np.int64))
+            # Dense pairs that no training text has are held out only, so r is 0 and they are not counted here.
+            levels, kinds = np.unique(np.minimum(r[r > 0], K + 2), return_counts=True)
+            yield from rows(4, len(levels), v=levels, n=kinds)
+        for at in entries.spans():
+            doc = entries.documents(at)
+            docs, doc = np.arange(doc.min(), doc.max() + 1), doc - doc.min()
+            n, r, c = (entries.n[at] >> 2).astype(np.int64), pair_count[at], context_count[at]
+            sums = np.zeros((len(docs), len(SUMS)))
+            seen, known = r > 0, c > 0
+            sums[:, : K + 2] = by_count(r[seen], doc[seen], n[seen], len(docs))
+            d, m, c = doc[known], n[known], c[known]
+            sums[:, BASE] = np.bincount(d, m * np.log10(c + 1.0), minlength=len(docs))
+            sums[:, KNOWN] = np.bincount(d, m, minlength=len(docs))
+            sums[:, LOG] -= np.bincount(d, m * np.log10(c), minlength=len(docs))
+            v, w = entries.pairs(at[~seen])
+            d, m, count = doc[~seen], n[~seen], model.count(w)
+            sums[:, LOG] += np.bincount(d[count > 0], (m * np.log10(model.probability(np.maximum(count, 0))))[count > 0], minlength=len(docs))
+            some = (sums != 0).any(1)
+            yield from rows(0, int(some.sum()), key=entries.keys(docs[some]), x=sums[some])
+            backed = pa.array(w.view(np.int64), mask=count > 0)
+            yield from rows(1, len(d), key=entries.keys(docs[d]), v=v.view(np.int64), w=backed, n=m)
 
     return bucket
 
@@ -365,7 +426,8 @@ def katz_scores(docs: DataFrame) -> DataFrame:
     cells = training.mapInArrow(_count_dense(Sent(spark, model)), "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     model.pairs.ravel()[cells["cell"].to_numpy()] = cells["n"].to_numpy()
     shared = Sent(spark, model)
-    buckets = spread(docs, 2)
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(spread(docs, 2), -(-size // BUCKET_BYTES))
     scored = stored(docs.mapInArrow(_deal(shared, buckets), _DEALT).groupBy("bucket").applyInArrow(_score(shared), _SCORED), "kind")
 
     dense_v, dense_w = np.nonzero(model.pairs)
@@ -396,11 +458,11 @@ def katz_scores(docs: DataFrame) -> DataFrame:
     unseen = scored.where("kind = 1").select("key", "v", "w", "n")
     backed = unigram(unseen).join(alpha, "v", "left")
     low = F.when(F.col("w").isNull(), 0.0).otherwise(_log(F.col("p")))
-    backed = backed.groupBy("key").agg(F.sum(F.col("n") * (low + F.coalesce("alpha", F.lit(0.0)))).alias("low_log"))
+    backed = backed.groupBy("key").agg(F.sum(F.col("n") * (low + F.coalesce("alpha", F.lit(0.0)))).alias("log"))
     parts = scored.where("kind in (0, 5)").select("key", *named(SUMS)).unionByName(backed, allowMissingColumns=True)
     total = parts.groupBy("key").agg(*[F.coalesce(F.sum(c), F.lit(0.0)).alias(c) for c in SUMS])
     score = sum((F.col(f"n{x}") * float(np.log10(x * d[x])) for x in range(1, K + 1)), F.col("more") * float(np.log10(d[K + 1])))
-    score = score + F.col("more_log") + F.col("context_log") + F.col("low_log")
+    score = score + F.col("log")
     base = F.col("base") - F.col("n") * float(np.log10(totals.tokens + totals.distinct + 1))
     ids = scored.where("kind = 5").select("key", F.col("v").alias("doc_id"), "n", F.col("held").alias("held_out"))
     return ids.join(total, "key").select(

@@ -1,6 +1,8 @@
 """Language model, language identification, licenses, neighbours, mixing, chats, URLs and the pipeline."""
 
 import math
+import tracemalloc
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +29,39 @@ def test_katz_against_brute_force(spark, monkeypatch):
         assert sum(p(w, v) for w in [*uni, "unknown"]) == pytest.approx(1)
 
 
+def test_katz_in_small_pieces(spark, monkeypatch):
+    """Buckets by bytes, parts, pieces and batches of a few rows each give the scores of a plain version."""
+    for name, x in {"DENSE": 4, "LISTED": 12, "FLUSH": 100, "BUCKET_BYTES": 400, "PIECE": 9, "BATCH": 5, "PART_ROWS": 7}.items():
+        monkeypatch.setattr(katz_module, name, x)
+    rng = np.random.default_rng(2)
+    rows = [(i, " ".join(f"w{int(x)}" for x in rng.exponential(15, rng.integers(0, 80))), i % 7 == 2) for i in range(90)] + [(901, "", True), (902, "never seen seen seen", True), (903, "w1 w90 " * 20000, False)]
+    got = {r.doc_id: tuple(r)[2:] for r in katz_module.katz_scores(spark.createDataFrame(rows, "doc_id long, text string, held_out boolean").repartition(2)).collect()}
+    want, _, _ = katz(rows)
+    assert set(got) == set(want)
+    for k in want:
+        assert got[k] == pytest.approx(want[k], rel=1e-8, abs=1e-8)
+
+
+def test_katz_memory_of_a_large_bucket(monkeypatch):
+    """What a task holds of a bucket of 3 million entries is little more than the entries as they were dealt."""
+    monkeypatch.setattr(katz_module, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    rng = np.random.default_rng(3)
+    texts = pa.array([" ".join(map(str, rng.integers(0, 100_000, 10_000))) for _ in range(300)])
+    words, counts = np.unique(katz_module.sequences(texts)[1], return_counts=True)
+    shared = SimpleNamespace(value=katz_module.Vocabulary(words[:100], counts[:100], {}, int(counts.sum()), len(words)))
+    batch = pa.record_batch([pa.array(range(300)), texts, pa.array([i % 7 == 2 for i in range(300)])], names=["doc_id", "text", "held"])
+    dealt = [x.slice(i, 1) for x in katz_module._deal(shared, 1)(iter([batch])) for i in range(x.num_rows) if x.column("bucket")[i].as_py() == 0]
+    size = sum(len(x.column("v")[0]) for x in dealt)
+    assert size > 2_900_000
+    tracemalloc.start()
+    try:
+        most = max(x.nbytes for x in katz_module._score(shared)(iter(dealt)))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 80 * size and most < 16e6
+
+
 def test_katz_of_empty_tables(spark):
     schema = "doc_id long, text string, held_out boolean"
     assert katz_module.katz_scores(spark.createDataFrame([], schema)).count() == 0

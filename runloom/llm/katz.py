@@ -33,8 +33,9 @@ K = 5
 #: Words in the broadcast list, and of these the first whose pairs are counted densely.
 LISTED, DENSE = 1 << 16, 256
 FLUSH = 1 << 20
-#: Bytes of text for each bucket, entries of a bucket that are worked on at a time, and rows in a batch of results: a task's memory.
-BUCKET_BYTES, PIECE, BATCH = 1 << 25, 1 << 19, 1 << 16
+#: Bytes of text for each bucket, entries of a bucket that are worked on at a time, rows in a batch of results, and entries in a row of counts
+#: (Spark reads thousands of rows at a time): a task's memory.
+BUCKET_BYTES, PIECE, BATCH, COUNTS = 1 << 25, 1 << 19, 1 << 16, 1 << 9
 #: Rows of texts in a part and in a flush, so that a row's place in a flush takes 15 bits.
 PART_ROWS = 1 << 14
 
@@ -237,10 +238,12 @@ def _deal(shared, buckets: int):
     return task
 
 
-#: kind 0: a document's sums in a bucket. 1: unseen pairs (key: document, v, w unless listed, n). 2: a context's sums (v). 3: an unlisted word seen
-#: after a context (v, w). 4: kinds of pairs (n) with count v. 5: a document (key), its id, n tokens.
-#: x: SUMS of kinds 0 and 5, LEFT of kind 2.
-_SCORED = "kind tinyint, key bigint, v bigint, w bigint, n bigint, held boolean, x array<double>"
+#: kind 0: entries of a flush (key: its first document) by place of the document, times, count r of the pair and count c of a context that is whole
+#: in its bucket. 1: unseen pairs (key: document, v, w unless listed, n, x: log10 of a listed word's probability). 2: a context's sums (v). 3: an
+#: unlisted word seen after a context (v, w). 4: kinds of pairs (n) with count v. 5: a document (key), its id, n tokens.
+#: x: LEFT of kind 2, SUMS of kind 5.
+_LONG = "doc array<smallint>, times array<smallint>, r array<int>, c array<int>"
+_SCORED = f"kind tinyint, key bigint, v bigint, w bigint, n bigint, held boolean, x array<double>, {_LONG}"
 
 
 def named(names: list[str]) -> list[Column]:
@@ -265,6 +268,10 @@ class Entries:
         for at in range(0, self.size, PIECE):
             yield np.arange(at, min(at + PIECE, self.size))
 
+    def flushes(self, at: np.ndarray) -> np.ndarray:
+        """Where the first documents of the flushes are that entries at ascending places come from."""
+        return self.start[np.searchsorted(self.end, at, "right")]
+
     def pairs(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """v and w of entries at ascending places."""
         row = np.searchsorted(self.end, at, "right")
@@ -320,8 +327,18 @@ def _score(shared):
             x = part.get("x")
             sizes = pa.array(np.arange(n + 1) * (x.shape[1] if x is not None else 0), pa.int32())
             columns["x"] = pa.nulls(n, pa.list_(pa.float64())) if x is None else pa.ListArray.from_arrays(sizes, pa.array(x.ravel()))
+            for name, dtype in (("doc", pa.int16()), ("times", pa.int16()), ("r", pa.int32()), ("c", pa.int32())):
+                columns[name] = part.get(name, pa.nulls(n, pa.list_(dtype)))
             yield pa.RecordBatch.from_pydict(columns)
 
+    def counts(flush: np.ndarray, **columns) -> Iterator[pa.RecordBatch]:
+        """Rows of kind 0: entries of one flush stand together, COUNTS at most in a row."""
+        place = np.arange(len(flush))
+        first = np.maximum.accumulate(np.where(np.append(True, flush[1:] != flush[:-1])[: len(flush)], place, 0))
+        cut = np.flatnonzero((place - first) % COUNTS == 0)
+        ends = pa.array(np.append(cut, len(flush)), pa.int32())
+        yield from rows(0, len(cut), key=flush[cut], **{k: pa.ListArray.from_arrays(ends, pa.array(x)) for k, x in columns.items()})
+
     def bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Vocabulary = shared.value
         batches = list(batches)
@@ -336,6 +353,7 @@ def _score(shared):
         del batches
         # Count of each entry's pair and, of contexts that are whole here, of its context.
         pair_count, context_count = np.zeros(entries.size, np.int32), np.zeros(entries.size, np.int32)
+        in_pieces = np.zeros((len(model.words) + 1, len(LEFT)))  # of contexts that aren't whole in a piece: the listed ones, at last BEGIN
         for at in entries.pieces():
             v, w = entries.pairs(at)
             _, first, pair = np.unique(mix(v + mix(w)), return_index=True, return_inverse=True)
@@ -357,35 +375,49 @@ def _score(shared):
             left[:, K] = np.bincount(kv[~small], kr[~small], minlength=len(contexts))
             count = model.count(kw)
             left[:, K + 1] = np.bincount(kv[count > 0], model.probability(np.maximum(count, 0))[count > 0], minlength=len(contexts))
+            in_pieces[lookup(model.words, np.arange(len(model.words)), contexts[~whole])] += left[~whole]
             some = np.unique(kv)
+            some = some[whole[some]]
             yield from rows(2, len(some), v=contexts[some].view(np.int64), x=left[some])
             cold = count <= 0
             yield from rows(3, int(cold.sum()), v=contexts[kv[cold]].view(np.int64), w=kw[cold].view(np.int64))
             # Dense pairs that no training text has are held out only, so r is 0 and they are not counted here.
             levels, kinds = np.unique(np.minimum(r[r > 0], K + 2), return_counts=True)
             yield from rows(4, len(levels), v=levels, n=kinds)
+        some = np.flatnonzero(in_pieces.any(1))
+        yield from rows(2, len(some), v=np.append(model.words, BEGIN)[some].view(np.int64), x=in_pieces[some])
         for at in entries.spans():
-            doc = entries.documents(at)
-            docs, doc = np.arange(doc.min(), doc.max() + 1), doc - doc.min()
-            n, r, c = (entries.n[at] >> 2).astype(np.int64), pair_count[at], context_count[at]
-            sums = np.zeros((len(docs), len(SUMS)))
-            seen, known = r > 0, c > 0
-            sums[:, : K + 2] = by_count(r[seen], doc[seen], n[seen], len(docs))
-            d, m, c = doc[known], n[known], c[known]
-            sums[:, BASE] = np.bincount(d, m * np.log10(c + 1.0), minlength=len(docs))
-            sums[:, KNOWN] = np.bincount(d, m, minlength=len(docs))
-            sums[:, LOG] -= np.bincount(d, m * np.log10(c), minlength=len(docs))
-            v, w = entries.pairs(at[~seen])
-            d, m, count = doc[~seen], n[~seen], model.count(w)
-            sums[:, LOG] += np.bincount(d[count > 0], (m * np.log10(model.probability(np.maximum(count, 0))))[count > 0], minlength=len(docs))
-            some = (sums != 0).any(1)
-            yield from rows(0, int(some.sum()), key=entries.keys(docs[some]), x=sums[some])
+            r, c = pair_count[at], context_count[at]
+            some = (r > 0) | (c > 0)
+            place = entries.docs[entries.documents(at[some])] >> 1
+            yield from counts(entries.flushes(at[some]), doc=place.view(np.int16), times=(entries.n[at[some]] >> 2).view(np.int16), r=r[some], c=c[some])
+            at = at[r == 0]
+            v, w = entries.pairs(at)
+            count = model.count(w)
+            low = np.where(count > 0, np.log10(model.probability(np.maximum(count, 0))), 0.0)
             backed = pa.array(w.view(np.int64), mask=count > 0)
-            yield from rows(1, len(d), key=entries.keys(docs[d]), v=v.view(np.int64), w=backed, n=m)
+            yield from rows(1, len(at), key=entries.keys(entries.documents(at)), v=v.view(np.int64), w=backed, n=entries.n[at] >> 2, x=low[:, None])
 
     return bucket
 
 
+def _sum_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """SUMS of the documents of one flush."""
+    sums, start = np.zeros((2 * PART_ROWS, len(SUMS))), 0
+    for batch in batches:
+        start = batch.column("key")[0].as_py()
+        doc, n, r, c = (_flat([batch], x).astype(np.int64) for x in ("doc", "times", "r", "c"))
+        seen, known = r > 0, c > 0
+        sums[:, : K + 2] += by_count(r[seen], doc[seen], n[seen], len(sums))
+        d, n, c = doc[known], n[known], c[known]
+        sums[:, BASE] += np.bincount(d, n * np.log10(c + 1.0), minlength=len(sums))
+        sums[:, KNOWN] += np.bincount(d, n, minlength=len(sums))
+        sums[:, LOG] -= np.bincount(d, n * np.log10(c), minlength=len(sums))
+    some = np.flatnonzero(sums.any(1))
+    x = pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1) * len(SUMS), pa.int32()), pa.array(sums[some].ravel()))
+    yield pa.RecordBatch.from_arrays([pa.array(start + some), x], names=["key", "x"])
+
+
 def _log(x: Column) -> Column:
     return F.log10(F.greatest(x, F.lit(1e-300)))
 
@@ -455,11 +487,12 @@ def katz_scores(docs: DataFrame) -> DataFrame:
     remains = sum((F.col(f"m{x}") * float(x * (1 - d[x])) for x in range(1, K + 1)), F.col("large") * float(1 - d[K + 1]))
     free = 1 - F.col("seen") - F.coalesce("p", F.lit(0.0))
     alpha = contexts.join(unlisted, "v", "left").select("v", (_log(remains) - _log(free)).alias("alpha"))
-    unseen = scored.where("kind = 1").select("key", "v", "w", "n")
+    unseen = scored.where("kind = 1").select("key", "v", "w", "n", F.col("x")[0].alias("low"))
     backed = unigram(unseen).join(alpha, "v", "left")
-    low = F.when(F.col("w").isNull(), 0.0).otherwise(_log(F.col("p")))
+    low = F.when(F.col("w").isNull(), F.col("low")).otherwise(_log(F.col("p")))
     backed = backed.groupBy("key").agg(F.sum(F.col("n") * (low + F.coalesce("alpha", F.lit(0.0)))).alias("log"))
-    parts = scored.where("kind in (0, 5)").select("key", *named(SUMS)).unionByName(backed, allowMissingColumns=True)
+    counted = scored.where("kind = 0").select("key", "doc", "times", "r", "c").groupBy("key").applyInArrow(_sum_up, "key bigint, x array<double>")
+    parts = scored.where("kind = 5").select("key", "x").unionByName(counted).select("key", *named(SUMS)).unionByName(backed, allowMissingColumns=True)
     total = parts.groupBy("key").agg(*[F.coalesce(F.sum(c), F.lit(0.0)).alias(c) for c in SUMS])
     score = sum((F.col(f"n{x}") * float(np.log10(x * d[x])) for x in range(1, K + 1)), F.col("more") * float(np.log10(d[K + 1])))
     score = score + F.col("log")

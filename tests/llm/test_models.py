@@ -31,7 +31,7 @@ def test_katz_against_brute_force(spark, monkeypatch):
 
 def test_katz_in_small_pieces(spark, monkeypatch):
     """Buckets by bytes, parts, pieces and batches of a few rows each give the scores of a plain version."""
-    for name, x in {"DENSE": 4, "LISTED": 12, "FLUSH": 100, "BUCKET_BYTES": 400, "PIECE": 9, "BATCH": 5, "PART_ROWS": 7}.items():
+    for name, x in {"DENSE": 4, "LISTED": 12, "FLUSH": 100, "BUCKET_BYTES": 400, "PIECE": 9, "BATCH": 5, "COUNTS": 3, "PART_ROWS": 7}.items():
         monkeypatch.setattr(katz_module, name, x)
     rng = np.random.default_rng(2)
     rows = [(i, " ".join(f"w{int(x)}" for x in rng.exponential(15, rng.integers(0, 80))), i % 7 == 2) for i in range(90)] + [(901, "", True), (902, "never seen seen seen", True), (903, "w1 w90 " * 20000, False)]

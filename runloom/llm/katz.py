@@ -75,12 +75,17 @@ class Vocabulary:
         self.unknown = (small + large * (1 - self.d[K + 1])) / tokens if tokens else 1.0
         frequent = np.sort(np.argsort(-self.counts, kind="stable")[: DENSE - 1])
         self.dense = np.unique(np.append(self.words[frequent], [END, BEGIN]))
+        self.dense_at = np.append(self.place(self.words), -1)  # by place in the list, at last for words that aren't in it
         self.pairs = np.zeros((len(self.dense), len(self.dense)), np.int64)
 
     def count(self, words: np.ndarray) -> np.ndarray:
         """Counts of listed words, -1 for others."""
         return lookup(self.words, self.counts, words)
 
+    def at(self, words: np.ndarray) -> np.ndarray:
+        """Places in the list, -1 for other words."""
+        return lookup(self.words, np.arange(len(self.words), dtype=np.int32), words)
+
     def place(self, words: np.ndarray) -> np.ndarray:
         return lookup(self.dense, np.arange(len(self.dense)), words)
 
@@ -109,6 +114,14 @@ def sequences(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     return context, token, np.repeat(np.arange(words.rows), words.count + 1), words.count + 1
 
 
+def before(x: np.ndarray, context: np.ndarray, begin: int) -> np.ndarray:
+    """What x has for the tokens, for their contexts; begin stands for BEGIN."""
+    out = np.empty_like(x)
+    out[1:] = x[:-1]
+    out[context == BEGIN] = begin
+    return out
+
+
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: list[np.ndarray] = []
 
@@ -133,7 +146,8 @@ def _count_dense(shared):
         for batch in batches:
             for part in chunks(batch, "text"):
                 context, token, _, _ = sequences(part.column("text"))
-                v, w = shared.value.place(context), shared.value.place(token)
+                w = shared.value.place(token)
+                v = before(w, context, shared.value.place(np.array([BEGIN]))[0])
                 both = (v >= 0) & (w >= 0)
                 total += np.bincount(v[both] * size + w[both], minlength=size * size)
         cell = np.flatnonzero(total)
@@ -171,18 +185,21 @@ def _deal(shared, buckets: int):
     def own_part(model: Vocabulary, part: pa.RecordBatch):
         context, token, row, tokens = sequences(part.column("text"))
         own = np.zeros((part.num_rows, len(SUMS)))
-        count = model.count(token)
+        at = model.at(token)
+        before_at = before(at, context, -1)
+        counts = np.append(model.counts, -1)
+        count = counts[at]
         listed = count > 0
         own[:, BASE] = np.bincount(row[listed], np.log10(count[listed] + 1.0), minlength=part.num_rows)
         own[:, KNOWN] = np.bincount(row[listed], minlength=part.num_rows)
-        before = np.where(context == BEGIN, model.count(np.array([END]))[0], model.count(context))
-        some = before > 0
-        v, w = model.place(context), model.place(token)
+        c = np.where(context == BEGIN, model.count(np.array([END]))[0], counts[before_at])
+        some = c > 0
+        v, w = np.where(context == BEGIN, model.place(np.array([BEGIN]))[0], model.dense_at[before_at]), model.dense_at[at]
         r = np.where((v >= 0) & (w >= 0), model.pairs[v, w], 0)
         dense = r > 0
         own[:, : K + 2] = by_count(r[dense], row[dense], np.ones(dense.sum()), part.num_rows)
-        own[:, LOG] -= np.bincount(row[some], np.log10(before[some]), minlength=part.num_rows)
-        context, token, row, spread_out = (x[~dense] for x in (context, token, row, some | (context == BEGIN)))
+        own[:, LOG] -= np.bincount(row[some], np.log10(c[some]), minlength=part.num_rows)
+        context, token, before_at, at, row, spread_out = (x[~dense] for x in (context, token, before_at, at, row, some | (context == BEGIN)))
         pair = mix(context + mix(token))
         _, first, n = np.unique(mix(pair + row.astype(np.uint64)), return_index=True, return_counts=True)
         if len(n) and n.max() > MOST:  # counts are sent as 16-bit numbers
@@ -190,24 +207,24 @@ def _deal(shared, buckets: int):
             first, n = np.repeat(first, times), np.concatenate([np.append(np.full(t - 1, MOST), x - MOST * (t - 1)) for t, x in zip(times, n, strict=True)])
         key = np.where(spread_out, pair, mix(context))[first]
         bucket = ((key >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
-        return own, tokens, (context[first], token[first], row[first], n, bucket.astype(np.int64))
+        return own, tokens, (context[first], token[first], before_at[first], at[first], row[first], n, bucket.astype(np.int64))
 
     def lists(rows: dict[str, list]) -> pa.RecordBatch:
         return pa.record_batch([pa.array(rows[f.name], f.type) for f in _LISTS], schema=_LISTS)
 
     def flush(start: int, held: np.ndarray, entries: list) -> Iterator[pa.RecordBatch]:
-        v, w, doc, n, bucket = (np.concatenate(x) for x in zip(*entries, strict=True))
-        known = shared.value.words
-        in_list = [lookup(known, np.arange(len(known)), x) for x in (v, w)]
-        n = n * 4 + (in_list[0] >= 0) * 2 + (in_list[1] >= 0)
-        order = np.lexsort((doc, bucket))
+        v, w, v_at, w_at, doc, n, bucket = (np.concatenate(x) for x in zip(*entries, strict=True))
+        n = n * 4 + (v_at >= 0) * 2 + (w_at >= 0)
+        order = np.argsort(bucket * (2 * PART_ROWS) + doc)
         cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
         rows: dict[str, list] = {f.name: [] for f in _LISTS}
         for b, at in ((b, order[a : min(a + ENTRIES, cut[b + 1])]) for b in np.flatnonzero(np.diff(cut)) for a in range(cut[b], cut[b + 1], ENTRIES)):
-            vi, wi = in_list[0][at], in_list[1][at]
+            vi, wi = v_at[at], w_at[at]
             words, index = np.unique(np.concatenate([v[at][vi < 0], w[at][wi < 0]]), return_inverse=True)
             vi[vi < 0], wi[wi < 0] = np.split(index, [(vi < 0).sum()])
-            docs, doc_index = np.unique(doc[at], return_inverse=True)
+            docs = doc[at]
+            new = np.append(True, docs[1:] != docs[:-1])
+            docs, doc_index = docs[new], np.cumsum(new) - 1
             for name, x in (("bucket", b), ("start", start), ("words", words.view(np.int64)), ("v", short(vi)), ("w", short(wi)), ("doc", short(doc_index)), ("n", short(n[at])), ("docs", short(docs * 2 + held[docs])), ("held", []), ("ids", []), ("own", [])):
                 rows[name].append(x)
             if len(rows["bucket"]) >= 64:
@@ -221,12 +238,12 @@ def _deal(shared, buckets: int):
         entries, helds, rows, size = [], [], 0, 0
         for batch in batches:
             for part in (x.slice(i, PART_ROWS) for x in chunks(batch, "text") for i in range(0, x.num_rows, PART_ROWS)):
-                own, tokens, (v, w, row, n, bucket) = own_part(shared.value, part)
+                own, tokens, (v, w, v_at, w_at, row, n, bucket) = own_part(shared.value, part)
                 held = part.column("held").to_numpy(zero_copy_only=False).astype(bool)
                 where = -1 - int(mix(np.array([at], np.uint64))[0] % np.uint64(buckets))
                 yield lists({"bucket": [where], "start": [at], "words": [[]], "v": [[]], "w": [[]], "doc": [[]], "n": [[]], "docs": [[]], "ids": [part.column("doc_id").to_pylist()], "held": [held], "own": [np.column_stack([tokens, own]).ravel()]})
                 at += part.num_rows
-                entries.append((v, w, row + rows, n, bucket))
+                entries.append((v, w, v_at, w_at, row + rows, n, bucket))
                 helds.append(held)
                 rows, size = rows + part.num_rows, size + len(v)
                 if size >= FLUSH or rows >= PART_ROWS:
@@ -296,9 +313,16 @@ class Entries:
     def keys(self, doc: np.ndarray) -> np.ndarray:
         return self.start[np.searchsorted(self.docs_end, doc, "right")] + (self.docs[doc] >> 1)
 
-    def whole(self, v: np.ndarray) -> np.ndarray:
+    def whole(self, at: np.ndarray, v: np.ndarray) -> np.ndarray:
         """Contexts that aren't listed are whole in a bucket, so their counts are known: as words they are these documents' tokens, too."""
-        return (self.model.count(v) <= 0) & (v != BEGIN)
+        return (self.n[at] & 2 == 0) & (v != BEGIN)
+
+    def count(self, at: np.ndarray) -> np.ndarray:
+        """Counts of listed w, -1 for others."""
+        out = np.full(len(at), -1)
+        listed = self.n[at] & 1 > 0
+        out[listed] = self.model.counts[self.w[at[listed]]]
+        return out
 
     def pieces(self) -> Iterator[np.ndarray]:
         """Places of entries by hash: a pair is in one piece, and so is a context that isn't listed."""
@@ -309,7 +333,7 @@ class Entries:
         piece = np.empty(self.size, np.uint16 if count < 1 << 16 else np.int64)
         for at in self.spans():
             v, w = self.pairs(at)
-            key = mix(np.where(self.whole(v), mix(v), mix(v + mix(w))))
+            key = mix(np.where(self.whole(at, v), mix(v), mix(v + mix(w))))
             piece[at] = ((key >> np.uint64(32)) * np.uint64(count)) >> np.uint64(32)
         for p in range(count):
             yield np.flatnonzero(piece == p)
@@ -357,11 +381,12 @@ def _score(shared):
         for at in entries.pieces():
             v, w = entries.pairs(at)
             _, first, pair = np.unique(mix(v + mix(w)), return_index=True, return_inverse=True)
-            v, w = v[first], w[first]
+            v, w, of_pair = v[first], w[first], at[first]
             taught = np.where(entries.held(entries.documents(at)), 0, entries.n[at] >> 2)
             r = np.bincount(pair, taught, minlength=len(first)).astype(np.int64)
-            contexts, context = np.unique(v, return_inverse=True)
-            whole = entries.whole(contexts)
+            contexts, of_context, context = np.unique(v, return_index=True, return_inverse=True)
+            of_context = of_pair[of_context]
+            whole = entries.whole(of_context, contexts)
             total = np.where(whole, np.bincount(context, r, minlength=len(contexts)).astype(np.int64), 0)
             pair_count[at], context_count[at] = r[pair], total[context][pair]
             # Of contexts: all that may be spread over buckets, and those from which something here backs off.
@@ -373,9 +398,9 @@ def _score(shared):
             small = kr <= K
             np.add.at(left, (kv[small], kr[small] - 1), 1)
             left[:, K] = np.bincount(kv[~small], kr[~small], minlength=len(contexts))
-            count = model.count(kw)
+            count = entries.count(of_pair[kind])
             left[:, K + 1] = np.bincount(kv[count > 0], model.probability(np.maximum(count, 0))[count > 0], minlength=len(contexts))
-            in_pieces[lookup(model.words, np.arange(len(model.words)), contexts[~whole])] += left[~whole]
+            in_pieces[np.where(contexts == BEGIN, -1, entries.v[of_context].astype(np.int64))[~whole]] += left[~whole]
             some = np.unique(kv)
             some = some[whole[some]]
             yield from rows(2, len(some), v=contexts[some].view(np.int64), x=left[some])
@@ -393,7 +418,7 @@ def _score(shared):
             yield from counts(entries.flushes(at[some]), doc=place.view(np.int16), times=(entries.n[at[some]] >> 2).view(np.int16), r=r[some], c=c[some])
             at = at[r == 0]
             v, w = entries.pairs(at)
-            count = model.count(w)
+            count = entries.count(at)
             low = np.where(count > 0, np.log10(model.probability(np.maximum(count, 0))), 0.0)
             backed = pa.array(w.view(np.int64), mask=count > 0)
             yield from rows(1, len(at), key=entries.keys(entries.documents(at)), v=v.view(np.int64), w=backed, n=entries.n[at] >> 2, x=low[:, None])
